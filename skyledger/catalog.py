@@ -248,3 +248,142 @@ UNION ALL SELECT 'dim_date', CAST(count(*) AS BIGINT) FROM dim_date
 UNION ALL SELECT 'live_fact_rows', CAST(count(*) AS BIGINT) FROM fact WHERE api_source = 'Aviationstack'""")
 def q_table_counts(spark, sf_dir):
     return A.table_counts(warehouse_for(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- live API ingest
+
+def _live_pages(spark, sf_dir):
+    from .sources import testbed
+    return testbed.live_pages(spark, sf_dir)
+
+
+_FLAT_OUT = ["page", "pos", "flight_number", "airline_code", "airline_name", "origin_airport_code",
+             "origin_airport_name", "destination_airport_code", "destination_airport_name", "live_flight_status",
+             "departure_delay_minutes_live", "arrival_delay_minutes_live", "scheduled_departure_datetime",
+             "actual_departure_datetime", "scheduled_arrival_datetime", "actual_arrival_datetime",
+             "flight_type", "route_category", "route_distance"]
+_LIVE_SQL = O.with_ctes(O.FLIGHTS, O.LIVE_FLAT)
+
+
+@register("live_flatten", _LIVE_SQL + "SELECT " + ", ".join(_FLAT_OUT) + " FROM live_flat WHERE _keep")
+def q_live_flatten(spark, sf_dir):
+    from .sources.live_json import flatten_pages
+    return flatten_pages(_live_pages(spark, sf_dir)).select(*_FLAT_OUT)
+
+
+@register("live_reject", _LIVE_SQL + "SELECT page, pos, flight_number, reason FROM live_tagged WHERE reason IS NOT NULL")
+def q_live_reject(spark, sf_dir):
+    from .plans.live_update import parse_batch
+    return parse_batch(_live_pages(spark, sf_dir)).rejected.select("page", "pos", "flight_number", "reason")
+
+
+@register("live_pages_capped", _LIVE_SQL + """
+SELECT page, pos, flight_number FROM live_flat WHERE _keep ORDER BY page, pos LIMIT 500""")
+def q_live_pages_capped(spark, sf_dir):
+    from .sources.live_json import cap_kept, flatten_pages
+    # the pull's own stopping rule (max kept rows, reference default 500) is the feature here
+    return cap_kept(flatten_pages(_live_pages(spark, sf_dir)), 500).select("page", "pos", "flight_number")
+
+
+@register("live_parse_times", _LIVE_SQL + """
+SELECT page, pos, flight_date, scheduled_departure_time, actual_departure_time, delay_minutes, is_delayed,
+  scheduled_departure_datetime, actual_departure_datetime FROM live_acc""")
+def q_live_parse_times(spark, sf_dir):
+    from .plans.live_update import parse_batch
+    return parse_batch(_live_pages(spark, sf_dir)).accepted.select(
+        "page", "pos", "flight_date", "scheduled_departure_time", "actual_departure_time", "delay_minutes",
+        "is_delayed", "scheduled_departure_datetime", "actual_departure_datetime")
+
+
+_LIVE_UPSERT_SQL = O.with_ctes(O.FLIGHTS, O.STG, O.DIMS, O.RESOLVED, O.FACT, O.LIVE_FLAT, O.LIVE_DIMS)
+_MERGED_COLS = ["flight_performance_id", "flight_id", "airline_id", "origin_airport_id", "destination_airport_id",
+                "date_id", "scheduled_departure_time_id", "actual_departure_time_id", "aircraft_id",
+                "weather_condition_id", "delay_cause_id", "delay_minutes", "is_delayed", "flight_month"]
+
+
+@register("live_upsert_rows", _LIVE_UPSERT_SQL + "SELECT * FROM live_merged")
+def q_live_upsert_rows(spark, sf_dir):
+    from .plans.live_update import upsert_live
+    from .schemas import FACT_KEY
+    r = upsert_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
+    return r.fact_affected.join(r.statuses, FACT_KEY).select(*_MERGED_COLS, F.col("_status").alias("status"))
+
+
+@register("live_upsert_status", _LIVE_UPSERT_SQL + """
+SELECT 'inserted' AS status, CAST(count(*) FILTER (WHERE status = 'inserted') AS BIGINT) AS rows FROM live_merged
+UNION ALL SELECT 'updated', CAST(count(*) FILTER (WHERE status = 'updated') AS BIGINT) FROM live_merged
+UNION ALL SELECT 'skipped', CAST((SELECT count(*) FROM live_tagged WHERE reason IS NOT NULL)
+  + (SELECT count(*) FROM live_acc) - (SELECT count(*) FROM live_resolved) AS BIGINT)""")
+def q_live_upsert_status(spark, sf_dir):
+    from .plans.live_update import upsert_live
+    return upsert_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir)).counters()
+
+
+_APPEND_SQL = O.with_ctes(O.FLIGHTS, O.STG, O.DIMS, O.RESOLVED, O.FACT, O.LIVE_FLAT) + """
+, named AS (
+  SELECT airline_code, airline_name FROM (
+    SELECT airline_code, airline_name, row_number() OVER (PARTITION BY airline_code ORDER BY page DESC, pos DESC) AS rn
+    FROM live_acc WHERE airline_name IS NOT NULL) WHERE rn = 1
+), airline_after AS (
+  SELECT a.airline_id, a.airline_code, coalesce(n.airline_name, a.airline_name) AS airline_name
+  FROM dim_airline a LEFT JOIN named n USING (airline_code)
+), appended AS (
+  SELECT CAST((SELECT max(flight_performance_id) FROM fact) + row_number() OVER (ORDER BY s.page, s.pos) AS BIGINT)
+      AS flight_performance_id,
+    s.*, a.airline_id
+  FROM live_acc s
+  JOIN dim_flight f ON f.flight_number = s.flight_number
+  JOIN airline_after a ON a.airline_code = s.airline_code
+  JOIN dim_airport o ON o.airport_code = s.origin_airport_code
+  JOIN dim_airport d ON d.airport_code = s.destination_airport_code
+  JOIN dim_date dd ON dd.full_date = s.flight_date
+)
+"""
+
+
+@register("live_append_latest", _APPEND_SQL + """
+SELECT p.flight_performance_id, a.airline_code, a.airline_name, p.flight_number,
+  p.origin_airport_code AS origin_airport, p.destination_airport_code AS destination_airport,
+  p.delay_minutes, CASE WHEN p.delay_minutes > 15 THEN 'Delayed' ELSE 'On Time' END AS delay_status,
+  'Aviationstack' AS api_source, p.live_flight_status AS api_live_flight_status,
+  p.departure_delay_minutes_live AS api_departure_delay_minutes,
+  p.arrival_delay_minutes_live AS api_arrival_delay_minutes,
+  CAST(NULL AS INTEGER) AS api_origin_live_departures_count,
+  CAST(NULL AS INTEGER) AS api_destination_live_arrivals_count
+FROM appended p JOIN airline_after a ON a.airline_id = p.airline_id
+ORDER BY p.flight_performance_id DESC LIMIT 10""")
+def q_live_append_latest(spark, sf_dir):
+    from .operators.star import live_rows_report
+    from .plans.live_update import append_live
+    tables, _, _ = append_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
+    return live_rows_report(tables)
+
+
+@register("live_airline_refresh", _APPEND_SQL + "SELECT * FROM airline_after")
+def q_live_airline_refresh(spark, sf_dir):
+    from .plans.live_update import append_live
+    tables, _, _ = append_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
+    return tables["dim_airline"]
+
+
+@register("live_append_counts", _APPEND_SQL + """
+SELECT 'inserted' AS status, CAST(count(*) AS BIGINT) AS rows FROM appended
+UNION ALL SELECT 'updated', CAST(0 AS BIGINT)
+UNION ALL SELECT 'skipped', CAST((SELECT count(*) FROM live_tagged) - (SELECT count(*) FROM appended) AS BIGINT)""")
+def q_live_append_counts(spark, sf_dir):
+    from .plans.live_update import append_live
+    _, _, counters = append_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
+    return counters
+
+
+@register("smart_keys", _LIVE_SQL + """
+SELECT page, pos, CAST(year(scheduled_departure_datetime) * 10000 + month(scheduled_departure_datetime) * 100
+  + day(scheduled_departure_datetime) AS INTEGER) AS date_key,
+  CAST(hour(scheduled_departure_datetime) * 100 + minute(scheduled_departure_datetime) AS INTEGER) AS time_key
+FROM live_acc""")
+def q_smart_keys(spark, sf_dir):
+    from .functions.calendar import smart_date_key, smart_time_key
+    from .plans.live_update import parse_batch
+    acc = parse_batch(_live_pages(spark, sf_dir)).accepted
+    return acc.select("page", "pos", smart_date_key("scheduled_departure_datetime").alias("date_key"),
+                      smart_time_key("scheduled_departure_datetime").alias("time_key"))

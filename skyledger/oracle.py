@@ -41,7 +41,8 @@ flights AS (
          ELSE (l.l_partkey % 24) * 100 + (l.l_suppkey + CAST(trunc(l.l_quantity) AS BIGINT)) % 60 END AS departure_time,
     CASE WHEN l.l_linenumber = 7 THEN NULL
          ELSE CAST(datediff('day', o.o_orderdate, l.l_shipdate) AS DOUBLE) + l.l_discount * 10 END AS departure_delay,
-    l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate
+    l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate,
+    l.l_returnflag, l.l_linestatus, l.l_tax, l.l_discount, p.p_type, o.o_orderdate
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN part p ON l.l_partkey = p.p_partkey
@@ -204,3 +205,111 @@ def with_ctes(*parts: str) -> str:
 
 WAREHOUSE = with_ctes(FLIGHTS, STG, DIMS, RESOLVED, FACT)
 STARRED = with_ctes(FLIGHTS, STG, DIMS, RESOLVED, FACT, STAR)
+
+
+# ---------------------------------------------------------------- live API batch
+
+LIVE_FLAT = f"""
+live_base AS (
+  SELECT *, {clock_sql('scheduled_departure')} AS _sched, {clock_sql('departure_time')} AS _act,
+    strftime(o_orderdate, '%Y-%m-%d') AS _day
+  FROM flights WHERE l_returnflag = 'R'
+),
+live_flat AS (
+  SELECT l_orderkey AS page,
+    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS INTEGER) AS pos,
+    CASE WHEN l_partkey % 13 = 0 THEN '' ELSE flight_number END AS flight_number,
+    airline AS airline_code,
+    CASE WHEN l_linenumber = 1 THEN airline ELSE p_type END AS airline_name,
+    origin_airport AS origin_airport_code,
+    CASE WHEN l_linenumber = 2 THEN origin_airport ELSE origin_airport || ' Intl' END AS origin_airport_name,
+    CASE WHEN l_partkey % 89 = 0 THEN NULL ELSE destination_airport END AS destination_airport_code,
+    destination_airport || ' Intl' AS destination_airport_name,
+    CASE WHEN l_linestatus = 'F' THEN 'landed' ELSE 'active' END AS live_flight_status,
+    CASE WHEN l_linenumber = 3 THEN 0 ELSE CAST(trunc(l_tax * 1000) AS INTEGER) - 20 END AS departure_delay_minutes_live,
+    CASE WHEN l_linenumber = 4 THEN 0 ELSE CAST(trunc(l_discount * 1000) AS INTEGER) END AS arrival_delay_minutes_live,
+    CASE WHEN _sched IS NULL THEN NULL
+         WHEN l_linenumber = 5 AND l_partkey % 3 = 0 THEN 'bad-timestamp'
+         ELSE _day || 'T' || CASE WHEN l_linenumber = 2 THEN substr(_sched, 1, 5) || ':30' ELSE _sched END
+              || CASE WHEN l_linenumber % 2 = 0 THEN 'Z' ELSE '+02:00' END END AS scheduled_departure_datetime,
+    CASE WHEN _act IS NULL THEN NULL ELSE _day || 'T' || _act || '+05:30' END AS actual_departure_datetime,
+    _day || 'T23:00:00Z' AS scheduled_arrival_datetime,
+    CAST(NULL AS VARCHAR) AS actual_arrival_datetime,
+    'Unknown' AS flight_type, 'Unknown' AS route_category, CAST(NULL AS DOUBLE) AS route_distance,
+    (l_partkey % 13 <> 0 AND l_partkey % 89 <> 0) AS _keep
+  FROM live_base
+),
+live_tagged AS (
+  SELECT *, TRY_CAST(substr(scheduled_departure_datetime, 1, 19) AS TIMESTAMP) AS _sts,
+    CASE WHEN NOT _keep THEN 'missing flight, airline or airport code'
+         WHEN scheduled_departure_datetime IS NULL OR trim(scheduled_departure_datetime) = '' THEN 'missing scheduled departure'
+         WHEN TRY_CAST(substr(scheduled_departure_datetime, 1, 19) AS TIMESTAMP) IS NULL THEN 'malformed scheduled departure'
+    END AS reason
+  FROM live_flat
+),
+live_acc AS (
+  SELECT page, pos, flight_number, airline_code, airline_name, origin_airport_code, origin_airport_name,
+    destination_airport_code, destination_airport_name,
+    CAST(_sts AS DATE) AS flight_date, strftime(_sts, '%H:%M:%S') AS scheduled_departure_time,
+    strftime(TRY_CAST(substr(actual_departure_datetime, 1, 19) AS TIMESTAMP), '%H:%M:%S') AS actual_departure_time,
+    departure_delay_minutes_live AS delay_minutes, departure_delay_minutes_live > 15 AS is_delayed,
+    'Unknown' AS aircraft_type, 'Unknown' AS weather_condition, 'None' AS delay_cause,
+    CAST(year(_sts) * 100 + month(_sts) AS INTEGER) AS flight_month,
+    live_flight_status, departure_delay_minutes_live, arrival_delay_minutes_live,
+    _sts AS scheduled_departure_datetime,
+    TRY_CAST(substr(actual_departure_datetime, 1, 19) AS TIMESTAMP) AS actual_departure_datetime,
+    TRY_CAST(substr(scheduled_arrival_datetime, 1, 19) AS TIMESTAMP) AS scheduled_arrival_datetime,
+    CAST(NULL AS TIMESTAMP) AS actual_arrival_datetime
+  FROM live_tagged WHERE reason IS NULL
+)"""
+
+# Time members the live batch adds (the only dimension the test-bed batch grows).
+LIVE_DIMS = f"""
+live_dim_time AS (
+  SELECT * FROM dim_time
+  UNION ALL
+  SELECT CAST((SELECT max(time_id) FROM dim_time) + row_number() OVER (ORDER BY time_value) AS INTEGER),
+    time_value, CAST(substr(time_value, 1, 2) AS INTEGER), CAST(substr(time_value, 4, 2) AS INTEGER),
+    {part_of_day_sql('CAST(substr(time_value, 1, 2) AS INTEGER)')}
+  FROM (SELECT DISTINCT t AS time_value FROM (
+          SELECT scheduled_departure_time AS t FROM live_acc UNION ALL SELECT actual_departure_time FROM live_acc)
+        WHERE t IS NOT NULL AND t NOT IN (SELECT time_value FROM dim_time))
+),
+live_resolved AS (
+  SELECT s.*, f.flight_id, a.airline_id, o.airport_id AS origin_airport_id, d.airport_id AS destination_airport_id,
+    dd.date_id, st.time_id AS scheduled_departure_time_id, act.time_id AS actual_departure_time_id,
+    ac.aircraft_id, w.weather_condition_id, dc.delay_cause_id
+  FROM live_acc s
+  JOIN dim_flight f ON f.flight_number = s.flight_number
+  JOIN dim_airline a ON a.airline_code = s.airline_code
+  JOIN dim_airport o ON o.airport_code = s.origin_airport_code
+  JOIN dim_airport d ON d.airport_code = s.destination_airport_code
+  JOIN dim_date dd ON dd.full_date = s.flight_date
+  JOIN live_dim_time st ON st.time_value = s.scheduled_departure_time
+  LEFT JOIN live_dim_time act ON act.time_value = s.actual_departure_time
+  JOIN dim_aircraft ac ON ac.aircraft_type = s.aircraft_type
+  JOIN dim_weather_condition w ON w.weather_condition = s.weather_condition
+  JOIN dim_delay_cause dc ON dc.delay_cause = s.delay_cause
+),
+live_src AS (
+  SELECT flight_id, date_id, scheduled_departure_time_id, origin_airport_id, destination_airport_id,
+    min(seq) AS first_seq, arg_min(airline_id, seq) AS airline_id, arg_min(aircraft_id, seq) AS aircraft_id,
+    arg_min(flight_month, seq) AS flight_month,
+    arg_max_null(actual_departure_time_id, seq) AS actual_departure_time_id,
+    arg_max_null(weather_condition_id, seq) AS weather_condition_id,
+    arg_max_null(delay_cause_id, seq) AS delay_cause_id,
+    arg_max_null(delay_minutes, seq) AS delay_minutes, arg_max_null(is_delayed, seq) AS is_delayed
+  FROM (SELECT *, row_number() OVER (ORDER BY page, pos) AS seq FROM live_resolved)
+  GROUP BY flight_id, date_id, scheduled_departure_time_id, origin_airport_id, destination_airport_id
+),
+live_merged AS (
+  SELECT CAST(CASE WHEN t.flight_performance_id IS NOT NULL THEN t.flight_performance_id
+                   ELSE (SELECT max(flight_performance_id) FROM fact) + s.first_seq END AS BIGINT) AS flight_performance_id,
+    s.flight_id, coalesce(t.airline_id, s.airline_id) AS airline_id, s.origin_airport_id, s.destination_airport_id,
+    s.date_id, s.scheduled_departure_time_id, s.actual_departure_time_id,
+    coalesce(t.aircraft_id, s.aircraft_id) AS aircraft_id, s.weather_condition_id, s.delay_cause_id,
+    s.delay_minutes, s.is_delayed, coalesce(t.flight_month, s.flight_month) AS flight_month,
+    CASE WHEN t.flight_performance_id IS NOT NULL THEN 'updated' ELSE 'inserted' END AS status
+  FROM live_src s
+  LEFT JOIN fact t USING (flight_id, date_id, scheduled_departure_time_id, origin_airport_id, destination_airport_id)
+)"""

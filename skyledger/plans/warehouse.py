@@ -21,7 +21,7 @@ from ..operators.merge import run_counters, upsert_fact
 from ..operators.resolve import resolve_keys
 from ..operators.staging import malformed_rows, stage_flights
 from ..schemas import TABLES, empty_table
-from ..session import scratch_path
+from ..session import scratch_path, tune_session
 from ..sources import testbed
 from ..sources.files import cap_rows
 
@@ -146,6 +146,7 @@ _BUILT: dict[tuple[int, str], str] = {}
 def warehouse_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The test-bed warehouse of ``sf_dir``: loaded and written once per session to the shared
     scratch folder, then read back (so analytics queries scan Parquet, not the ETL lineage)."""
+    tune_session(spark)
     key = (id(spark.sparkContext), _source_signature(sf_dir))
     path = _BUILT.get(key)
     if path is None:

@@ -18,9 +18,30 @@ DEFAULT_CONF = {
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.sql.maxPlanStringLength": "200000",
 }
 
 
+# Runtime SQL settings applied to any session a job is handed (they can change after start-up).
+RUNTIME_SQL_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # plans over cached intermediate results nest; keep their printed form bounded
+    "spark.sql.maxPlanStringLength": "200000",
+}
+
+
+def tune_session(spark: SparkSession) -> SparkSession:
+    for key, value in RUNTIME_SQL_CONF.items():
+        try:
+            spark.conf.set(key, value)
+        except Exception:  # a locked-down session may refuse; defaults still work
+            pass
+    return spark
+
+
 def build_session(master: str | None = None, app_name: str = "skyledger",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Create (or fetch) a session with the package defaults applied."""

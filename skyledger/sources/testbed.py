@@ -33,27 +33,29 @@ def _nations(spark, sf_dir, prefix):
                                 F.col("n_name").alias(f"{prefix}_name")))
 
 
-def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw flights (lower-case columns of the flights file) plus the ordinal columns."""
+def _flight_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem joined to its order, part, supplier, customer and both nations."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate")
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return (li.join(orders, li.l_orderkey == orders.o_orderkey)
+            .join(part, F.col("l_partkey") == part.p_partkey)
+            .join(supp, F.col("l_suppkey") == supp.s_suppkey)
+            .join(cust, F.col("o_custkey") == cust.c_custkey)
+            .join(_nations(spark, sf_dir, "sn"), F.col("s_nationkey") == F.col("sn_nationkey"))
+            .join(_nations(spark, sf_dir, "cn"), F.col("c_nationkey") == F.col("cn_nationkey")))
 
-    j = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-         .join(part, F.col("l_partkey") == part.p_partkey)
-         .join(supp, F.col("l_suppkey") == supp.s_suppkey)
-         .join(cust, F.col("o_custkey") == cust.c_custkey)
-         .join(_nations(spark, sf_dir, "sn"), F.col("s_nationkey") == F.col("sn_nationkey"))
-         .join(_nations(spark, sf_dir, "cn"), F.col("c_nationkey") == F.col("cn_nationkey")))
 
+def _flight_columns() -> list:
     carrier = F.upper(F.substring("p_type", 1, 2))
     supp_txt = F.col("l_suppkey").cast("string")
     no_actual = F.col("l_linenumber") == 7
     hour_base = (F.col("l_partkey") % 24) * 100
-    return j.select(
+    return [
         F.year("o_orderdate").alias("year"),
         F.month("o_orderdate").alias("month"),
         F.dayofmonth("o_orderdate").alias("day"),
@@ -70,8 +72,113 @@ def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(no_actual, F.lit(None).cast("double"))
          .otherwise(F.datediff("l_shipdate", "o_orderdate").cast("double") + F.col("l_discount") * 10)
          .alias("departure_delay"),
-        *FLIGHT_ORDINAL,
+    ]
+
+
+def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw flights (lower-case columns of the flights file) plus the ordinal columns."""
+    return _flight_base(spark, sf_dir).select(*_flight_columns(), *FLIGHT_ORDINAL)
+
+
+def live_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed live-API pages: one JSON document ``{"data": [...]}`` per order whose lines were
+    returned (``l_returnflag = 'R'``), records in line order.  Records re-observe historical
+    flights with new delays (updates), move some to a new scheduled second (inserts), and carry
+    the defects the ingest must handle: empty flight code, missing arrival code, missing or
+    malformed scheduled time, missing names and delays."""
+    from ..functions.clock import hhmm_to_time
+    base = _flight_base(spark, sf_dir).where(F.col("l_returnflag") == "R")
+    f = base.select("*", *_flight_columns())
+    ln = F.col("l_linenumber")
+    day_txt = F.date_format("o_orderdate", "yyyy-MM-dd")
+    sched = hhmm_to_time("scheduled_departure")
+    sched_txt = (F.when(sched.isNull(), F.lit(None).cast("string"))
+                 .when((ln == 5) & (F.col("l_partkey") % 3 == 0), F.lit("bad-timestamp"))
+                 .otherwise(F.concat(day_txt, F.lit("T"),
+                                     F.when(ln == 2, F.concat(F.substring(sched, 1, 5), F.lit(":30"))).otherwise(sched),
+                                     F.when(ln % 2 == 0, F.lit("Z")).otherwise(F.lit("+02:00")))))
+    actual = hhmm_to_time("departure_time")
+    actual_txt = F.when(actual.isNotNull(), F.concat(day_txt, F.lit("T"), actual, F.lit("+05:30")))
+    rec = F.struct(
+        F.when(F.col("l_linestatus") == "F", F.lit("landed")).otherwise(F.lit("active")).alias("flight_status"),
+        F.struct(F.when(F.col("l_partkey") % 13 == 0, F.lit("")).otherwise(F.col("flight_number")).alias("iata")).alias("flight"),
+        F.struct(F.col("airline").alias("iata"),
+                 F.when(ln == 1, F.lit(None).cast("string")).otherwise(F.col("p_type")).alias("name")).alias("airline"),
+        F.struct(F.col("origin_airport").alias("iata"),
+                 F.when(ln == 2, F.lit(None).cast("string")).otherwise(F.concat("origin_airport", F.lit(" Intl"))).alias("airport"),
+                 F.when(ln == 3, F.lit(None).cast("int")).otherwise((F.col("l_tax") * 1000).cast("int") - 20).alias("delay"),
+                 sched_txt.alias("scheduled"), actual_txt.alias("actual")).alias("departure"),
+        F.struct(F.when(F.col("l_partkey") % 89 == 0, F.lit(None).cast("string")).otherwise(F.col("destination_airport")).alias("iata"),
+                 F.concat("destination_airport", F.lit(" Intl")).alias("airport"),
+                 F.when(ln == 4, F.lit(None).cast("int")).otherwise((F.col("l_discount") * 1000).cast("int")).alias("delay"),
+                 F.concat(day_txt, F.lit("T23:00:00Z")).alias("scheduled"),
+                 F.lit(None).cast("string").alias("actual")).alias("arrival"),
     )
+    # one page per order (a bounded group: the lines of one order), records in ordinal order
+    items = f.groupBy(F.col("l_orderkey").alias("page")).agg(
+        F.sort_array(F.collect_list(F.struct(F.struct(*FLIGHT_ORDINAL[1:]).alias("pos"), rec.alias("rec")))).alias("items"))
+    return items.select("page", F.to_json(F.struct(F.transform("items", lambda x: x["rec"]).alias("data"))).alias("payload"))
+
+
+WEATHER_STATIONS = 25   # stations NATION_0 .. NATION_24, keyed by user_id % 25
+
+
+def _station(c):
+    return F.concat(F.lit("NATION_"), (F.col(c) % WEATHER_STATIONS).cast("string"))
+
+
+def weather_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly station readings aggregated from view/click events; hours with hour % 5 = 3 are
+    missing so lookups must fall back to a neighbouring hour."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    g = e.groupBy(_station("user_id").alias("airport_code"), F.to_date("ts").alias("date"),
+                  F.hour("ts").alias("reading_hour")).agg(
+        F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("_cents"),
+        F.count(F.lit(1)).alias("_n"),
+        F.max("value").alias("precipitation"),
+        F.min("value").alias("rain"),
+        F.countDistinct("user_id").cast("double").alias("snowfall"),
+        F.max(k).cast("double").alias("weather_code"),
+        F.sum(k).alias("_ksum"),
+        F.max(k).alias("_kmax"))
+    return g.where(F.col("reading_hour") % 5 != 3).select(
+        "airport_code", "date", "reading_hour",
+        (F.col("_cents") / F.col("_n") / 100.0).alias("temperature_2m"),
+        F.col("_n").cast("double").alias("relative_humidity_2m"),
+        "precipitation", "rain", "snowfall", "weather_code",
+        (F.col("_ksum") / F.col("_n")).alias("wind_speed_10m"),
+        F.col("_kmax").cast("double").alias("wind_gusts_10m"))
+
+
+def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed weather payload text per station-day: ``{"airport_code", "date", "hourly": {...}}``
+    with parallel arrays in hour order; even-numbered stations omit ``wind_gusts_10m``."""
+    from .weather_json import WEATHER_METRICS
+    r = weather_readings(spark, sf_dir)
+    time_txt = F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T"),
+                        F.lpad(F.col("reading_hour").cast("string"), 2, "0"), F.lit(":00"))
+    per_day = r.groupBy("airport_code", "date").agg(   # at most 24 readings per group
+        F.sort_array(F.collect_list(F.struct("reading_hour", time_txt.alias("time"), *WEATHER_METRICS))).alias("h"))
+    station_no = F.regexp_extract("airport_code", r"(\d+)$", 1).cast("int")
+    arrays = [F.transform("h", lambda x: x["time"]).alias("time")]
+    def field(name):
+        return lambda x: x[name]
+
+    for m in WEATHER_METRICS:
+        arr = F.transform("h", field(m))
+        if m == "wind_gusts_10m":
+            arr = F.when(station_no % 2 == 1, arr)
+        arrays.append(arr.alias(m))
+    return per_day.select(F.to_json(F.struct(
+        "airport_code", F.date_format("date", "yyyy-MM-dd").alias("date"), F.struct(*arrays).alias("hourly"))).alias("payload"))
+
+
+def weather_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Departures needing weather: purchase events as (request, station, date, hour)."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    return e.select(F.col("event_id").alias("request_id"), _station("event_id").alias("airport_code"),
+                    F.to_date("ts").alias("date"), F.hour("ts").alias("scheduled_hour"))
 
 
 def airlines_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
