@@ -387,3 +387,134 @@ def q_smart_keys(spark, sf_dir):
     acc = parse_batch(_live_pages(spark, sf_dir)).accepted
     return acc.select("page", "pos", smart_date_key("scheduled_departure_datetime").alias("date_key"),
                       smart_time_key("scheduled_departure_datetime").alias("time_key"))
+
+
+# ---------------------------------------------------------------- weather enrichment
+
+_W_METRICS = ["temperature_2m", "relative_humidity_2m", "precipitation", "rain", "snowfall", "weather_code",
+              "wind_speed_10m", "wind_gusts_10m"]
+
+
+def _hourly(spark, sf_dir):
+    from .sources import testbed
+    from .sources.weather_json import hourly_rows, parse_payload_text
+    return hourly_rows(parse_payload_text(testbed.weather_payloads(spark, sf_dir)))
+
+
+@register("weather_explode", O.with_ctes(O.WEATHER) + """
+SELECT airport_code, date, reading_hour, strftime(date, '%Y-%m-%d') || 'T' || lpad(CAST(reading_hour AS VARCHAR), 2, '0')
+  || ':00' AS time, """ + ", ".join(_W_METRICS) + " FROM readings")
+def q_weather_explode(spark, sf_dir):
+    return _hourly(spark, sf_dir).select("airport_code", "date", "reading_hour", "time", *_W_METRICS)
+
+
+@register("weather_nearest_hour", O.with_ctes(O.WEATHER) + """
+SELECT r.request_id, r.airport_code, r.date, r.scheduled_hour, n.reading_hour AS matched_hour, """
+          + ", ".join(f"coalesce(n.{m}, 0.0) AS {m}" for m in _W_METRICS) + """
+FROM requests r LEFT JOIN nearest n ON n.request_id = r.request_id""")
+def q_weather_nearest(spark, sf_dir):
+    from .operators.weather import nearest_hour_weather
+    from .sources import testbed
+    return nearest_hour_weather(testbed.weather_requests(spark, sf_dir), _hourly(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- features & model statistics
+
+_FEAT_SQL = O.with_ctes(O.FLIGHTS, O.STG, O.DIMS, O.RESOLVED, O.FACT, O.FEATURES)
+
+
+def _prepared(spark, sf_dir):
+    from .operators.features import prepare_features, training_dataset
+    return prepare_features(training_dataset(warehouse_for(spark, sf_dir)))
+
+
+def _feature_names():
+    from .operators.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+    return NUMERIC_FEATURES, CATEGORICAL_FEATURES
+
+
+@register("training_features", _FEAT_SQL + O.prepared_select(*_feature_names()))
+def q_training_features(spark, sf_dir):
+    return _prepared(spark, sf_dir)
+
+
+@register("delay_rates", _FEAT_SQL + """
+SELECT 'airline_delay_rate' AS feature, airline_code AS key1, CAST(NULL AS VARCHAR) AS key2, airline_delay_rate AS rate FROM r_airline
+UNION ALL SELECT 'origin_delay_rate', origin_airport_code, NULL, origin_delay_rate FROM r_origin
+UNION ALL SELECT 'destination_delay_rate', destination_airport_code, NULL, destination_delay_rate FROM r_dest
+UNION ALL SELECT 'route_delay_rate', origin_airport_code, destination_airport_code, route_delay_rate FROM r_route
+UNION ALL SELECT 'aircraft_delay_rate', aircraft_category, NULL, aircraft_delay_rate FROM r_aircraft
+UNION ALL SELECT 'weather_delay_rate', weather_type, NULL, weather_delay_rate FROM r_weather""")
+def q_delay_rates(spark, sf_dir):
+    from .operators.features import DELAY_RATE_GROUPS, add_flags, delay_rates
+    from .operators.star import star_join
+    flagged = add_flags(star_join(warehouse_for(spark, sf_dir)))
+    out = None
+    for name, table in delay_rates(flagged).items():
+        keys = DELAY_RATE_GROUPS[name]
+        part = table.select(F.lit(name).alias("feature"), F.col(keys[0]).cast("string").alias("key1"),
+                            (F.col(keys[1]).cast("string") if len(keys) > 1 else F.lit(None).cast("string")).alias("key2"),
+                            F.col(name).alias("rate"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_SPLIT_SQL = "(CAST(('0x' || substr(md5(CAST(flight_performance_id AS VARCHAR) || '42'), 1, 8)) AS BIGINT) / 4294967296.0 < 0.2)"
+
+
+@register("stratified_split", _FEAT_SQL + f"""
+SELECT target_delayed, CASE WHEN {_SPLIT_SQL} THEN 'test' ELSE 'train' END AS split, CAST(count(*) AS BIGINT) AS row_count
+FROM feat GROUP BY 1, 2""")
+def q_split(spark, sf_dir):
+    from .ml.training import split_column
+    df = _prepared(spark, sf_dir)
+    return df.groupBy("target_delayed", split_column("flight_performance_id").alias("split")) \
+        .agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@register("class_weights", _FEAT_SQL + """
+SELECT target_delayed, CAST(count(*) AS BIGINT) AS class_count,
+  (SELECT count(*) FROM feat) / (2.0 * count(*)) AS class_weight
+FROM feat GROUP BY target_delayed""")
+def q_class_weights(spark, sf_dir):
+    from .ml.training import class_weights
+    return class_weights(_prepared(spark, sf_dir), "target_delayed")
+
+
+@register("scaler_stats", _FEAT_SQL + " SELECT " + ", ".join(
+    f"round(avg(coalesce(TRY_CAST({c} AS DOUBLE), 0.0)), 6) AS {c}_mean, "
+    f"round(coalesce(stddev_samp(coalesce(TRY_CAST({c} AS DOUBLE), 0.0)), 0.0), 6) AS {c}_std"
+    for c in ["day", "month", "year", "day_of_week", "hour", "minute", "airline_delay_rate", "route_delay_rate"])
+    + " FROM feat")
+def q_scaler_stats(spark, sf_dir):
+    from .ml.training import scaler_statistics
+    return scaler_statistics(_prepared(spark, sf_dir), ["day", "month", "year", "day_of_week", "hour", "minute",
+                                                       "airline_delay_rate", "route_delay_rate"])
+
+
+@register("classification_report", _FEAT_SQL + f"""
+, scored AS (
+  SELECT target_delayed AS label, CAST(coalesce(route_delay_rate, 0.0) > 0.5 AS INTEGER) AS prediction
+  FROM feat WHERE {_SPLIT_SQL}
+), cm AS (SELECT label, prediction, count(*) AS n FROM scored GROUP BY 1, 2)
+, t AS (SELECT
+    coalesce(sum(n) FILTER (WHERE label = 1 AND prediction = 1), 0) AS tp,
+    coalesce(sum(n) FILTER (WHERE label = 0 AND prediction = 1), 0) AS fp,
+    coalesce(sum(n) FILTER (WHERE label = 1 AND prediction = 0), 0) AS fn,
+    coalesce(sum(n) FILTER (WHERE label = 0 AND prediction = 0), 0) AS tn FROM cm)
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn,
+  round(CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / (tp + fp + fn + tn) ELSE 0.0 END, 6) AS accuracy,
+  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision_1,
+  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall_1,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1_1,
+  round(CASE WHEN tn + fn > 0 THEN tn / (tn + fn) ELSE 0.0 END, 6) AS precision_0,
+  round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END, 6) AS recall_0,
+  round(CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0.0 END, 6) AS f1_0
+FROM t""")
+def q_classification_report(spark, sf_dir):
+    from .ml.training import binary_report, split_column
+    df = _prepared(spark, sf_dir)
+    test = df.where(split_column("flight_performance_id") == "test")
+    scored = test.select(F.col("target_delayed").alias("label"),
+                         (F.coalesce(F.col("route_delay_rate"), F.lit(0.0)) > 0.5).cast("int").alias("prediction"))
+    return binary_report(scored)

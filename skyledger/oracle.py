@@ -313,3 +313,123 @@ live_merged AS (
   FROM live_src s
   LEFT JOIN fact t USING (flight_id, date_id, scheduled_departure_time_id, origin_airport_id, destination_airport_id)
 )"""
+
+# ---------------------------------------------------------------- weather
+
+WEATHER = """
+readings AS (
+  SELECT 'NATION_' || CAST(user_id % 25 AS VARCHAR) AS airport_code, CAST(ts AS DATE) AS date,
+    CAST(hour(ts) AS INTEGER) AS reading_hour,
+    sum(CAST(round(value * 100) AS BIGINT)) / count(*) / 100.0 AS temperature_2m,
+    CAST(count(*) AS DOUBLE) AS relative_humidity_2m,
+    max(value) AS precipitation, min(value) AS rain,
+    CAST(count(DISTINCT user_id) AS DOUBLE) AS snowfall,
+    CAST(max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS DOUBLE) AS weather_code,
+    sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) / count(*) AS wind_speed_10m,
+    CASE WHEN (user_id % 25) % 2 = 1 THEN CAST(max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS DOUBLE)
+    END AS wind_gusts_10m
+  FROM events WHERE event_type IN ('view', 'click')
+  GROUP BY user_id % 25, CAST(ts AS DATE), hour(ts)
+  HAVING hour(ts) % 5 <> 3
+),
+requests AS (
+  SELECT event_id AS request_id, 'NATION_' || CAST(event_id % 25 AS VARCHAR) AS airport_code,
+    CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS scheduled_hour
+  FROM events WHERE event_type = 'purchase'
+),
+nearest AS (
+  SELECT * FROM (
+    SELECT r.request_id, w.*, row_number() OVER (PARTITION BY r.request_id
+      ORDER BY abs(w.reading_hour - r.scheduled_hour), w.reading_hour) AS rn
+    FROM requests r JOIN readings w ON w.airport_code = r.airport_code AND w.date = r.date)
+  WHERE rn = 1
+)"""
+
+# ---------------------------------------------------------------- features
+
+
+def _flag(cond: str) -> str:
+    return f"CAST(coalesce({cond}, false) AS INTEGER)"
+
+
+FEATURES = f"""
+fbase AS (
+  SELECT fp.flight_performance_id, fp.is_delayed, fp.delay_status, fp.api_departure_delay_minutes,
+    fp.api_arrival_delay_minutes, fp.api_live_flight_status,
+    dd.full_date, dd.day, dd.month, dd.year, dt.hour, dt.minute, dt.time_of_day, al.airline_code,
+    oa.airport_code AS origin_airport_code, da.airport_code AS destination_airport_code,
+    wc.weather_condition AS weather_type, wc.temperature, wc.wind_speed, wc.visibility,
+    fl.flight_type, fl.route_category, fl.route_distance, ac.seating_capacity, ac.aircraft_category
+  FROM (SELECT *, CAST(NULL AS INTEGER) AS api_departure_delay_minutes, CAST(NULL AS INTEGER) AS api_arrival_delay_minutes,
+               CAST(NULL AS VARCHAR) AS api_live_flight_status FROM fact) fp
+  LEFT JOIN dim_date dd ON fp.date_id = dd.date_id
+  LEFT JOIN dim_time dt ON fp.scheduled_departure_time_id = dt.time_id
+  LEFT JOIN dim_airport oa ON fp.origin_airport_id = oa.airport_id
+  LEFT JOIN dim_airport da ON fp.destination_airport_id = da.airport_id
+  LEFT JOIN dim_airline al ON fp.airline_id = al.airline_id
+  LEFT JOIN dim_flight fl ON fp.flight_id = fl.flight_id
+  LEFT JOIN dim_aircraft ac ON fp.aircraft_id = ac.aircraft_id
+  LEFT JOIN dim_weather_condition wc ON fp.weather_condition_id = wc.weather_condition_id
+),
+flagged AS (
+  SELECT *,
+    CAST(isodow(full_date) - 1 AS INTEGER) AS day_of_week,
+    {_flag("isodow(full_date) IN (6, 7)")} AS is_weekend,
+    {_flag("hour BETWEEN 0 AND 5")} AS is_night_flight,
+    {_flag("hour BETWEEN 6 AND 11")} AS is_morning,
+    {_flag("hour BETWEEN 12 AND 17")} AS is_afternoon,
+    {_flag("hour BETWEEN 18 AND 23")} AS is_evening,
+    {_flag("hour IN (7, 8, 9, 16, 17, 18, 19)")} AS is_peak_hour,
+    {_flag("month IN (12, 1, 2)")} AS is_winter,
+    {_flag("month IN (6, 7, 8)")} AS is_summer,
+    {_flag("month IN (12, 1)")} AS is_holiday_season,
+    {_flag("TRY_CAST(visibility AS DOUBLE) < 5")} AS low_visibility,
+    {_flag("TRY_CAST(wind_speed AS DOUBLE) > 20")} AS high_wind,
+    {_flag("weather_type IN ('Rain', 'Storm', 'Snow', 'Fog', 'Thunderstorm')")} AS bad_weather,
+    {_flag("route_distance < 500")} AS short_route,
+    {_flag("route_distance BETWEEN 500 AND 1500")} AS medium_route,
+    {_flag("route_distance > 1500")} AS long_route,
+    CAST(CASE WHEN delay_status IS NOT NULL THEN delay_status = 'Delayed' ELSE coalesce(is_delayed, false) END AS INTEGER)
+      AS target_delayed
+  FROM fbase
+),
+r_airline AS (SELECT airline_code, avg(CAST(target_delayed AS DOUBLE)) AS airline_delay_rate FROM flagged
+              WHERE airline_code IS NOT NULL GROUP BY airline_code),
+r_origin AS (SELECT origin_airport_code, avg(CAST(target_delayed AS DOUBLE)) AS origin_delay_rate FROM flagged
+             WHERE origin_airport_code IS NOT NULL GROUP BY origin_airport_code),
+r_dest AS (SELECT destination_airport_code, avg(CAST(target_delayed AS DOUBLE)) AS destination_delay_rate FROM flagged
+           WHERE destination_airport_code IS NOT NULL GROUP BY destination_airport_code),
+r_route AS (SELECT origin_airport_code, destination_airport_code, avg(CAST(target_delayed AS DOUBLE)) AS route_delay_rate
+            FROM flagged WHERE origin_airport_code IS NOT NULL AND destination_airport_code IS NOT NULL
+            GROUP BY origin_airport_code, destination_airport_code),
+r_aircraft AS (SELECT aircraft_category, avg(CAST(target_delayed AS DOUBLE)) AS aircraft_delay_rate FROM flagged
+               WHERE aircraft_category IS NOT NULL GROUP BY aircraft_category),
+r_weather AS (SELECT weather_type, avg(CAST(target_delayed AS DOUBLE)) AS weather_delay_rate FROM flagged
+              WHERE weather_type IS NOT NULL GROUP BY weather_type),
+feat AS (
+  SELECT f.*, ra.airline_delay_rate, ro.origin_delay_rate, rd.destination_delay_rate, rr.route_delay_rate,
+    rc.aircraft_delay_rate, rw.weather_delay_rate,
+    0.0 AS origin_live_departures_count, 0.0 AS origin_live_arrivals_count, 0.0 AS origin_delayed_departures_count,
+    0.0 AS origin_delayed_arrivals_count, 0.0 AS origin_avg_departure_delay, 0.0 AS origin_avg_arrival_delay,
+    0.0 AS destination_live_departures_count, 0.0 AS destination_live_arrivals_count,
+    0.0 AS destination_delayed_departures_count, 0.0 AS destination_delayed_arrivals_count,
+    0.0 AS destination_avg_departure_delay, 0.0 AS destination_avg_arrival_delay,
+    coalesce(f.api_departure_delay_minutes, 0) AS departure_delay_minutes_live,
+    coalesce(f.api_arrival_delay_minutes, 0) AS arrival_delay_minutes_live,
+    coalesce(f.api_live_flight_status, 'Unknown') AS live_flight_status
+  FROM flagged f
+  LEFT JOIN r_airline ra ON ra.airline_code = f.airline_code
+  LEFT JOIN r_origin ro ON ro.origin_airport_code = f.origin_airport_code
+  LEFT JOIN r_dest rd ON rd.destination_airport_code = f.destination_airport_code
+  LEFT JOIN r_route rr ON rr.origin_airport_code = f.origin_airport_code AND rr.destination_airport_code = f.destination_airport_code
+  LEFT JOIN r_aircraft rc ON rc.aircraft_category = f.aircraft_category
+  LEFT JOIN r_weather rw ON rw.weather_type = f.weather_type
+)"""
+
+
+def prepared_select(numeric: list[str], categorical: list[str]) -> str:
+    cols = ["flight_performance_id"]
+    cols += [f"coalesce(TRY_CAST({c} AS DOUBLE), 0.0) AS {c}" for c in numeric]
+    cols += [f"coalesce(CAST({c} AS VARCHAR), 'Unknown') AS {c}" for c in categorical]
+    cols += ["CAST(target_delayed AS INTEGER) AS target_delayed"]
+    return "SELECT " + ", ".join(cols) + " FROM feat"

@@ -30,7 +30,11 @@ def hourly_rows(payloads: DataFrame) -> DataFrame:
     """One row per (airport, date, reading): ``inline(arrays_zip(...))`` walks the parallel
     arrays in one pass (shorter arrays pad with NULL).  A payload without ``hourly`` or with an
     empty ``time`` array yields no rows (so lookups fall back to defaults)."""
-    zipped = F.arrays_zip(*[F.col(f"hourly.{f}").alias(f) for f in ["time"] + WEATHER_METRICS])
+    # a metric the payload lacks is a NULL array, which would null the whole zip: use [] so
+    # the zip pads it with NULLs instead
+    empty = F.array().cast("array<double>")
+    zipped = F.arrays_zip(F.col("hourly.time").alias("time"),
+                          *[F.coalesce(F.col(f"hourly.{m}"), empty).alias(m) for m in WEATHER_METRICS])
     rows = payloads.where(F.col("hourly").isNotNull()).select(
         "airport_code", F.col("date").cast("date").alias("date"), F.inline(zipped))
     ts = F.col("time").try_cast("timestamp_ntz")
