@@ -518,3 +518,122 @@ def q_classification_report(spark, sf_dir):
     scored = test.select(F.col("target_delayed").alias("label"),
                          (F.coalesce(F.col("route_delay_rate"), F.lit(0.0)) > 0.5).cast("int").alias("prediction"))
     return binary_report(scored)
+
+
+# ---------------------------------------------------------------- data quality, previews, caps
+
+def _dq_sql():
+    parts = []
+    for table, (id_col, key) in NATURAL_KEYS.items():
+        parts.append(f"SELECT '{table}' AS table_name, 'duplicate {key}' AS check_name, CAST(count(*) AS BIGINT) AS violations "
+                     f"FROM (SELECT {key} FROM {table} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(*) > 1)")
+        parts.append(f"SELECT '{table}', 'null {key}', CAST(count(*) AS BIGINT) FROM {table} WHERE {key} IS NULL")
+        parts.append(f"SELECT '{table}', 'duplicate {id_col}', CAST(count(*) AS BIGINT) "
+                     f"FROM (SELECT {id_col} FROM {table} GROUP BY {id_col} HAVING count(*) > 1)")
+    parts.append("SELECT 'fact_flightperformance', 'duplicate natural key', CAST(count(*) AS BIGINT) FROM ("
+                 "SELECT 1 FROM fact GROUP BY flight_id, date_id, scheduled_departure_time_id, origin_airport_id, "
+                 "destination_airport_id HAVING count(*) > 1)")
+    from .schemas import FACT_REFERENCES
+    for fk, table in FACT_REFERENCES.items():
+        id_col = NATURAL_KEYS[table][0]
+        parts.append(f"SELECT 'fact_flightperformance', 'orphan {fk}', CAST(count(*) AS BIGINT) FROM fact "
+                     f"WHERE {fk} IS NOT NULL AND {fk} NOT IN (SELECT {id_col} FROM {table})")
+    return O.WAREHOUSE + "\nUNION ALL ".join(parts)
+
+
+@register("dq_constraints", _dq_sql())
+def q_dq(spark, sf_dir):
+    from .operators.quality import constraint_report
+    return constraint_report(warehouse_for(spark, sf_dir))
+
+
+@register("table_preview", O.WAREHOUSE + "SELECT * FROM dim_date ORDER BY date_id LIMIT 100")
+def q_table_preview(spark, sf_dir):
+    from .sources.files import table_preview
+    # the preview's fixed page size (100 rows, reference rule) is the feature
+    return table_preview(warehouse_for(spark, sf_dir), "dim_date", "date_id")
+
+
+@register("row_cap", O.with_ctes(O.FLIGHTS) + """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, flight_number FROM flights
+ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate LIMIT 1000""")
+def q_row_cap(spark, sf_dir):
+    from .sources import testbed
+    from .sources.files import cap_rows
+    # the optional "first n rows in file order" switch of the historical load is the feature
+    f = testbed.flights_raw(spark, sf_dir)
+    return cap_rows(f, 1000, testbed.FLIGHT_ORDINAL).select(*testbed.FLIGHT_ORDINAL, "flight_number")
+
+
+@register("live_airport_aggregates", _APPEND_SQL + """
+, dep AS (SELECT origin_airport_code AS airport_code, CAST(count(*) AS BIGINT) AS live_departures_count,
+            CAST(sum(CAST(departure_delay_minutes_live > 15 AS INTEGER)) AS BIGINT) AS delayed_departures_count,
+            avg(departure_delay_minutes_live) AS avg_departure_delay FROM appended GROUP BY 1),
+  arr AS (SELECT destination_airport_code AS airport_code, CAST(count(*) AS BIGINT) AS live_arrivals_count,
+            CAST(sum(CAST(arrival_delay_minutes_live > 15 AS INTEGER)) AS BIGINT) AS delayed_arrivals_count,
+            avg(arrival_delay_minutes_live) AS avg_arrival_delay FROM appended GROUP BY 1)
+SELECT airport_code, live_departures_count, live_arrivals_count, delayed_departures_count, delayed_arrivals_count,
+  avg_departure_delay, avg_arrival_delay
+FROM dep FULL OUTER JOIN arr USING (airport_code)""")
+def q_live_airport_aggregates(spark, sf_dir):
+    from .operators.features import LIVE_AIRPORT_COLUMNS, live_airport_aggregates
+    from .plans.live_update import append_live
+    tables, appended, _ = append_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
+    agg = live_airport_aggregates(appended)
+    codes = tables["dim_airport"].select("airport_id", "airport_code")
+    out = agg.join(F.broadcast(codes), "airport_id").select("airport_code", *LIVE_AIRPORT_COLUMNS)
+    return out.withColumns({c: F.col(c).cast("bigint") for c in LIVE_AIRPORT_COLUMNS if c.endswith("count")})
+
+
+@register("serve_features", O.STARRED + """
+, req AS (SELECT flight_number, max(full_date) + INTERVAL 7 DAY AS selected_date FROM star GROUP BY flight_number),
+  pick AS (
+    SELECT * FROM (
+      SELECT q.flight_number AS request_fn, CAST(q.selected_date AS DATE) AS selected_date, s.*,
+        row_number() OVER (PARTITION BY q.flight_number ORDER BY s.full_date DESC, s.flight_performance_id DESC) AS rn
+      FROM req q JOIN star s ON upper(trim(s.flight_number)) = upper(trim(q.flight_number)))
+    WHERE rn = 1)
+SELECT request_fn AS flight_number, selected_date, flight_performance_id,
+  CAST(day(selected_date) AS INTEGER) AS day, CAST(month(selected_date) AS INTEGER) AS month,
+  CAST(year(selected_date) AS INTEGER) AS year, CAST(quarter(selected_date) AS INTEGER) AS quarter,
+  CAST(isodow(selected_date) - 1 AS INTEGER) AS day_of_week, isodow(selected_date) IN (6, 7) AS is_weekend,
+  hour, airline_code, origin_airport_code, destination_airport_code
+FROM pick""")
+def q_serve_features(spark, sf_dir):
+    from .ml.scoring import history_for_requests, override_date
+    star = star_lookup(warehouse_for(spark, sf_dir))
+    req = star.groupBy("flight_number").agg(F.date_add(F.max("full_date"), 7).alias("selected_date")) \
+        .withColumn("request_id", F.col("flight_number"))
+    rows = override_date(history_for_requests(req, star))
+    return rows.select(F.col("request_id").alias("flight_number"), "selected_date", "flight_performance_id", "day",
+                       "month", "year", "quarter", "day_of_week", "is_weekend", "hour", "airline_code",
+                       "origin_airport_code", "destination_airport_code")
+
+
+# ---------------------------------------------------------------- model training and scoring (rows-only)
+
+@register("train_leaderboard")
+def q_train_leaderboard(spark, sf_dir):
+    from .ml.training import ModelSizes, train_and_select
+    _, _, board = train_and_select(_prepared(spark, sf_dir), ModelSizes.quick())
+    return board
+
+
+@register("batch_predict")
+def q_batch_predict(spark, sf_dir):
+    from .ml.scoring import predict
+    from .ml.training import ModelSizes, train_and_select
+    star = star_lookup(warehouse_for(spark, sf_dir))
+    _, model, _ = train_and_select(_prepared(spark, sf_dir), ModelSizes.quick(), names=["Decision Tree"])
+    req = star.groupBy("flight_number").agg(F.date_add(F.max("full_date"), 7).alias("selected_date")) \
+        .withColumn("request_id", F.col("flight_number"))
+    return predict(model, req, _prepared_history(star))
+
+
+def _prepared_history(star):
+    """History rows carrying every model input column (flags, rates, live columns) for serving."""
+    from .operators.features import add_flags, attach_delay_rates
+    flagged = attach_delay_rates(add_flags(star.withColumns({
+        "api_departure_delay_minutes": F.lit(None).cast("int"), "api_arrival_delay_minutes": F.lit(None).cast("int"),
+        "api_live_flight_status": F.lit(None).cast("string")})))
+    return flagged
