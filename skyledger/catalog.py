@@ -637,3 +637,92 @@ def _prepared_history(star):
         "api_departure_delay_minutes": F.lit(None).cast("int"), "api_arrival_delay_minutes": F.lit(None).cast("int"),
         "api_live_flight_status": F.lit(None).cast("string")})))
     return flagged
+
+
+# ---------------------------------------------------------------- lookups, leak-free rates, flags
+
+_LIVE_WH_SQL = O.with_ctes(O.FLIGHTS, O.STG, O.DIMS, O.RESOLVED, O.FACT, O.LIVE_FLAT)
+
+
+@register("dim_insert_if_absent", _LIVE_UPSERT_SQL + "SELECT * FROM live_dim_time")
+def q_dim_insert_if_absent(spark, sf_dir):
+    """The time dimension after a live batch: existing members unchanged, new clocks appended
+    after the current max id in natural-key order."""
+    from .plans.live_update import live_dimensions, parse_batch
+    acc = parse_batch(_live_pages(spark, sf_dir)).accepted
+    return live_dimensions(spark, warehouse_for(spark, sf_dir), acc)["dim_time"]
+
+
+@register("route_lookup", _LIVE_WH_SQL + """
+SELECT flight_number, flight_type, route_category, route_distance FROM dim_flight
+WHERE flight_number IN (SELECT flight_number FROM live_acc)""")
+def q_route_lookup(spark, sf_dir):
+    """Route details for every flight number a live batch asks about: the per-key
+    ``WHERE flight_number = ? LIMIT 1`` as one semi join + keep-first."""
+    from .plans.live_update import parse_batch
+    req = parse_batch(_live_pages(spark, sf_dir)).accepted.select("flight_number")
+    hits = A.lookup_many(warehouse_for(spark, sf_dir)["dim_flight"], req, "flight_number", "flight_id")
+    return hits.select("flight_number", "flight_type", "route_category", "route_distance")
+
+
+@register("airport_lookup", _LIVE_WH_SQL + """
+SELECT airport_id, airport_code, airport_name, city, country, latitude, longitude FROM dim_airport
+WHERE airport_code IN (SELECT origin_airport_code FROM live_acc UNION SELECT destination_airport_code FROM live_acc)""")
+def q_airport_lookup(spark, sf_dir):
+    """Airport rows for both airport roles of a live batch (per-code lookup, set-based)."""
+    from .plans.live_update import parse_batch
+    acc = parse_batch(_live_pages(spark, sf_dir)).accepted
+    req = acc.select(F.col("origin_airport_code").alias("airport_code")).unionByName(
+        acc.select(F.col("destination_airport_code").alias("airport_code")))
+    hits = A.lookup_many(warehouse_for(spark, sf_dir)["dim_airport"], req, "airport_code", "airport_id")
+    return hits.select("airport_id", "airport_code", "airport_name", "city", "country", "latitude", "longitude")
+
+
+_RATE_KEYS = {"airline_delay_rate": ["airline_code"], "origin_delay_rate": ["origin_airport_code"],
+              "destination_delay_rate": ["destination_airport_code"],
+              "route_delay_rate": ["origin_airport_code", "destination_airport_code"],
+              "aircraft_delay_rate": ["aircraft_category"], "weather_delay_rate": ["weather_type"]}
+
+
+def _leakfree_sql() -> str:
+    ctes = [f", tr AS (SELECT * FROM flagged WHERE NOT {_SPLIT_SQL})",
+            f"te AS (SELECT * FROM flagged WHERE {_SPLIT_SQL})",
+            "m AS (SELECT coalesce(avg(CAST(target_delayed AS DOUBLE)), 0.0) AS mean_rate FROM tr)"]
+    sel, joins = [], []
+    for i, (name, keys) in enumerate(_RATE_KEYS.items()):
+        ks = ", ".join(keys)
+        ctes.append(f"t{i} AS (SELECT {ks}, avg(CAST(target_delayed AS DOUBLE)) AS r FROM tr WHERE "
+                    + " AND ".join(f"{k} IS NOT NULL" for k in keys) + f" GROUP BY {ks})")
+        joins.append(f"LEFT JOIN t{i} ON " + " AND ".join(f"t{i}.{k} = te.{k}" for k in keys))
+        sel.append(f"coalesce(t{i}.r, m.mean_rate) AS {name}")
+    return (_FEAT_SQL + ",\n".join(ctes) + "\nSELECT te.flight_performance_id, " + ", ".join(sel)
+            + " FROM te CROSS JOIN m " + " ".join(joins))
+
+
+@register("delay_rates_leakfree", _leakfree_sql())
+def q_delay_rates_leakfree(spark, sf_dir):
+    """Delay rates fitted on the training split only, applied to the test split; keys unseen in
+    training take the training mean."""
+    from .ml.training import split_column
+    from .operators.features import DELAY_RATE_GROUPS, add_flags, attach_delay_rates
+    from .operators.star import star_join
+    flagged = add_flags(star_join(warehouse_for(spark, sf_dir))) \
+        .withColumn("_split", split_column("flight_performance_id"))
+    train, test = flagged.where(F.col("_split") == "train"), flagged.where(F.col("_split") == "test")
+    return attach_delay_rates(test, fit=train, fallback_to_mean=True) \
+        .select("flight_performance_id", *DELAY_RATE_GROUPS)
+
+
+_FLAG_COLS = ["day_of_week", "is_weekend", "is_night_flight", "is_morning", "is_afternoon", "is_evening",
+              "is_peak_hour", "is_winter", "is_summer", "is_holiday_season", "low_visibility", "high_wind",
+              "bad_weather", "short_route", "medium_route", "long_route", "target_delayed"]
+
+
+@register("feature_flags", _FEAT_SQL + "SELECT flight_performance_id, hour, month, " + ", ".join(_FLAG_COLS)
+          + " FROM flagged")
+def q_feature_flags(spark, sf_dir):
+    """Calendar, clock, season, weather and route flags and the target for every fact row."""
+    from .operators.features import add_flags
+    from .operators.star import star_join
+    return add_flags(star_join(warehouse_for(spark, sf_dir))).select("flight_performance_id", "hour", "month",
+                                                                     *_FLAG_COLS)
