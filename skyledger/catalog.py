@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .operators import analytics as A
+from .operators.broadcast import broadcast_if_small
 from .operators.ids import key_watermarks
 from .operators.star import star_lookup
 from .plans.warehouse import testbed_load, warehouse_for
@@ -581,7 +582,7 @@ def q_live_airport_aggregates(spark, sf_dir):
     tables, appended, _ = append_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
     agg = live_airport_aggregates(appended)
     codes = tables["dim_airport"].select("airport_id", "airport_code")
-    out = agg.join(F.broadcast(codes), "airport_id").select("airport_code", *LIVE_AIRPORT_COLUMNS)
+    out = agg.join(broadcast_if_small(codes), "airport_id").select("airport_code", *LIVE_AIRPORT_COLUMNS)
     return out.withColumns({c: F.col(c).cast("bigint") for c in LIVE_AIRPORT_COLUMNS if c.endswith("count")})
 
 

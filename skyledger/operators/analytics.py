@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_code, is_valid_flight_number, route_label
 from ..sources.files import first_existing
+from .broadcast import broadcast_if_small
 
 # Fixed values (reference rules).
 MIN_ROUTE_FLIGHTS = 10
@@ -65,13 +66,13 @@ def default_airlines(frame: DataFrame, k: int = DEFAULT_AIRLINE_PICKS) -> DataFr
 def apply_filters(frame: DataFrame, years: DataFrame | list | None = None,
                   airlines: DataFrame | list | None = None) -> DataFrame:
     """Keep rows whose year and airline are selected (NULLs never match).  A selection given
-    as a DataFrame becomes a broadcast semi join; ``None`` selects every non-NULL value."""
+    as a DataFrame becomes a semi join (broadcast when its size check passes); ``None`` selects every non-NULL value."""
     out = frame
     for col, sel in (("year", years), ("airline_name", airlines)):
         if sel is None:
             out = out.where(F.col(col).isNotNull())
         elif isinstance(sel, DataFrame):
-            out = out.join(F.broadcast(sel.select(col).distinct()), col, "left_semi")
+            out = out.join(broadcast_if_small(sel.select(col).distinct()), col, "left_semi")
         else:
             out = out.where(F.col(col).isin(list(sel)))
     return out

@@ -10,7 +10,8 @@ from tests.conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 KEYS = ["dim_time_build", "fact_projection", "fact_table", "star_lookup", "delay_by_airline", "top_routes",
-        "live_flatten", "weather_nearest_hour", "delay_rates"]
+        "live_flatten", "weather_nearest_hour", "delay_rates",
+        "route_lookup", "feature_flags", "delay_rates_leakfree", "dim_insert_if_absent"]
 
 
 def _norm(rows, names):
