@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _dash(spark, sf_dir):
-    return A.dashboard_frame(star_lookup(warehouse_for(spark, sf_dir)))
+    return A.dashboard_frame(star_lookup(warehouse_for(spark, sf_dir), A.DASHBOARD_STAR_COLUMNS))
 
 
 # ---------------------------------------------------------------- dimensions

@@ -15,6 +15,9 @@ MIN_ROUTE_FLIGHTS = 10
 TOP_ROUTES = 10
 DEFAULT_AIRLINE_PICKS = 5
 LIVE_SOURCE = "Aviationstack"
+# The star columns the dashboard reads (everything its fallback chain resolves to).
+DASHBOARD_STAR_COLUMNS = ["flight_performance_id", "delay_minutes", "is_delayed", "full_date", "year", "month",
+                          "hour", "origin_airport_code", "destination_airport_code", "airline_code", "airline_name"]
 
 
 def dashboard_frame(star: DataFrame) -> DataFrame:

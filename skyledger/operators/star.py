@@ -33,36 +33,46 @@ def _airport_role(dim_airport: DataFrame, prefix: str) -> DataFrame:
                               F.col("longitude").alias(f"{prefix}_longitude"))
 
 
-def star_join(tables: dict[str, DataFrame], fact: DataFrame | None = None) -> DataFrame:
+def star_join(tables: dict[str, DataFrame], fact: DataFrame | None = None,
+              columns: list[str] | None = None) -> DataFrame:
     """Fact with every dimension attribute attached (LEFT joins: a fact row is never lost).
 
     Dimensions under the broadcast bound are broadcast, so the fact streams through map-side
     hash joins with no shuffle; filters on fact columns are pushed below the joins by Catalyst.
+    With ``columns``, only the dimension roles that supply one of them are joined: every role
+    is a LEFT join on a unique surrogate id, so skipping an unused one changes no row, and the
+    fact no longer probes (nor size-checks) dimensions the query never reads.
     """
     f = fact if fact is not None else tables["fact_flightperformance"]
-    b = broadcast_if_small
-    dims = [
-        (b(tables["dim_date"].drop("quarter")), "date_id"),
-        (b(tables["dim_time"].select(F.col("time_id").alias("scheduled_departure_time_id"),
-                                     "hour", "minute", "time_of_day")), "scheduled_departure_time_id"),
-        (b(_airport_role(tables["dim_airport"], "origin")), "origin_airport_id"),
-        (b(_airport_role(tables["dim_airport"], "destination")), "destination_airport_id"),
-        (b(tables["dim_airline"]), "airline_id"),
-        (b(tables["dim_flight"]), "flight_id"),
-        (b(tables["dim_aircraft"]), "aircraft_id"),
-        (b(tables["dim_weather_condition"].withColumnRenamed("weather_condition", "weather_type")),
+    roles = [
+        (tables["dim_date"].drop("quarter"), "date_id"),
+        (tables["dim_time"].select(F.col("time_id").alias("scheduled_departure_time_id"),
+                                   "hour", "minute", "time_of_day"), "scheduled_departure_time_id"),
+        (_airport_role(tables["dim_airport"], "origin"), "origin_airport_id"),
+        (_airport_role(tables["dim_airport"], "destination"), "destination_airport_id"),
+        (tables["dim_airline"], "airline_id"),
+        (tables["dim_flight"], "flight_id"),
+        (tables["dim_aircraft"], "aircraft_id"),
+        (tables["dim_weather_condition"].withColumnRenamed("weather_condition", "weather_type"),
          "weather_condition_id"),
-        (b(tables["dim_delay_cause"].withColumnRenamed("delay_cause", "delay_cause_type")), "delay_cause_id"),
+        (tables["dim_delay_cause"].withColumnRenamed("delay_cause", "delay_cause_type"), "delay_cause_id"),
     ]
+    wanted = None if columns is None else set(columns) | ({"month"} if "quarter" in columns else set())
     out = f
-    for dim, key in dims:
-        out = out.join(dim, key, "left")
-    return out.withColumn("quarter", quarter_from_month("month"))
+    for dim, key in roles:
+        if wanted is not None and not (set(dim.columns) - {key}) & wanted:
+            continue
+        out = out.join(broadcast_if_small(dim), key, "left")
+    if "month" in out.columns and (columns is None or "quarter" in columns):
+        out = out.withColumn("quarter", quarter_from_month("month"))
+    return out
 
 
-def star_lookup(tables: dict[str, DataFrame]) -> DataFrame:
-    """The denormalised lookup dataset behind the dashboard and the prediction page."""
-    return star_join(tables).select(*STAR_COLUMNS)
+def star_lookup(tables: dict[str, DataFrame], columns: list[str] | None = None) -> DataFrame:
+    """The denormalised lookup dataset behind the dashboard and the prediction page
+    (``columns``: a subset of ``STAR_COLUMNS``, joining only the dimensions they come from)."""
+    cols = list(columns) if columns is not None else STAR_COLUMNS
+    return star_join(tables, columns=cols).select(*cols)
 
 
 def live_rows_report(tables: dict[str, DataFrame], source: str = "Aviationstack", n: int = 10) -> DataFrame:
