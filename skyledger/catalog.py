@@ -505,13 +505,21 @@ def q_scaler_stats(spark, sf_dir):
     coalesce(sum(n) FILTER (WHERE label = 0 AND prediction = 0), 0) AS tn FROM cm)
 SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn,
   round(CASE WHEN tp + fp + fn + tn > 0 THEN (tp + tn) / (tp + fp + fn + tn) ELSE 0.0 END, 6) AS accuracy,
-  round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision_1,
-  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall_1,
-  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1_1,
-  round(CASE WHEN tn + fn > 0 THEN tn / (tn + fn) ELSE 0.0 END, 6) AS precision_0,
-  round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END, 6) AS recall_0,
-  round(CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0.0 END, 6) AS f1_0
-FROM t""")
+  round(p1, 6) AS precision_1, round(r1, 6) AS recall_1, round(f1, 6) AS f1_1,
+  round(p0, 6) AS precision_0, round(r0, 6) AS recall_0, round(f0, 6) AS f1_0,
+  CAST(tp + fn AS BIGINT) AS support_1, CAST(tn + fp AS BIGINT) AS support_0,
+  round((p0 + p1) / 2, 6) AS macro_precision,
+  round(CASE WHEN tp + fn + tn + fp > 0 THEN (p0 * (tn + fp) + p1 * (tp + fn)) / (tp + fn + tn + fp) ELSE 0.0 END, 6) AS weighted_precision,
+  round((r0 + r1) / 2, 6) AS macro_recall,
+  round(CASE WHEN tp + fn + tn + fp > 0 THEN (r0 * (tn + fp) + r1 * (tp + fn)) / (tp + fn + tn + fp) ELSE 0.0 END, 6) AS weighted_recall,
+  round((f0 + f1) / 2, 6) AS macro_f1,
+  round(CASE WHEN tp + fn + tn + fp > 0 THEN (f0 * (tn + fp) + f1 * (tp + fn)) / (tp + fn + tn + fp) ELSE 0.0 END, 6) AS weighted_f1
+FROM (SELECT *,
+  CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p1, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r1,
+  CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1,
+  CASE WHEN tn + fn > 0 THEN tn / (tn + fn) ELSE 0.0 END AS p0, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END AS r0,
+  CASE WHEN 2 * tn + fp + fn > 0 THEN 2 * tn / (2 * tn + fp + fn) ELSE 0.0 END AS f0
+  FROM t) m""")
 def q_classification_report(spark, sf_dir):
     from .ml.training import binary_report, split_column
     df = _prepared(spark, sf_dir)
