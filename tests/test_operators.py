@@ -70,3 +70,19 @@ def test_live_upsert_is_idempotent(spark):
     a = once["fact_flightperformance"].select(*cols)
     b = twice["fact_flightperformance"].select(*cols)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_pruned_star_matches_full_star(spark):
+    """Joining only the dimension roles a query reads gives the same rows as the full star."""
+    from skyledger.operators.analytics import DASHBOARD_STAR_COLUMNS
+    from skyledger.operators.star import star_lookup
+    from skyledger.plans.warehouse import warehouse_for
+    from tests.conftest import SF_SMALL
+    wh = warehouse_for(spark, SF_SMALL)
+    full = star_lookup(wh).select(*DASHBOARD_STAR_COLUMNS)
+    lean = star_lookup(wh, DASHBOARD_STAR_COLUMNS)
+    assert lean.count() == full.count()
+    assert lean.exceptAll(full).count() == 0 and full.exceptAll(lean).count() == 0
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(lean) == 5 and joins(full) == 9   # date, time, two airport roles, airline
