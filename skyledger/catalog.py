@@ -29,8 +29,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def _dash(spark, sf_dir):
-    return A.dashboard_frame(star_lookup(warehouse_for(spark, sf_dir), A.DASHBOARD_STAR_COLUMNS))
+def _dash(spark, sf_dir, *need):
+    """The dashboard frame over a star holding only what the chart needs: id, flag, date parts
+    and airline name (the filters) plus ``need``; unused dimension roles are never joined."""
+    cols = ["flight_performance_id", "is_delayed", "full_date", "year", "month", "airline_name", *need]
+    return A.dashboard_frame(star_lookup(warehouse_for(spark, sf_dir), cols))
 
 
 # ---------------------------------------------------------------- dimensions
@@ -156,7 +159,7 @@ SELECT CAST(count(*) AS BIGINT) AS total_flights,
   avg(departure_delay) AS avg_departure_delay
 FROM dash WHERE year IS NOT NULL AND airline_name IS NOT NULL""")
 def q_kpi(spark, sf_dir):
-    return A.kpi_summary(A.apply_filters(_dash(spark, sf_dir)))
+    return A.kpi_summary(A.apply_filters(_dash(spark, sf_dir, "delay_minutes")))
 
 
 @register("delay_by_airline", O.STARRED + """
@@ -175,7 +178,7 @@ SELECT month, CAST(count(flight_performance_id) AS BIGINT) AS total_flights,
   sum(CAST(is_delayed AS BIGINT)) / count(flight_performance_id) * 100 AS delay_rate
 FROM dash WHERE year IS NOT NULL AND airline_name IS NOT NULL AND month IS NOT NULL GROUP BY month""")
 def q_delay_by_month(spark, sf_dir):
-    return A.delay_by_month(A.apply_filters(_dash(spark, sf_dir)))
+    return A.delay_by_month(A.apply_filters(_dash(spark, sf_dir, "delay_minutes")))
 
 
 @register("delay_by_hour", O.STARRED + """
@@ -183,7 +186,7 @@ SELECT departure_hour, avg(departure_delay) AS avg_departure_delay
 FROM dash WHERE year IS NOT NULL AND airline_name IS NOT NULL AND departure_hour IS NOT NULL
 GROUP BY departure_hour""")
 def q_delay_by_hour(spark, sf_dir):
-    return A.delay_by_hour(A.apply_filters(_dash(spark, sf_dir)))
+    return A.delay_by_hour(A.apply_filters(_dash(spark, sf_dir, "delay_minutes", "hour")))
 
 
 @register("top_routes", O.STARRED + """
@@ -193,7 +196,7 @@ SELECT route, total_flights, avg_departure_delay FROM (
   FROM dash WHERE year IS NOT NULL AND airline_name IS NOT NULL GROUP BY 1)
 WHERE total_flights >= 10 ORDER BY avg_departure_delay DESC, route LIMIT 10""")
 def q_top_routes(spark, sf_dir):
-    return A.top_routes(A.apply_filters(_dash(spark, sf_dir)))
+    return A.top_routes(A.apply_filters(_dash(spark, sf_dir, "delay_minutes", "origin_airport_code", "destination_airport_code")))
 
 
 @register("filtered_dashboard", O.STARRED + """
@@ -204,7 +207,7 @@ SELECT CAST(count(*) AS BIGINT) AS total_flights,
   avg(departure_delay) AS avg_departure_delay
 FROM dash WHERE year IS NOT NULL AND airline_name IN (SELECT airline_name FROM picks)""")
 def q_filtered_dashboard(spark, sf_dir):
-    frame = _dash(spark, sf_dir)
+    frame = _dash(spark, sf_dir, "delay_minutes")
     return A.kpi_summary(A.apply_filters(frame, years=A.year_options(frame), airlines=A.default_airlines(frame)))
 
 
