@@ -3,6 +3,7 @@ live airport aggregates, the 55-column feature contract and its cleaning."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,14 +80,23 @@ def add_flags(df: DataFrame) -> DataFrame:
 def delay_rates(fit: DataFrame, groups: dict[str, list[str]] = DELAY_RATE_GROUPS) -> dict[str, DataFrame]:
     """Mean target per group for each rate feature (NULL group keys excluded).
 
-    Each is a partial aggregation: map-side combine keeps a hot key (one airline holding a third
-    of all flights) from landing in a single task; output rows = distinct keys."""
+    All rates come from ONE grouping-sets aggregation: a single pass over ``fit`` (instead of
+    one star join per rate), partially aggregated map-side, so a hot key (one airline holding a
+    third of all flights) never lands whole in one task.  The result has one row per distinct
+    key of each set (bounded by airports squared for routes); it is persisted so the per-rate
+    tables and their broadcast size checks read it instead of re-running the pass."""
+    keys = list(dict.fromkeys(k for ks in groups.values() for k in ks))
+    agg = (fit.groupingSets([list(ks) for ks in groups.values()], *keys)
+           .agg(F.avg(F.col(TARGET).cast("double")).alias("_rate"), F.grouping_id().alias("_gid"))
+           .persist(StorageLevel.MEMORY_AND_DISK))
     out = {}
-    for name, keys in groups.items():
-        cond = F.lit(True)
-        for k in keys:
+    for name, ks in groups.items():
+        # grouping_id: bit set (most significant first, in ``keys`` order) for columns not grouped
+        gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in ks)
+        cond = F.col("_gid") == gid
+        for k in ks:
             cond = cond & F.col(k).isNotNull()
-        out[name] = fit.where(cond).groupBy(*keys).agg(F.avg(F.col(TARGET).cast("double")).alias(name))
+        out[name] = agg.where(cond).select(*ks, F.col("_rate").alias(name))
     return out
 
 

@@ -119,9 +119,17 @@ def write_warehouse(result: LoadResult, path: str) -> None:
     ``flight_month`` partitions replaced (dynamic partition overwrite), nothing else rewritten."""
     for name in DIM_TABLES:
         result.tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
-    (result.fact_affected.write.mode("overwrite")
+    write_fact_partitions(result.fact_affected, f"{path}/fact_flightperformance")
+
+
+def write_fact_partitions(affected: DataFrame, fact_path: str) -> None:
+    """Replace the ``flight_month`` partitions present in ``affected`` (dynamic overwrite).
+    ``rebalance`` on the month lets AQE size the write tasks: small months share a task and
+    get one file each, a month bigger than the advisory size is split over several tasks,
+    so neither thousands of tiny files nor one giant task appear."""
+    (affected.hint("rebalance", "flight_month").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
-     .partitionBy("flight_month").parquet(f"{path}/fact_flightperformance"))
+     .partitionBy("flight_month").parquet(fact_path))
 
 
 def read_warehouse(spark: SparkSession, path: str) -> dict[str, DataFrame]:

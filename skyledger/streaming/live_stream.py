@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.live_update import upsert_live
-from ..plans.warehouse import DIM_TABLES, read_warehouse
+from ..plans.warehouse import DIM_TABLES, read_warehouse, write_fact_partitions
 from ..session import ensure_checkpoint_dir
 
 
@@ -34,8 +34,7 @@ def commit_batch(spark: SparkSession, pages: DataFrame, warehouse_dir: str, run_
     affected = result.fact_affected.checkpoint(eager=True)
     for name, df in dims.items():
         df.write.mode("overwrite").parquet(f"{warehouse_dir}/{name}")
-    (affected.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("flight_month").parquet(f"{warehouse_dir}/fact_flightperformance"))
+    write_fact_partitions(affected, f"{warehouse_dir}/fact_flightperformance")
     return counters
 
 
