@@ -86,3 +86,21 @@ def test_pruned_star_matches_full_star(spark):
     def joins(df):
         return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert joins(lean) == 5 and joins(full) == 9   # date, time, two airport roles, airline
+
+
+def test_constraint_report_finds_orphans_and_duplicates(spark):
+    """Injected violations: one orphan airline id, one NULL FK (not an orphan), one duplicate fact key."""
+    from skyledger.operators.quality import constraint_report
+    from skyledger.plans.warehouse import warehouse_for
+    from tests.conftest import SF_SMALL
+    wh = dict(warehouse_for(spark, SF_SMALL))
+    fact = wh["fact_flightperformance"]
+    one = fact.limit(1)
+    wh["fact_flightperformance"] = (fact.unionByName(one)
+                                    .unionByName(one.withColumn("airline_id", F.lit(999999)))
+                                    .unionByName(one.withColumn("actual_departure_time_id", F.lit(None).cast("int"))))
+    got = {(r.table_name, r.check_name): r.violations for r in constraint_report(wh).collect()}
+    assert got[("fact_flightperformance", "orphan airline_id")] == 1
+    assert got[("fact_flightperformance", "orphan actual_departure_time_id")] == 0
+    assert got[("fact_flightperformance", "duplicate natural key")] == 1
+    assert got[("dim_airline", "duplicate airline_code")] == 0
