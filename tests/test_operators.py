@@ -99,8 +99,18 @@ def test_constraint_report_finds_orphans_and_duplicates(spark):
     wh["fact_flightperformance"] = (fact.unionByName(one)
                                     .unionByName(one.withColumn("airline_id", F.lit(999999)))
                                     .unionByName(one.withColumn("actual_departure_time_id", F.lit(None).cast("int"))))
+    al = wh["dim_airline"]
+    first = al.orderBy("airline_id").limit(1)
+    wh["dim_airline"] = (al.unionByName(first.withColumn("airline_id", F.lit(777)))       # duplicate code
+                         .unionByName(first.withColumn("airline_code", F.lit(None).cast("string")))  # NULL code, dup id
+                         .unionByName(first.withColumns({"airline_id": F.lit(778),
+                                                         "airline_code": F.lit(None).cast("string")})))
     got = {(r.table_name, r.check_name): r.violations for r in constraint_report(wh).collect()}
+    assert len(got) == 3 * 8 + 1 + 10
     assert got[("fact_flightperformance", "orphan airline_id")] == 1
     assert got[("fact_flightperformance", "orphan actual_departure_time_id")] == 0
     assert got[("fact_flightperformance", "duplicate natural key")] == 1
-    assert got[("dim_airline", "duplicate airline_code")] == 0
+    assert got[("dim_airline", "duplicate airline_code")] == 1
+    assert got[("dim_airline", "null airline_code")] == 2
+    assert got[("dim_airline", "duplicate airline_id")] == 1
+    assert got[("dim_airport", "duplicate airport_code")] == 0 and got[("dim_date", "null full_date")] == 0
