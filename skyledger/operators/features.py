@@ -164,8 +164,9 @@ def prepare_features(df: DataFrame) -> DataFrame:
     as text with NULL -> 'Unknown', and the target; errors if any contract column is missing."""
     require_columns(df, NUMERIC_FEATURES + CATEGORICAL_FEATURES + [TARGET], "ML training")
     keep = [c for c in ("flight_performance_id",) if c in df.columns]
+    types = dict(df.dtypes)
     return df.select(*keep,
-                     *[FL.to_number(c).alias(c) for c in NUMERIC_FEATURES],
+                     *[FL.to_number(c, types[c]).alias(c) for c in NUMERIC_FEATURES],
                      *[category(c).alias(c) for c in CATEGORICAL_FEATURES],
                      F.col(TARGET).cast("int").alias(TARGET))
 
@@ -183,5 +184,6 @@ def conform_for_model(df: DataFrame) -> DataFrame:
         if c not in out.columns:
             out = out.withColumn(c, F.lit(UNKNOWN))
     keep = [c for c in ("request_id", "flight_number", "flight_performance_id") if c in out.columns]
-    return out.select(*keep, *[FL.to_number(c).alias(c) for c in NUMERIC_FEATURES],
+    types = dict(out.dtypes)
+    return out.select(*keep, *[FL.to_number(c, types[c]).alias(c) for c in NUMERIC_FEATURES],
                       *[category(c).alias(c) for c in CATEGORICAL_FEATURES])
