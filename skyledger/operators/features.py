@@ -120,17 +120,30 @@ def attach_delay_rates(df: DataFrame, fit: DataFrame | None = None, fallback_to_
 
 def live_airport_aggregates(fact_live: DataFrame, airport_key: str = "airport_id") -> DataFrame:
     """Per airport from live rows: departures / arrivals, delayed departures / arrivals
-    (delay > 15), mean departure / arrival delay.  Two partial aggregations + a full outer join
-    of airport-sized results."""
-    dep = fact_live.groupBy(F.col("origin_airport_id").alias(airport_key)).agg(
-        F.count(F.lit(1)).alias("live_departures_count"),
-        F.sum((F.coalesce(F.col("api_departure_delay_minutes"), F.lit(0)) > 15).cast("int")).alias("delayed_departures_count"),
-        F.avg("api_departure_delay_minutes").alias("avg_departure_delay"))
-    arr = fact_live.groupBy(F.col("destination_airport_id").alias(airport_key)).agg(
-        F.count(F.lit(1)).alias("live_arrivals_count"),
-        F.sum((F.coalesce(F.col("api_arrival_delay_minutes"), F.lit(0)) > 15).cast("int")).alias("delayed_arrivals_count"),
-        F.avg("api_arrival_delay_minutes").alias("avg_arrival_delay"))
-    return dep.join(arr, airport_key, "full_outer").select(airport_key, *LIVE_AIRPORT_COLUMNS)
+    (delay > 15), mean departure / arrival delay.  One pass: every live row yields its origin
+    (departure) and destination (arrival) role through a two-element explode, then a single
+    partial aggregation per airport.  A side an airport never had stays NULL (as a full outer
+    join of the two per-role aggregates would leave it)."""
+    role = F.explode(F.array(
+        F.struct(F.col("origin_airport_id").alias("_a"), F.lit(True).alias("_dep"),
+                 F.col("api_departure_delay_minutes").alias("_d")),
+        F.struct(F.col("destination_airport_id").alias("_a"), F.lit(False).alias("_dep"),
+                 F.col("api_arrival_delay_minutes").alias("_d"))))
+    rows = fact_live.select(role.alias("_r")).select("_r.*")
+    dep, arr = F.col("_dep"), ~F.col("_dep")
+    late = F.coalesce(F.col("_d"), F.lit(0)) > 15
+    agg = rows.groupBy(F.col("_a").alias(airport_key)).agg(
+        F.count(F.when(dep, 1)).alias("_nd"), F.count(F.when(arr, 1)).alias("_na"),
+        F.count(F.when(dep & late, 1)).alias("_ld"), F.count(F.when(arr & late, 1)).alias("_la"),
+        F.avg(F.when(dep, F.col("_d"))).alias("avg_departure_delay"),
+        F.avg(F.when(arr, F.col("_d"))).alias("avg_arrival_delay"))
+    has_d, has_a = F.col("_nd") > 0, F.col("_na") > 0
+    return agg.select(airport_key,
+                      F.when(has_d, F.col("_nd")).alias("live_departures_count"),
+                      F.when(has_a, F.col("_na")).alias("live_arrivals_count"),
+                      F.when(has_d, F.col("_ld")).alias("delayed_departures_count"),
+                      F.when(has_a, F.col("_la")).alias("delayed_arrivals_count"),
+                      "avg_departure_delay", "avg_arrival_delay")
 
 
 def attach_live_features(df: DataFrame, live: DataFrame) -> DataFrame:
