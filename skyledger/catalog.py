@@ -308,9 +308,12 @@ _MERGED_COLS = ["flight_performance_id", "flight_id", "airline_id", "origin_airp
 @register("live_upsert_rows", _LIVE_UPSERT_SQL + "SELECT * FROM live_merged")
 def q_live_upsert_rows(spark, sf_dir):
     from .plans.live_update import upsert_live
-    from .schemas import FACT_KEY
+    from .schemas import FACT_FLIGHTPERFORMANCE
     r = upsert_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
-    return r.fact_affected.join(r.statuses, FACT_KEY).select(*_MERGED_COLS, F.col("_status").alias("status"))
+    # inserted / updated rows straight from the persisted merge (no join of affected to statuses)
+    changed = r.merge_cache.where(F.col("_status") != "unchanged")
+    return changed.select(*[F.col(c).cast(FACT_FLIGHTPERFORMANCE[c].dataType).alias(c) for c in _MERGED_COLS],
+                          F.col("_status").alias("status"))
 
 
 @register("live_upsert_status", _LIVE_UPSERT_SQL + """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +43,14 @@ def upsert_fact(target: DataFrame, resolved: DataFrame, order_cols: list[str], r
                 prune_partitions: bool = True, target_is_empty: bool = False):
     """Merge resolved source rows into the fact.
 
-    Returns ``(affected, status)``:
+    Returns ``(affected, status, cache)``:
 
     * ``affected`` — the new content of every target partition (``flight_month``) the batch
       touches: untouched rows of those months, updated rows, and inserted rows.  Write it with
       dynamic partition overwrite; other months are never read or rewritten.
     * ``status`` — per fact key, ``inserted`` or ``updated`` (feeds the run counters).
+    * ``cache`` — the persisted merge both are projections of, so the counters never re-run
+      the full outer join over the touched months; ``unpersist()`` it once written.
 
     Inserted keys get ids after the target's max id in file order; updated keys keep id,
     airline, aircraft and created_at and take the batch's last values of the five update
@@ -81,10 +84,11 @@ def upsert_fact(target: DataFrame, resolved: DataFrame, order_cols: list[str], r
         from_src = F.col(f"_first.{c}") if c in src_live else F.lit(None)
         cols[c] = F.when(has_t, F.col(f"t.{c}")).otherwise(from_src)
     status = F.when(has_t & has_s, F.lit("updated")).when(has_s, F.lit("inserted")).otherwise(F.lit("unchanged"))
-    merged = j.select(*[v.alias(k) for k, v in cols.items()], status.alias("_status"))
+    merged = j.select(*[v.alias(k) for k, v in cols.items()], status.alias("_status")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     affected = conform(merged, FACT_FLIGHTPERFORMANCE)
     statuses = merged.where(F.col("_status") != "unchanged").select(*FACT_KEY, "_status")
-    return affected, statuses
+    return affected, statuses, merged
 
 
 def run_counters(statuses: DataFrame, rejected: DataFrame | None = None) -> DataFrame:

@@ -39,6 +39,13 @@ class LoadResult:
     unresolved: DataFrame                 # rows dropped by key resolution, with reason
     malformed: DataFrame                  # rows with unreadable clocks / dates, with reason
     staged: DataFrame = field(repr=False, default=None)
+    merge_cache: DataFrame = field(repr=False, default=None)   # persisted merge behind affected / statuses
+
+    def release(self) -> None:
+        """Drop the load's cached intermediates (after the result is written)."""
+        for df in [self.staged, self.merge_cache] + [self.tables[n] for n in DIM_TABLES if n in self.tables]:
+            if df is not None:
+                df.unpersist()
 
     def counters(self) -> DataFrame:
         return run_counters(self.statuses, self.unresolved)
@@ -93,14 +100,13 @@ def transform_and_load(spark: SparkSession, flights: DataFrame, flight_order: li
     staged = stage_flights(flights, flight_order).persist(StorageLevel.MEMORY_AND_DISK)
     tables = load_dimensions(spark, current, staged, airlines, airline_order, airports, airport_order)
     resolved, unresolved = resolve_keys(staged, tables)
-    affected, statuses = upsert_fact(current["fact_flightperformance"], resolved, flight_order,
-                                     run_timestamp(run_ts), target_is_empty=getattr(current, "fresh", False))
-    affected = affected.persist(StorageLevel.MEMORY_AND_DISK)
+    affected, statuses, cache = upsert_fact(current["fact_flightperformance"], resolved, flight_order,
+                                            run_timestamp(run_ts), target_is_empty=getattr(current, "fresh", False))
     months = [r[0] for r in affected.select("flight_month").distinct().collect()]
     untouched = current["fact_flightperformance"].where(~F.col("flight_month").isin(months)) if months \
         else current["fact_flightperformance"]
     tables["fact_flightperformance"] = untouched.unionByName(affected)
-    return LoadResult(tables, affected, months, statuses, unresolved, malformed_rows(staged), staged)
+    return LoadResult(tables, affected, months, statuses, unresolved, malformed_rows(staged), staged, cache)
 
 
 def testbed_load(spark: SparkSession, sf_dir: str, run_ts: str | None = None,
@@ -161,9 +167,6 @@ def warehouse_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         path = scratch_path(spark, f"warehouse-{key[1]}")
         result = testbed_load(spark, sf_dir)
         write_warehouse(result, path)
-        result.staged.unpersist()
-        for name in DIM_TABLES:
-            result.tables[name].unpersist()
-        result.fact_affected.unpersist()
+        result.release()
         _BUILT[key] = path
     return read_warehouse(spark, path)
