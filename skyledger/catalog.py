@@ -230,7 +230,8 @@ SELECT DISTINCT upper(trim(flight_number)) AS flight_number, airline_code, origi
   destination_airport_code, full_date
 FROM star WHERE regexp_full_match(upper(trim(flight_number)), '[A-Z]{2,3}[0-9]{1,4}')""")
 def q_available_flights(spark, sf_dir):
-    return A.available_flights(star_lookup(warehouse_for(spark, sf_dir)))
+    return A.available_flights(star_lookup(warehouse_for(spark, sf_dir), [
+        "flight_number", "airline_code", "origin_airport_code", "destination_airport_code", "full_date"]))
 
 
 @register("airline_airport_options", O.WAREHOUSE + """
