@@ -83,3 +83,13 @@ def test_iso_wallclock(spark):
 
 def test_to_number(spark):
     assert _eval(spark, ["", "x", "3.5", None], FL.to_number, "string") == [0.0, 0.0, 3.5, 0.0]
+
+
+def test_to_number_typed_equals_text_path(spark):
+    """The direct cast for integral / double / decimal columns gives what the text path gives."""
+    for dtype, values in [("int", [1, -7, None]), ("bigint", [2**40, None]),
+                          ("double", [0.1, 1e-300, 123456.789, float("nan"), float("inf"), None]),
+                          ("decimal(10,3)", [None])]:
+        typed = _eval(spark, values, lambda c, t=dtype: FL.to_number(c, t), dtype)
+        text = _eval(spark, values, FL.to_number, dtype)
+        assert typed == text, dtype

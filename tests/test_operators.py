@@ -94,6 +94,8 @@ def test_constraint_report_finds_orphans_and_duplicates(spark):
     from skyledger.plans.warehouse import warehouse_for
     from tests.conftest import SF_SMALL
     wh = dict(warehouse_for(spark, SF_SMALL))
+    clean = {(r.table_name, r.check_name): r.violations for r in constraint_report(wh).collect()}
+    assert all(v == 0 for v in clean.values())        # FK closure and key uniqueness after the load
     fact = wh["fact_flightperformance"]
     one = fact.limit(1)
     wh["fact_flightperformance"] = (fact.unionByName(one)
