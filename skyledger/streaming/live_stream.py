@@ -35,6 +35,7 @@ def commit_batch(spark: SparkSession, pages: DataFrame, warehouse_dir: str, run_
     for name, df in dims.items():
         df.write.mode("overwrite").parquet(f"{warehouse_dir}/{name}")
     write_fact_partitions(affected, f"{warehouse_dir}/fact_flightperformance")
+    result.release()              # a long-running stream must not accumulate per-batch caches
     return counters
 
 
