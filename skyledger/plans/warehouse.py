@@ -40,10 +40,12 @@ class LoadResult:
     malformed: DataFrame                  # rows with unreadable clocks / dates, with reason
     staged: DataFrame = field(repr=False, default=None)
     merge_cache: DataFrame = field(repr=False, default=None)   # persisted merge behind affected / statuses
+    other_cached: list = field(repr=False, default_factory=list)
 
     def release(self) -> None:
         """Drop the load's cached intermediates (after the result is written)."""
-        for df in [self.staged, self.merge_cache] + [self.tables[n] for n in DIM_TABLES if n in self.tables]:
+        for df in [self.staged, self.merge_cache, *self.other_cached] + \
+                [self.tables[n] for n in DIM_TABLES if n in self.tables]:
             if df is not None:
                 df.unpersist()
 
