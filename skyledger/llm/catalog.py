@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, url_filter
-from ..session import ensure_checkpoint_dir
-from .common import table
+from . import bpe, chat, html_text, mixing, repetition, toxicity, url_filter
+from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,17 +37,18 @@ def vocabulary() -> tuple[str, str]:
 
 @register("op4_byte_bpe")
 def q_byte_bpe(spark, sf_dir):
+    prepare(spark)
     path, pattern = vocabulary()
     rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    rows = bpe.decode(rows, path, pattern)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256("ids").alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.decode(rows, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256",
+                                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 # ---------------------------------------------------------------- 8: URL filter
 
 @register("op8_url_filter")
 def q_url_filter(spark, sf_dir):
+    prepare(spark)
     model = url_filter.fit(url_filter.labelled_urls(spark))
     return (url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model)
             .select("page_id", "host", "path", "rule", "verdict"))
@@ -58,7 +58,7 @@ def q_url_filter(spark, sf_dir):
 
 @register("op9_sainte_lague_mix")
 def q_mix(spark, sf_dir):
-    ensure_checkpoint_dir(spark)
+    prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -88,6 +88,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(role) + length(text) + 16 + length(text) - length(replace(replace(text, '\\', ''), '<', ''))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""")
 def q_chat(spark, sf_dir):
+    prepare(spark)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
@@ -99,3 +100,33 @@ def q_chat(spark, sf_dir):
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every.cast("binary"), 256).alias("turns_sha256"),
                       F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
                       F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+# ---------------------------------------------------------------- 2: main text of pages
+
+@register("op2_tag_path_text")
+def q_main_text(spark, sf_dir):
+    prepare(spark)
+    rows = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+# ---------------------------------------------------------------- 6: repetition
+
+@register("op6_repetition_rules")
+def q_repetition(spark, sf_dir):
+    prepare(spark)
+    return (repetition.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                    "longest_repeat", "n_repeats"))
+
+
+# ---------------------------------------------------------------- 7: toxicity
+
+@register("op7_toxicity")
+def q_toxicity(spark, sf_dir):
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic")
+    rows = toxicity.score(docs, toxicity.learn(docs, labels))
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

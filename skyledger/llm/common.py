@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -16,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings that jobs on long texts need: a shared folder for checkpoints, and small
+    batches to Python workers (texts differ in length by four orders of magnitude)."""
+    ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
+
+
 def text_of(col: Column | str = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
