@@ -31,10 +31,9 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Entries kept in a worker's table of pieces; beyond it that table and the memo of pairs are emptied.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 300_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -204,18 +203,22 @@ def _plain_pattern(pattern: str):
     return re.compile(out).findall
 
 
-_LOADED: dict[tuple[str, str], ByteBPE] = {}
+_LOADED: dict[tuple, object] = {}
 
 
-def _loaded(data: bytes, pattern: str) -> ByteBPE:
-    """The vocabulary's tables, built once in each worker process."""
-    key = (hashlib.sha256(data).hexdigest(), pattern)
+def _once(kind, data: bytes, *args):
+    """``kind(parse_ranks(data), *args)``, built once in each worker process."""
+    key = (kind, hashlib.sha256(data).hexdigest(), *args)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = ByteBPE(parse_ranks(data), pattern)
+        _LOADED[key] = kind(parse_ranks(data), *args)
     return _LOADED[key]
 
 
+def _token_bytes(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    return {r: t for t, r in ranks.items()}
+
+
 def _shared(spark: SparkSession, path: str):
     """The rank file's bytes, read where the driver is and sent once to each executor (a
     vocabulary file is of fixed size, below 1 MB here, whatever the corpus)."""
@@ -229,27 +232,25 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _loaded(ranks.value, pattern)
+        bpe = _once(ByteBPE, ranks.value, pattern)
         for batch in batches:
             yield pd.Series([bpe.encode(t or "") for t in batch], index=batch.index, dtype=object)
 
     return df.withColumn(ids, run(F.col(text)))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``df`` with column ``decoded`` (binary): the bytes that the tokens stand for."""
+def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded", digest: str = "ids_sha256") -> DataFrame:
+    """``df`` with columns ``decoded`` (binary), the bytes that the tokens stand for, and
+    ``digest``, of the ids as little-endian unsigned 32-bit integers."""
     ranks = _shared(df.sparkSession, path)
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = _loaded(ranks.value, pattern)
+    @F.pandas_udf("decoded binary, digest string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        token = _once(_token_bytes, ranks.value).__getitem__
         for batch in batches:
-            yield pd.Series([bpe.decode(x.tolist()) if x is not None else b"" for x in batch], index=batch.index, dtype=object)
-
-    return df.withColumn(decoded, run(F.col(ids)))
-
+            arrays = [np.asarray(x if x is not None else [], dtype="<u4") for x in batch]
+            yield pd.DataFrame({"decoded": [b"".join(map(token, x.tolist())) for x in arrays],
+                                "digest": [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays]})
 
-@F.pandas_udf(T.StringType())
-def ids_sha256(batch: pd.Series) -> pd.Series:
-    """Digest of the ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest() for x in batch], index=batch.index, dtype=object)
+    return (df.withColumn("__decoded", run(F.col(ids)))
+            .withColumn(decoded, F.col("__decoded.decoded")).withColumn(digest, F.col("__decoded.digest")).drop("__decoded"))
