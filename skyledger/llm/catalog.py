@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, mixing, repetition, toxicity, url_filter
+from . import bpe, chat, html_text, mixing, repetition, sketch, toxicity, url_filter
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,17 @@ def q_toxicity(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic")
     rows = toxicity.score(docs, toxicity.learn(docs, labels))
     return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# ---------------------------------------------------------------- 1: document sketches
+
+@register("op1_scaled_sketch")
+def q_sketch(spark, sf_dir):
+    prepare(spark)
+    rows = sketch.beside_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"),
+                       F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                       sketch.fingerprint(own).alias("fingerprint"), sketch.fingerprint(edited).alias("edited_fingerprint"),
+                       sketch.likeness(own, edited).alias("near_edited"), sketch.likeness(own, after).alias("near_next"),
+                       sketch.containment(own, edited).alias("in_edited"), sketch.containment(own, after).alias("in_next"))
