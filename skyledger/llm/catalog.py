@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, mixing, repetition, sketch, toxicity, url_filter
+from . import bpe, chat, html_text, jaccard_join, mixing, pii, repetition, sketch, toxicity, url_filter
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,21 @@ def q_sketch(spark, sf_dir):
                        sketch.fingerprint(own).alias("fingerprint"), sketch.fingerprint(edited).alias("edited_fingerprint"),
                        sketch.likeness(own, edited).alias("near_edited"), sketch.likeness(own, after).alias("near_next"),
                        sketch.containment(own, edited).alias("in_edited"), sketch.containment(own, after).alias("in_next"))
+
+
+# ---------------------------------------------------------------- 5: surrogates for personal data
+
+@register("op5_pii_surrogates")
+def q_pii(spark, sf_dir):
+    prepare(spark)
+    return (pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+            .select("doc_id", "text", "n_entities", F.array_join("entity_types", ",").alias("entity_types")))
+
+
+# ---------------------------------------------------------------- 3: n-gram Jaccard join
+
+@register("op3_jaccard_join")
+def q_jaccard(spark, sf_dir):
+    prepare(spark)
+    rows = jaccard_join.link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id")
