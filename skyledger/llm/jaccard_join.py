@@ -272,3 +272,27 @@ def _rest_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     b = mixed.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"), F.col("main").alias("main2"))
     pairs = a.join(b, "sig").where((F.col("c") != F.col("c2")) & (F.col("main2") | (F.col("node") < F.col("node2"))) & _may_reach(percent))
     return pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+
+
+# ---------------------------------------------------------------- one document of each group
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (its columns) without near copies: of each component the document of the
+    least doc_id, one row of it; empty documents stay.  Of rows without doc_id those go whose set a
+    row with one has, and one row of each other set stays."""
+    linked = link_components(docs, width, percent).checkpoint()
+    kept = linked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    one = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    with_id = (docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
+               .withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns))
+
+    @F.pandas_udf("n long, k1 long, k2 long")
+    def key_of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set((t or "").encode("utf-8"), width) for t in texts]
+        return pd.DataFrame([(s.size, *set_key(s)) for s in sets], columns=["n", "k1", "k2"])
+
+    without = docs.where(F.col("doc_id").isNull()).withColumn("__key", key_of("text"))
+    known = linked.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).select(F.struct(F.col("n_shingles").alias("n"), "k1", "k2").alias("__key")).distinct()
+    lone = (without.where("__key.n > 0").join(known, "__key", "left_anti").dropDuplicates(["__key"])
+            .unionByName(without.where("__key.n = 0")).select(*docs.columns))
+    return with_id.unionByName(lone)

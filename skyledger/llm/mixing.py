@@ -22,13 +22,15 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import n_words, text_of
+from .common import WORD_PATTERN, n_words, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -153,3 +155,37 @@ def mix(df: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = SHARE, epo
     taken = F.coalesce(F.aggregate("__cuts", F.lit(0).cast("long"), lambda a, c: a + (c["end"] - c["start"]) * c["times"]), F.lit(0).cast("long"))
     spans = [F.filter("__cuts", lambda c, k=k: c["times"] >= k).alias(f"spans_{k}") for k in range(1, epochs + 1)]
     return rows.select(*keep, "size", "source_size", "target", taken.alias("taken"), *spans)
+
+
+def materialise(df: DataFrame, epochs: int = EPOCHS, text: str = "text", **options) -> DataFrame:
+    """The mixed table, with ``df``'s columns: for each document and pass a row with the words that
+    the mix takes in that pass (the whole text where it takes all; else its runs of words, joined by
+    line feeds).  Documents of which nothing is taken give no row."""
+    columns = df.columns
+    mixed = mix(df, epochs=epochs, **options)
+    passes = F.array(*[F.col(f"spans_{k}") for k in range(1, epochs + 1)])
+    rows = mixed.withColumn("__spans", F.explode(F.filter(passes, lambda s: F.size(s) > 0)))
+    return rows.withColumn(text, _cut(F.col(text), F.col("size"), F.transform("__spans", lambda s: s["start"]),
+                                      F.transform("__spans", lambda s: s["end"]))).select(*columns)
+
+
+_WORD = re.compile(WORD_PATTERN)
+
+
+def cut(text: str, size: int, starts, ends) -> str:
+    """Runs of words [start, end) of a text, joined by line feeds."""
+    runs: list[list[int]] = []
+    for a, b in zip(starts, ends):
+        if runs and runs[-1][1] == a:
+            runs[-1][1] = int(b)
+        else:
+            runs.append([int(a), int(b)])
+    if runs == [[0, size]]:
+        return text
+    at = [m.span() for m in _WORD.finditer(text)]
+    return "\n".join(text[at[a][0]:at[b - 1][1]] for a, b in runs)
+
+
+@F.pandas_udf(T.StringType())
+def _cut(texts: pd.Series, sizes: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([cut(*x) for x in zip(texts, sizes, starts, ends)], index=texts.index, dtype=object)
