@@ -153,7 +153,9 @@ def mix(df: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = SHARE, epo
     cuts = F.when(F.col("size") > 0, F.transform(F.sequence(block(F.col("__off")), block(end - 1)), span))
     rows = rows.withColumn("__cuts", F.filter(cuts, lambda c: (c["times"] > 0) & (c["end"] > c["start"])))
     taken = F.coalesce(F.aggregate("__cuts", F.lit(0).cast("long"), lambda a, c: a + (c["end"] - c["start"]) * c["times"]), F.lit(0).cast("long"))
-    spans = [F.filter("__cuts", lambda c, k=k: c["times"] >= k).alias(f"spans_{k}") for k in range(1, epochs + 1)]
+    # a second parameter of a lambda would be the element's index, so k is bound outside it
+    at_least = lambda k: F.filter("__cuts", lambda c: c["times"] >= k)
+    spans = [at_least(k).alias(f"spans_{k}") for k in range(1, epochs + 1)]
     return rows.select(*keep, "size", "source_size", "target", taken.alias("taken"), *spans)
 
 

@@ -62,7 +62,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PLAIN = re.compile(rf"[{LETTERS}]+")
 _EDGES = "".join(set("\"'#%&*.,;:?!()[]{}<>|/\\«»“”„…–—-_~`^=+¿¡"))
 _TRIPLE = re.compile(rf"([{LETTERS}])\1\1")
-_SPELLED = re.compile(rf"(?<![^\s])[{LETTERS}0-9@$!|+]{{1,2}}(?:[ ._*~-]{{1,2}}[{LETTERS}0-9@$!|+]{{1,2}}){{3,30}}(?![^\s.,;:?!])")
+_SPELLED = re.compile(rf"(?<![^\s])[{LETTERS}0-9@$](?:[ ._*~-]{{1,2}}[{LETTERS}0-9@$!|+]){{1,30}}[ ._*~-]{{1,2}}[{LETTERS}0-9@$](?![^\s.,;:?!])")
 
 
 # ---------------------------------------------------------------- the character model

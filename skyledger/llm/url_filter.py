@@ -87,11 +87,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def char_ngrams(text: Column, sizes=NGRAM_SIZES) -> Column:
     """The distinct character n-grams of a text (URLs are short, so substring by index is cheap)."""
-    grams = [F.when(F.length(text) >= k,
-                    F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1))),
-                                lambda i, k=k: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-             for k in sizes]
-    return F.array_distinct(F.concat(*grams))
+    def grams(k: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1)))
+        return F.when(F.length(text) >= k, F.transform(places, lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[grams(k) for k in sizes]))
 
 
 def _features(df: DataFrame, host: Column, path: Column) -> DataFrame:
