@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .operators import analytics as A
 from .operators.broadcast import broadcast_if_small
+from .operators.features import DELAY_RATE_GROUPS
 from .operators.ids import key_watermarks
 from .operators.star import star_lookup
 from .plans.warehouse import testbed_load, warehouse_for
 from .schemas import NATURAL_KEYS
+from .session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,7 +141,7 @@ def q_fact_unresolved(spark, sf_dir):
 
 @register("load_counters", O.WAREHOUSE + """
 SELECT 'inserted' AS status, CAST(count(*) AS BIGINT) AS rows FROM fact
-UNION ALL SELECT 'updated', CAST(0 AS BIGINT)
+UNION ALL SELECT 'updated', CAST((SELECT count(*) FROM resolved) - (SELECT count(*) FROM fact) AS BIGINT)
 UNION ALL SELECT 'skipped', CAST((SELECT count(*) FROM stg) - (SELECT count(*) FROM resolved) AS BIGINT)""")
 def q_load_counters(spark, sf_dir):
     return testbed_load(spark, sf_dir).counters()
@@ -207,8 +209,22 @@ SELECT CAST(count(*) AS BIGINT) AS total_flights,
   avg(departure_delay) AS avg_departure_delay
 FROM dash WHERE year IS NOT NULL AND airline_name IN (SELECT airline_name FROM picks)""")
 def q_filtered_dashboard(spark, sf_dir):
-    frame = _dash(spark, sf_dir, "delay_minutes")
-    return A.kpi_summary(A.apply_filters(frame, years=A.year_options(frame), airlines=A.default_airlines(frame)))
+    summary = stored(A.year_airline_summary(_dash(spark, sf_dir, "delay_minutes")), "summary")
+    return A.kpis_of_summary(A.apply_filters(summary, airlines=A.default_airlines(summary)))
+
+
+@register("dashboard_two_years", O.STARRED + """
+, years AS (SELECT DISTINCT year FROM dash WHERE year IS NOT NULL ORDER BY year DESC LIMIT 2)
+SELECT CAST(count(*) AS BIGINT) AS total_flights,
+  CAST(coalesce(sum(CAST(is_delayed AS BIGINT)), 0) AS BIGINT) AS delayed_flights,
+  CASE WHEN count(*) > 0 THEN coalesce(sum(CAST(is_delayed AS BIGINT)), 0) / count(*) * 100 ELSE 0.0 END AS delay_rate,
+  avg(departure_delay) AS avg_departure_delay
+FROM dash WHERE year IN (SELECT year FROM years) AND airline_name IS NOT NULL""")
+def q_dashboard_two_years(spark, sf_dir):
+    """The KPIs of a chosen subset of years: the two latest."""
+    summary = stored(A.year_airline_summary(_dash(spark, sf_dir, "delay_minutes")), "summary")
+    latest = A.year_options(summary).orderBy(F.desc("year")).limit(2)
+    return A.kpis_of_summary(A.apply_filters(summary, years=latest))
 
 
 @register("option_lists", O.STARRED + """
@@ -306,20 +322,20 @@ _MERGED_COLS = ["flight_performance_id", "flight_id", "airline_id", "origin_airp
                 "weather_condition_id", "delay_cause_id", "delay_minutes", "is_delayed", "flight_month"]
 
 
-@register("live_upsert_rows", _LIVE_UPSERT_SQL + "SELECT * FROM live_merged")
+@register("live_upsert_rows", _LIVE_UPSERT_SQL + "SELECT * EXCLUDE (n_rows) FROM live_merged")
 def q_live_upsert_rows(spark, sf_dir):
     from .plans.live_update import upsert_live
     from .schemas import FACT_FLIGHTPERFORMANCE
     r = upsert_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
-    # inserted / updated rows straight from the persisted merge (no join of affected to statuses)
-    changed = r.merge_cache.where(F.col("_status") != "unchanged")
+    # inserted / updated rows straight from the stored merge (no join of affected to statuses)
+    changed = r.merged.where(F.col("_status") != "unchanged")
     return changed.select(*[F.col(c).cast(FACT_FLIGHTPERFORMANCE[c].dataType).alias(c) for c in _MERGED_COLS],
                           F.col("_status").alias("status"))
 
 
 @register("live_upsert_status", _LIVE_UPSERT_SQL + """
 SELECT 'inserted' AS status, CAST(count(*) FILTER (WHERE status = 'inserted') AS BIGINT) AS rows FROM live_merged
-UNION ALL SELECT 'updated', CAST(count(*) FILTER (WHERE status = 'updated') AS BIGINT) FROM live_merged
+UNION ALL SELECT 'updated', CAST(coalesce(sum(CASE WHEN status = 'updated' THEN n_rows ELSE n_rows - 1 END), 0) AS BIGINT) FROM live_merged
 UNION ALL SELECT 'skipped', CAST((SELECT count(*) FROM live_tagged WHERE reason IS NOT NULL)
   + (SELECT count(*) FROM live_acc) - (SELECT count(*) FROM live_resolved) AS BIGINT)""")
 def q_live_upsert_status(spark, sf_dir):
@@ -492,12 +508,10 @@ def q_class_weights(spark, sf_dir):
 @register("scaler_stats", _FEAT_SQL + " SELECT " + ", ".join(
     f"round(avg(coalesce(TRY_CAST({c} AS DOUBLE), 0.0)), 6) AS {c}_mean, "
     f"round(coalesce(stddev_samp(coalesce(TRY_CAST({c} AS DOUBLE), 0.0)), 0.0), 6) AS {c}_std"
-    for c in ["day", "month", "year", "day_of_week", "hour", "minute", "airline_delay_rate", "route_delay_rate"])
-    + " FROM feat")
+    for c in _feature_names()[0]) + " FROM feat")
 def q_scaler_stats(spark, sf_dir):
     from .ml.training import scaler_statistics
-    return scaler_statistics(_prepared(spark, sf_dir), ["day", "month", "year", "day_of_week", "hour", "minute",
-                                                       "airline_delay_rate", "route_delay_rate"])
+    return scaler_statistics(_prepared(spark, sf_dir), _feature_names()[0])
 
 
 @register("classification_report", _FEAT_SQL + f"""
@@ -626,33 +640,55 @@ def q_serve_features(spark, sf_dir):
                        "origin_airport_code", "destination_airport_code")
 
 
+def _requests(star):
+    """One request per flight number, half a year after its last flight (another season)."""
+    return star.groupBy("flight_number").agg(F.date_add(F.max("full_date"), 180).alias("selected_date")) \
+        .withColumn("request_id", F.col("flight_number"))
+
+
+def _serving(spark, sf_dir):
+    from .ml.scoring import model_inputs
+    from .operators.features import add_flags, live_airport_aggregates
+    from .operators.star import star_join
+    wh = warehouse_for(spark, sf_dir)
+    star = star_join(wh)
+    fact = wh["fact_flightperformance"]
+    live = stored(live_airport_aggregates(fact.where(F.col("api_source") == A.LIVE_SOURCE)), "live")
+    requests = stored(_requests(star), "requests")
+    return requests, model_inputs(requests, star, add_flags(star), live)
+
+
+@register("serve_model_input", _FEAT_SQL + "," + O.SERVED + O.served_select(*_feature_names()))
+def q_serve_model_input(spark, sf_dir):
+    """All 55 model columns of every request, after the date override."""
+    numeric, categorical = _feature_names()
+    return _serving(spark, sf_dir)[1].select("flight_number", "flight_performance_id", *numeric, *categorical)
+
+
 # ---------------------------------------------------------------- model training and scoring (rows-only)
 
+def _trained(spark, sf_dir):
+    """Board and best model at full sizes, trained once per application and data folder."""
+    from .ml.training import train_and_select
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _TRAINED:
+        _TRAINED[key] = train_and_select(stored(_prepared(spark, sf_dir), "prepared"))[1:]
+    return _TRAINED[key]
+
+
+_TRAINED: dict = {}
+
+
 @register("train_leaderboard")
 def q_train_leaderboard(spark, sf_dir):
-    from .ml.training import ModelSizes, train_and_select
-    _, _, board = train_and_select(_prepared(spark, sf_dir), ModelSizes.quick())
-    return board
+    return _trained(spark, sf_dir)[1]
 
 
 @register("batch_predict")
 def q_batch_predict(spark, sf_dir):
     from .ml.scoring import predict
-    from .ml.training import ModelSizes, train_and_select
-    star = star_lookup(warehouse_for(spark, sf_dir))
-    _, model, _ = train_and_select(_prepared(spark, sf_dir), ModelSizes.quick(), names=["Decision Tree"])
-    req = star.groupBy("flight_number").agg(F.date_add(F.max("full_date"), 7).alias("selected_date")) \
-        .withColumn("request_id", F.col("flight_number"))
-    return predict(model, req, _prepared_history(star))
-
-
-def _prepared_history(star):
-    """History rows carrying every model input column (flags, rates, live columns) for serving."""
-    from .operators.features import add_flags, attach_delay_rates
-    flagged = attach_delay_rates(add_flags(star.withColumns({
-        "api_departure_delay_minutes": F.lit(None).cast("int"), "api_arrival_delay_minutes": F.lit(None).cast("int"),
-        "api_live_flight_status": F.lit(None).cast("string")})))
-    return flagged
+    requests, inputs = _serving(spark, sf_dir)
+    return predict(_trained(spark, sf_dir)[0], requests, inputs)
 
 
 # ---------------------------------------------------------------- lookups, leak-free rates, flags
@@ -694,18 +730,12 @@ def q_airport_lookup(spark, sf_dir):
     return hits.select("airport_id", "airport_code", "airport_name", "city", "country", "latitude", "longitude")
 
 
-_RATE_KEYS = {"airline_delay_rate": ["airline_code"], "origin_delay_rate": ["origin_airport_code"],
-              "destination_delay_rate": ["destination_airport_code"],
-              "route_delay_rate": ["origin_airport_code", "destination_airport_code"],
-              "aircraft_delay_rate": ["aircraft_category"], "weather_delay_rate": ["weather_type"]}
-
-
 def _leakfree_sql() -> str:
-    ctes = [f", tr AS (SELECT * FROM flagged WHERE NOT {_SPLIT_SQL})",
-            f"te AS (SELECT * FROM flagged WHERE {_SPLIT_SQL})",
+    ctes = [f", tr AS MATERIALIZED (SELECT * FROM flagged WHERE NOT {_SPLIT_SQL})",
+            f"te AS MATERIALIZED (SELECT * FROM flagged WHERE {_SPLIT_SQL})",
             "m AS (SELECT coalesce(avg(CAST(target_delayed AS DOUBLE)), 0.0) AS mean_rate FROM tr)"]
     sel, joins = [], []
-    for i, (name, keys) in enumerate(_RATE_KEYS.items()):
+    for i, (name, keys) in enumerate(DELAY_RATE_GROUPS.items()):
         ks = ", ".join(keys)
         ctes.append(f"t{i} AS (SELECT {ks}, avg(CAST(target_delayed AS DOUBLE)) AS r FROM tr WHERE "
                     + " AND ".join(f"{k} IS NOT NULL" for k in keys) + f" GROUP BY {ks})")
@@ -720,7 +750,7 @@ def q_delay_rates_leakfree(spark, sf_dir):
     """Delay rates fitted on the training split only, applied to the test split; keys unseen in
     training take the training mean."""
     from .ml.training import split_column
-    from .operators.features import DELAY_RATE_GROUPS, add_flags, attach_delay_rates
+    from .operators.features import add_flags, attach_delay_rates
     from .operators.star import star_join
     flagged = add_flags(star_join(warehouse_for(spark, sf_dir))) \
         .withColumn("_split", split_column("flight_performance_id"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_code, is_valid_flight_number, route_label
 from ..sources.files import first_existing
-from .broadcast import broadcast_if_small
 
 # Fixed values (reference rules).
 MIN_ROUTE_FLIGHTS = 10
@@ -53,29 +52,29 @@ def dashboard_frame(star: DataFrame) -> DataFrame:
 
 def airline_options(frame: DataFrame) -> DataFrame:
     """Distinct non-NULL airline display names (sorted when shown)."""
-    return frame.select("airline_name").where(F.col("airline_name").isNotNull()).distinct()
+    return frame.select("airline_name").where(F.col("airline_name").isNotNull()).distinct().orderBy("airline_name")
 
 
 def year_options(frame: DataFrame) -> DataFrame:
-    return frame.select("year").where(F.col("year").isNotNull()).distinct()
+    return frame.select("year").where(F.col("year").isNotNull()).distinct().orderBy("year")
 
 
 def default_airlines(frame: DataFrame, k: int = DEFAULT_AIRLINE_PICKS) -> DataFrame:
     """The dashboard's initial airline selection: the first ``k`` names in sort order
     (all of them when there are ``k`` or fewer).  Tiny: at most k rows."""
-    return airline_options(frame).orderBy("airline_name").limit(k)
+    return airline_options(frame).limit(k)
 
 
 def apply_filters(frame: DataFrame, years: DataFrame | list | None = None,
                   airlines: DataFrame | list | None = None) -> DataFrame:
     """Keep rows whose year and airline are selected (NULLs never match).  A selection given
-    as a DataFrame becomes a semi join (broadcast when its size check passes); ``None`` selects every non-NULL value."""
+    as a DataFrame becomes a semi join; ``None`` selects every non-NULL value."""
     out = frame
     for col, sel in (("year", years), ("airline_name", airlines)):
         if sel is None:
             out = out.where(F.col(col).isNotNull())
         elif isinstance(sel, DataFrame):
-            out = out.join(broadcast_if_small(sel.select(col).distinct()), col, "left_semi")
+            out = out.join(sel.select(col).distinct(), col, "left_semi")
         else:
             out = out.where(F.col(col).isin(list(sel)))
     return out
@@ -100,7 +99,7 @@ def delay_by_airline(frame: DataFrame) -> DataFrame:
     g = frame.where(F.col("airline_name").isNotNull()).groupBy("airline_name").agg(
         F.count("flight_performance_id").alias("total_flights"),
         F.sum(F.col("is_delayed").cast("bigint")).alias("delayed_flights"))
-    return g.withColumn("delay_rate", _rate("delayed_flights", "total_flights"))
+    return g.withColumn("delay_rate", _rate("delayed_flights", "total_flights")).orderBy(F.desc("delay_rate"), "airline_name")
 
 
 def delay_by_month(frame: DataFrame) -> DataFrame:
@@ -108,12 +107,12 @@ def delay_by_month(frame: DataFrame) -> DataFrame:
         F.count("flight_performance_id").alias("total_flights"),
         F.sum(F.col("is_delayed").cast("bigint")).alias("delayed_flights"),
         F.avg("departure_delay").alias("avg_departure_delay"))
-    return g.withColumn("delay_rate", _rate("delayed_flights", "total_flights"))
+    return g.withColumn("delay_rate", _rate("delayed_flights", "total_flights")).orderBy("month")
 
 
 def delay_by_hour(frame: DataFrame) -> DataFrame:
     return frame.where(F.col("departure_hour").isNotNull()).groupBy("departure_hour").agg(
-        F.avg("departure_delay").alias("avg_departure_delay"))
+        F.avg("departure_delay").alias("avg_departure_delay")).orderBy("departure_hour")
 
 
 def route_delays(frame: DataFrame, min_flights: int = MIN_ROUTE_FLIGHTS) -> DataFrame:
@@ -140,11 +139,6 @@ def available_flights(star: DataFrame) -> DataFrame:
             .select(fn.alias("flight_number"), *picked).distinct())
 
 
-def lookup_first(df: DataFrame, column: str, value, order_by: str) -> DataFrame:
-    """Equality lookup returning at most one row (deterministic: first by ``order_by``)."""
-    return df.where(F.col(column) == F.lit(value)).orderBy(order_by).limit(1)
-
-
 def lookup_many(df: DataFrame, requests: DataFrame, column: str, order_by: str) -> DataFrame:
     """Set-based form of many single-key lookups: one row per requested key (first by
     ``order_by``), via a keep-first aggregation instead of one query per key."""
@@ -166,3 +160,20 @@ def table_counts(tables: dict[str, DataFrame], live_source: str = LIVE_SOURCE) -
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def year_airline_summary(frame: DataFrame) -> DataFrame:
+    """The dashboard's base: flights, delayed flights, and sum and count of delays by year and
+    airline.  Options, default picks and the KPIs of any selection come from this small table."""
+    return frame.groupBy("year", "airline_name").agg(
+        F.count(F.lit(1)).alias("flights"), F.sum(F.col("is_delayed").cast("bigint")).alias("delayed"),
+        F.sum(F.col("departure_delay").cast("bigint")).alias("delay_sum"), F.count("departure_delay").alias("delay_count"))
+
+
+def kpis_of_summary(summary: DataFrame) -> DataFrame:
+    """The KPIs over (a selection of) the summary's rows."""
+    total = summary.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("flights", "delayed", "delay_sum", "delay_count")])
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return total.select(F.col("flights").alias("total_flights"), F.col("delayed").alias("delayed_flights"),
+                        F.coalesce(share("delayed", "flights") * 100, F.lit(0.0)).alias("delay_rate"),
+                        share("delay_sum", "delay_count").alias("avg_departure_delay"))

@@ -3,7 +3,6 @@ live airport aggregates, the 55-column feature contract and its cleaning."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ from ..functions import flags as FL
 from ..functions.calendar import is_weekend, weekday_mon0
 from ..functions.text import UNKNOWN, category
 from ..schemas import require_columns
+from ..session import stored
 from .broadcast import broadcast_if_small
 from .star import star_join
 
@@ -83,12 +83,12 @@ def delay_rates(fit: DataFrame, groups: dict[str, list[str]] = DELAY_RATE_GROUPS
     All rates come from ONE grouping-sets aggregation: a single pass over ``fit`` (instead of
     one star join per rate), partially aggregated map-side, so a hot key (one airline holding a
     third of all flights) never lands whole in one task.  The result has one row per distinct
-    key of each set (bounded by airports squared for routes); it is persisted so the per-rate
-    tables and their broadcast size checks read it instead of re-running the pass."""
+    key of each set (bounded by airports squared for routes); it is stored so the per-rate
+    tables read it instead of re-running the pass."""
     keys = list(dict.fromkeys(k for ks in groups.values() for k in ks))
     agg = (fit.groupingSets([list(ks) for ks in groups.values()], *keys)
-           .agg(F.avg(F.col(TARGET).cast("double")).alias("_rate"), F.grouping_id().alias("_gid"))
-           .persist(StorageLevel.MEMORY_AND_DISK))
+           .agg(F.avg(F.col(TARGET).cast("double")).alias("_rate"), F.grouping_id().alias("_gid")))
+    agg = stored(agg, "rates")
     out = {}
     for name, ks in groups.items():
         # grouping_id: bit set (most significant first, in ``keys`` order) for columns not grouped
@@ -168,7 +168,7 @@ def training_dataset(tables: dict[str, DataFrame], live_source: str = "Aviations
     fact = tables["fact_flightperformance"]
     star = star_join(tables, fact)
     flagged = add_flags(star)
-    live = live_airport_aggregates(fact.where(F.col("api_source") == live_source))
+    live = stored(live_airport_aggregates(fact.where(F.col("api_source") == live_source)), "live")
     return attach_live_features(attach_delay_rates(flagged), live)
 
 

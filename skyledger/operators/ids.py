@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-# Up to this many rows are numbered in one task (a proven bound, checked before use);
-# beyond it the two-pass range-partitioned numbering runs.
-SINGLE_TASK_ID_LIMIT = 200_000
 _POS_BITS = 33  # monotonically_increasing_id = (partition index << 33) + position in partition
 
 
@@ -31,25 +27,17 @@ def key_watermarks(tables: dict[str, DataFrame], id_cols: dict[str, str]) -> Dat
     return out
 
 
-def assign_sequential_ids(df: DataFrame, order_cols: list[str], id_col: str, start: int = 0,
-                          num_partitions: int | None = None) -> DataFrame:
+def assign_sequential_ids(df: DataFrame, order_cols: list[str], id_col: str, start: int = 0) -> DataFrame:
     """Number rows start+1, start+2, ... in ``order_cols`` order (which must be unique).
 
-    Small inputs (checked) are numbered by one window task.  Large inputs are range-partitioned
-    and sorted, their per-partition row counts prefix-summed (one row per partition), and each
-    row gets offset + position.  The sorted data is checkpointed to the shared checkpoint folder
-    first, so both passes — and any task retried after an executor loss — see the same rows in
-    the same partitions.
+    The rows are range-partitioned and sorted, their per-partition row counts prefix-summed (one
+    row per partition), and each row gets offset + position.  The sorted rows are checkpointed to
+    the shared checkpoint folder first, so both passes — and any task retried after an executor
+    loss — see the same rows in the same partitions.  The number of partitions is left to the
+    session and to adaptive execution.
     """
-    spark = df.sparkSession
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)   # the size check and the numbering share it
-    if df.limit(SINGLE_TASK_ID_LIMIT + 1).count() <= SINGLE_TASK_ID_LIMIT:
-        w = Window.orderBy(*order_cols)
-        return df.withColumn(id_col, (F.lit(start) + F.row_number().over(w)).cast("bigint"))
-
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols)
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(*order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FACT_FLIGHTPERFORMANCE, FACT_KEY, FACT_UPDATE_COLUMNS, conform
+from ..session import stored
 from .ids import assign_sequential_ids, max_id
 
 # Columns an upsert keeps from the first insert of a key.
@@ -16,21 +16,17 @@ _LIVE_COLUMNS = [f.name for f in FACT_FLIGHTPERFORMANCE.fields
                  + ["flight_performance_id", "created_at", "updated_at"]]
 
 
-def number_source_rows(resolved: DataFrame, order_cols: list[str]) -> DataFrame:
-    """Sequence number of each resolved row in file order (what a SERIAL default consumes,
-    conflicting rows included)."""
-    return assign_sequential_ids(resolved, order_cols, "_seq", start=0)
-
-
-def collapse_source(numbered: DataFrame) -> DataFrame:
+def collapse_source(resolved: DataFrame, order_cols: list[str]) -> DataFrame:
     """One row per fact key: first-insert columns from the earliest row, updatable columns
-    from the latest, as sequential INSERT ... ON CONFLICT DO UPDATE would leave them.
-    ``min_by``/``max_by`` aggregate map-side, so a key holding a third of the batch is fine."""
-    live = [c for c in _LIVE_COLUMNS if c in numbered.columns]
-    return (numbered.groupBy(*FACT_KEY).agg(
-        F.min("_seq").alias("_first_seq"),
-        F.min_by(F.struct(*[c for c in FACT_FIRST_COLUMNS + live if c in numbered.columns]), "_seq").alias("_first"),
-        F.max_by(F.struct(*FACT_UPDATE_COLUMNS), "_seq").alias("_last"),
+    from the latest, as sequential INSERT ... ON CONFLICT DO UPDATE would leave them, with the
+    number of source rows.  ``min_by``/``max_by`` over the file order aggregate map-side, so a key
+    holding a third of the batch is fine and the source is never sorted."""
+    live = [c for c in _LIVE_COLUMNS if c in resolved.columns]
+    at = F.struct(*order_cols)
+    return (resolved.groupBy(*FACT_KEY).agg(
+        F.min(at).alias("_first_at"),
+        F.min_by(F.struct(*[c for c in FACT_FIRST_COLUMNS + live if c in resolved.columns]), at).alias("_first"),
+        F.max_by(F.struct(*FACT_UPDATE_COLUMNS), at).alias("_last"),
         F.count(F.lit(1)).alias("_rows")))
 
 
@@ -43,24 +39,28 @@ def upsert_fact(target: DataFrame, resolved: DataFrame, order_cols: list[str], r
                 prune_partitions: bool = True, target_is_empty: bool = False):
     """Merge resolved source rows into the fact.
 
-    Returns ``(affected, status, cache)``:
+    Returns ``(affected, statuses, merged)``:
 
     * ``affected`` — the new content of every target partition (``flight_month``) the batch
-      touches: untouched rows of those months, updated rows, and inserted rows.  Write it with
-      dynamic partition overwrite; other months are never read or rewritten.
-    * ``status`` — per fact key, ``inserted`` or ``updated`` (feeds the run counters).
-    * ``cache`` — the persisted merge both are projections of, so the counters never re-run
-      the full outer join over the touched months; ``unpersist()`` it once written.
-
-    Inserted keys get ids after the target's max id in file order; updated keys keep id,
-    airline, aircraft and created_at and take the batch's last values of the five update
-    columns plus ``updated_at = run_ts``.
+      touches: untouched rows of those months, updated rows, and inserted rows; other months are
+      never read or rewritten.
+    * ``statuses`` — per fact key, ``inserted`` or ``updated`` and how many source rows it had
+      (feeds the run counters).
+    * ``merged`` — the stored merge that both are projections of: the outer join runs once.
+
+    The source is reduced to one row per key first; only inserted keys are numbered, after the
+    target's max id in the file order of their first row.  Updated keys keep id, airline, aircraft
+    and created_at and take the batch's last values of the five update columns plus
+    ``updated_at = run_ts``.
     """
-    src = collapse_source(number_source_rows(resolved, order_cols))
+    src = stored(collapse_source(resolved, order_cols), "source")
     start = 0 if target_is_empty else max_id(target, "flight_performance_id")
     if prune_partitions and not target_is_empty:
         months = _touched_months(src)
         target = target.where(F.col("flight_month").isin(months)) if months else target.limit(0)
+    new = src if target_is_empty else src.join(target.select(*FACT_KEY), FACT_KEY, "left_anti")
+    ids = assign_sequential_ids(new.select(*FACT_KEY, "_first_at"), ["_first_at"], "_new_id", start=start)
+    src = src.join(ids.drop("_first_at"), FACT_KEY, "left")
 
     t = target.alias("t")
     s = src.alias("s")
@@ -70,7 +70,7 @@ def upsert_fact(target: DataFrame, resolved: DataFrame, order_cols: list[str], r
 
     cols = {}
     cols["flight_performance_id"] = F.when(has_t, F.col("t.flight_performance_id")) \
-        .otherwise(F.lit(start) + F.col("_first_seq"))
+        .otherwise(F.col("_new_id"))
     for c in FACT_KEY:
         cols[c] = F.col(c)
     for c in FACT_FIRST_COLUMNS:
@@ -84,22 +84,26 @@ def upsert_fact(target: DataFrame, resolved: DataFrame, order_cols: list[str], r
         from_src = F.col(f"_first.{c}") if c in src_live else F.lit(None)
         cols[c] = F.when(has_t, F.col(f"t.{c}")).otherwise(from_src)
     status = F.when(has_t & has_s, F.lit("updated")).when(has_s, F.lit("inserted")).otherwise(F.lit("unchanged"))
-    merged = j.select(*[v.alias(k) for k, v in cols.items()], status.alias("_status")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    merged = stored(j.select(*[v.alias(k) for k, v in cols.items()], status.alias("_status"),
+                             F.coalesce("_rows", F.lit(0)).alias("_rows")), "merge")
     affected = conform(merged, FACT_FLIGHTPERFORMANCE)
-    statuses = merged.where(F.col("_status") != "unchanged").select(*FACT_KEY, "_status")
+    statuses = merged.where(F.col("_status") != "unchanged").select(*FACT_KEY, "_status", "_rows")
     return affected, statuses, merged
 
 
 def run_counters(statuses: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
-    """inserted / updated / skipped counts of one run, as a 3-row DataFrame."""
+    """inserted / updated / skipped counts of one run, as a 3-row DataFrame.  Every source row
+    counts once: a new key's first row is an insert, each further row of a key an update."""
     spark = statuses.sparkSession
     names = spark.createDataFrame([("inserted",), ("updated",), ("skipped",)], "status string")
-    counts = statuses.groupBy(F.col("_status").alias("status")).agg(F.count(F.lit(1)).alias("rows"))
+    n = F.col("_rows") if "_rows" in statuses.columns else F.lit(1)
+    new = F.col("_status") == "inserted"
+    counts = statuses.agg(F.sum(F.when(new, 1).otherwise(0)).alias("inserted"), F.sum(F.when(new, n - 1).otherwise(n)).alias("updated"))
+    counts = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("status"), F.col(c).cast("bigint").alias("rows")) for c in ("inserted", "updated")])).alias("r")).select("r.*")
     if rejected is not None:
         counts = counts.unionByName(rejected.agg(F.count(F.lit(1)).alias("rows"))
                                     .select(F.lit("skipped").alias("status"), "rows"))
-    return names.join(counts, "status", "left").select(
+    return names.join(F.broadcast(counts), "status", "left").select(      # three rows
         "status", F.coalesce(F.col("rows"), F.lit(0)).cast("bigint").alias("rows"))
 
 

@@ -77,19 +77,18 @@ def star_lookup(tables: dict[str, DataFrame], columns: list[str] | None = None)
 
 def live_rows_report(tables: dict[str, DataFrame], source: str = "Aviationstack", n: int = 10) -> DataFrame:
     """Latest ``n`` live rows (by id) with airline, flight and airport codes attached."""
-    f = tables["fact_flightperformance"].where(F.col("api_source") == source)
+    # every join below is LEFT on a unique id, so the ten rows can be taken first
+    f = (tables["fact_flightperformance"].where(F.col("api_source") == source)
+         .orderBy(F.desc("flight_performance_id")).limit(n))
     al = tables["dim_airline"].select("airline_id", "airline_code", "airline_name")
     fl = tables["dim_flight"].select("flight_id", "flight_number")
-    oa = tables["dim_airport"].select(F.col("airport_id").alias("origin_airport_id"),
-                                      F.col("airport_code").alias("origin_airport"))
-    da = tables["dim_airport"].select(F.col("airport_id").alias("destination_airport_id"),
-                                      F.col("airport_code").alias("destination_airport"))
-    b = broadcast_if_small
-    j = f.join(b(al), "airline_id", "left").join(b(fl), "flight_id", "left") \
-        .join(b(oa), "origin_airport_id", "left").join(b(da), "destination_airport_id", "left")
+    airport = lambda role: tables["dim_airport"].select(
+        F.col("airport_id").alias(f"{role}_airport_id"), F.col("airport_code").alias(f"{role}_airport"))
+    j = (f.join(al, "airline_id", "left").join(fl, "flight_id", "left")
+         .join(airport("origin"), "origin_airport_id", "left").join(airport("destination"), "destination_airport_id", "left"))
     return j.select("flight_performance_id", "airline_code", "airline_name", "flight_number",
                     "origin_airport", "destination_airport", "delay_minutes", "delay_status",
                     "api_source", "api_live_flight_status", "api_departure_delay_minutes",
                     "api_arrival_delay_minutes", "api_origin_live_departures_count",
                     "api_destination_live_arrivals_count") \
-        .orderBy(F.desc("flight_performance_id")).limit(n)
+        .orderBy(F.desc("flight_performance_id"))

@@ -6,30 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.weather_json import WEATHER_METRICS
-from .broadcast import broadcast_if_small
 
 
-def nearest_hour_weather(requests: DataFrame, hourly: DataFrame, request_key: str = "request_id",
-                         hour_col: str = "scheduled_hour") -> DataFrame:
+def nearest_hour_weather(requests: DataFrame, hourly: DataFrame, hour_col: str = "scheduled_hour") -> DataFrame:
     """For each request (airport_code, date, hour): the reading whose hour is closest to the
     requested hour (ties -> the earlier hour).  Requests without any reading for their airport
     and date get every metric 0.0; a metric the payload lacked is 0.0 as well.
 
-    Plan: equi-join on (airport_code, date) — each request meets at most 24 readings, a bounded
-    fan-out — then ``min_by`` over (distance, hour) per request, a partial aggregation.  The
-    reading side is broadcast when its size check passes, else AQE splits skewed keys.
+    Plan: on the reading side each (airport, date) becomes 24 rows, the nearest reading for every
+    hour (at most 24 readings each, one small aggregation); requests then meet exactly one row
+    through an equi-join on (airport_code, date, hour), with no fan-out and no second join.
     """
-    r = requests.select(request_key, "airport_code", "date", F.col(hour_col).alias("_want"))
-    w = broadcast_if_small(hourly.select("airport_code", "date", "reading_hour", *WEATHER_METRICS))
-    j = r.join(w, ["airport_code", "date"], "inner")
-    pick = F.struct(F.abs(F.col("reading_hour") - F.col("_want")).alias("d"), F.col("reading_hour").alias("h"))
-    best = j.groupBy(request_key).agg(
-        F.min_by(F.struct("reading_hour", *WEATHER_METRICS), pick).alias("_w"))
-    out = requests.join(best, request_key, "left")
-    return out.select(*requests.columns,
-                      F.col("_w.reading_hour").alias("matched_hour"),
-                      *[F.coalesce(F.col(f"_w.{m}").cast("double"), F.lit(0.0)).alias(m) for m in WEATHER_METRICS])
-
-
-def default_weather() -> dict[str, float]:
-    return {m: 0.0 for m in WEATHER_METRICS}
+    w = hourly.select("airport_code", "date", F.struct("reading_hour", *WEATHER_METRICS).alias("_r"))
+    wanted = w.withColumn("_want", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    by_hour = wanted.groupBy("airport_code", "date", "_want").agg(F.min_by(
+        "_r", F.struct(F.abs(F.col("_r.reading_hour") - F.col("_want")).alias("d"), F.col("_r.reading_hour").alias("h"))).alias("_w"))
+    r = requests.withColumn("_want", F.col(hour_col).cast("int"))
+    return r.join(by_hour, ["airport_code", "date", "_want"], "left").select(
+        *requests.columns, F.col("_w.reading_hour").alias("matched_hour"),
+        *[F.coalesce(F.col(f"_w.{m}").cast("double"), F.lit(0.0)).alias(m) for m in WEATHER_METRICS])

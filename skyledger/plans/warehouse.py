@@ -1,27 +1,29 @@
 """Historical load: raw flights / airlines / airports -> eight dimensions + the fact.
 
 ``transform_and_load`` is the whole job as lazy DataFrames over a (possibly empty) existing
-warehouse; ``write_warehouse`` persists it (fact partitioned by ``flight_month``, only touched
-months rewritten); ``warehouse_for`` builds the test-bed warehouse of a driver data folder
+warehouse; ``write_warehouse`` commits it as a new version (fact partitioned by ``flight_month``, only
+touched months rewritten); ``warehouse_for`` builds the test-bed warehouse of a driver data folder
 once per session and serves later queries from the written tables.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import json
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import dims as D
 from ..operators.merge import run_counters, upsert_fact
 from ..operators.resolve import resolve_keys
 from ..operators.staging import malformed_rows, stage_flights
 from ..schemas import TABLES, empty_table
-from ..session import scratch_path, tune_session
+from ..session import scratch_path, stored, tune_session
 from ..sources import testbed
 from ..sources.files import cap_rows
 
@@ -39,15 +41,7 @@ class LoadResult:
     unresolved: DataFrame                 # rows dropped by key resolution, with reason
     malformed: DataFrame                  # rows with unreadable clocks / dates, with reason
     staged: DataFrame = field(repr=False, default=None)
-    merge_cache: DataFrame = field(repr=False, default=None)   # persisted merge behind affected / statuses
-    other_cached: list = field(repr=False, default_factory=list)
-
-    def release(self) -> None:
-        """Drop the load's cached intermediates (after the result is written)."""
-        for df in [self.staged, self.merge_cache, *self.other_cached] + \
-                [self.tables[n] for n in DIM_TABLES if n in self.tables]:
-            if df is not None:
-                df.unpersist()
+    merged: DataFrame = field(repr=False, default=None)   # the stored merge behind affected / statuses
 
     def counters(self) -> DataFrame:
         return run_counters(self.statuses, self.unresolved)
@@ -71,7 +65,7 @@ def empty_warehouse(spark: SparkSession) -> dict[str, DataFrame]:
 def load_dimensions(spark: SparkSession, current: dict[str, DataFrame], staged: DataFrame,
                     airlines: DataFrame, airline_order: list[str],
                     airports: DataFrame, airport_order: list[str]) -> dict[str, DataFrame]:
-    """Insert-if-absent for all eight dimensions (cached: every fact role reads them)."""
+    """Insert-if-absent for all eight dimensions (stored: every fact role reads them)."""
     out = _Tables(current)
     fresh = getattr(current, "fresh", False)
     out["dim_airline"] = D.insert_if_absent(current["dim_airline"], D.airline_candidates(airlines, airline_order), "dim_airline", target_is_empty=fresh)
@@ -87,7 +81,7 @@ def load_dimensions(spark: SparkSession, current: dict[str, DataFrame], staged:
     out["dim_delay_cause"] = D.insert_if_absent(current["dim_delay_cause"], D.seeded(
         spark, "dim_delay_cause", D.DELAY_CAUSE_DEFAULTS), "dim_delay_cause", ["_seed_pos"], target_is_empty=fresh)
     for name in DIM_TABLES:
-        out[name] = out[name].persist(StorageLevel.MEMORY_AND_DISK)
+        out[name] = stored(out[name], name)
     return out
 
 
@@ -99,16 +93,16 @@ def transform_and_load(spark: SparkSession, flights: DataFrame, flight_order: li
     """The historical ETL as one lazy plan per table."""
     current = current or empty_warehouse(spark)
     flights = cap_rows(flights, row_cap, flight_order)
-    staged = stage_flights(flights, flight_order).persist(StorageLevel.MEMORY_AND_DISK)
+    staged = stored(stage_flights(flights, flight_order), "staged")
     tables = load_dimensions(spark, current, staged, airlines, airline_order, airports, airport_order)
     resolved, unresolved = resolve_keys(staged, tables)
-    affected, statuses, cache = upsert_fact(current["fact_flightperformance"], resolved, flight_order,
+    affected, statuses, merged = upsert_fact(current["fact_flightperformance"], resolved, flight_order,
                                             run_timestamp(run_ts), target_is_empty=getattr(current, "fresh", False))
     months = [r[0] for r in affected.select("flight_month").distinct().collect()]
     untouched = current["fact_flightperformance"].where(~F.col("flight_month").isin(months)) if months \
         else current["fact_flightperformance"]
     tables["fact_flightperformance"] = untouched.unionByName(affected)
-    return LoadResult(tables, affected, months, statuses, unresolved, malformed_rows(staged), staged, cache)
+    return LoadResult(tables, affected, months, statuses, unresolved, malformed_rows(staged), staged, merged)
 
 
 def testbed_load(spark: SparkSession, sf_dir: str, run_ts: str | None = None,
@@ -122,53 +116,86 @@ def testbed_load(spark: SparkSession, sf_dir: str, run_ts: str | None = None,
         run_ts=run_ts, row_cap=row_cap)
 
 
-def write_warehouse(result: LoadResult, path: str) -> None:
-    """Persist a load: dimensions overwritten whole (they are small), the fact's touched
-    ``flight_month`` partitions replaced (dynamic partition overwrite), nothing else rewritten."""
-    for name in DIM_TABLES:
-        result.tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
-    write_fact_partitions(result.fact_affected, f"{path}/fact_flightperformance")
+# ---------------------------------------------------------------- versioned warehouse folders
 
+def write_warehouse(result: LoadResult, path: str, batch_id: int | None = None) -> dict:
+    """Commit a load to a warehouse folder.
 
-def write_fact_partitions(affected: DataFrame, fact_path: str) -> None:
-    """Replace the ``flight_month`` partitions present in ``affected`` (dynamic overwrite).
-    ``rebalance`` on the month lets AQE size the write tasks: small months share a task and
-    get one file each, a month bigger than the advisory size is split over several tasks,
-    so neither thousands of tiny files nor one giant task appear."""
-    (affected.hint("rebalance", "flight_month").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic")
-     .partitionBy("flight_month").parquet(fact_path))
+    Every table goes to a folder of a new version (the fact: only the touched months), then one
+    small manifest names the version of each dimension and month.  Readers follow the newest
+    manifest, so a job that dies before it leaves the warehouse as it was, and nothing is ever
+    overwritten while it is read.  The manifest records ``batch_id``: a batch committed once is
+    not committed again.
+    """
+    spark = result.fact_affected.sparkSession
+    last = read_manifest(spark, path) or {"version": 0, "batch_id": None, "dims": {}, "months": {}}
+    if batch_id is not None and last["batch_id"] is not None and batch_id <= last["batch_id"]:
+        return last
+    version = uuid.uuid4().hex
+    for name in DIM_TABLES:
+        result.tables[name].write.parquet(f"{path}/{name}/version={version}")
+    # rebalance lets adaptive execution size the write tasks: small months share a task and get one
+    # file each, a month above the advisory size is split over several
+    (result.fact_affected.hint("rebalance", "flight_month").write.partitionBy("flight_month")
+     .parquet(f"{path}/fact_flightperformance/version={version}"))
+    manifest = {"version": last["version"] + 1, "batch_id": batch_id if batch_id is not None else last["batch_id"],
+                "dims": {n: version for n in DIM_TABLES},
+                "months": last["months"] | {str(m): version for m in result.touched_months}}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest/{manifest['version']:012d}")
+    return manifest
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The newest manifest of a warehouse folder; None if there is none yet."""
+    try:
+        rows = spark.read.text(f"{path}/manifest/*").collect()      # one short line a version
+    except AnalysisException:
+        return None
+    return max((json.loads(r["value"]) for r in rows), key=lambda m: m["version"], default=None)
 
 
 def read_warehouse(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(TABLES[name]).parquet(f"{path}/{name}") for name in TABLES}
+    """The tables of a warehouse folder as its newest manifest has them."""
+    manifest = read_manifest(spark, path)
+    if manifest is None:
+        return empty_warehouse(spark)
+    tables = {n: spark.read.schema(TABLES[n]).parquet(f"{path}/{n}/version={v}") for n, v in manifest["dims"].items()}
+    base = f"{path}/fact_flightperformance"
+    folders = [f"{base}/version={v}/flight_month={m}" for m, v in sorted(manifest["months"].items())]
+    fact = TABLES["fact_flightperformance"]
+    tables["fact_flightperformance"] = (
+        spark.read.schema(T.StructType([*fact.fields, T.StructField("version", T.StringType())])).option("basePath", base)
+        .parquet(*folders).drop("version").select(*fact.names) if folders else empty_table(spark, "fact_flightperformance"))
+    return tables
 
 
-def _source_signature(sf_dir: str) -> str:
-    parts = [os.path.abspath(sf_dir)]
+def _source_signature(spark: SparkSession, sf_dir: str) -> str:
+    """Files, sizes and times of a data folder, listed by Spark's own readers (any store)."""
+    parts = [sf_dir.rstrip("/")]
     for name in ("lineitem", "orders", "part", "supplier", "customer", "nation", "region"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            parts.append(f"{name}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
-            parts.append(f"{name}:?")
+        files = (spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+                 .select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+                 .orderBy("file_path").collect())     # one row a file
+        parts += [f"{r.file_path}:{r.file_size}:{r.file_modification_time}" for r in files]
     return hashlib.md5("|".join(parts).encode()).hexdigest()[:16]
 
 
-_BUILT: dict[tuple[int, str], str] = {}
+_BUILT: dict[tuple[str, str], str] = {}
 
 
 def warehouse_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The test-bed warehouse of ``sf_dir``: loaded and written once per session to the shared
+    """The test-bed warehouse of ``sf_dir``: loaded and written once per application to the shared
     scratch folder, then read back (so analytics queries scan Parquet, not the ETL lineage)."""
     tune_session(spark)
-    key = (id(spark.sparkContext), _source_signature(sf_dir))
-    path = _BUILT.get(key)
-    if path is None:
-        path = scratch_path(spark, f"warehouse-{key[1]}")
-        result = testbed_load(spark, sf_dir)
-        write_warehouse(result, path)
-        result.release()
-        _BUILT[key] = path
-    return read_warehouse(spark, path)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _SIGNATURES:
+        _SIGNATURES[key] = _source_signature(spark, sf_dir)
+    built = (key[0], _SIGNATURES[key])
+    if built not in _BUILT:
+        path = scratch_path(spark, f"warehouse-{built[1]}-{uuid.uuid4().hex}")
+        write_warehouse(testbed_load(spark, sf_dir), path)
+        _BUILT[built] = path
+    return read_warehouse(spark, _BUILT[built])
+
+
+_SIGNATURES: dict[tuple[str, str], str] = {}

@@ -120,7 +120,7 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
 def require_columns(df: DataFrame, required: list[str], what: str = "input") -> None:
     missing = missing_columns(df, required)
     if missing:
-        raise ValueError(f"Missing columns for {what}: {missing}")
+        raise ValueError(f"{what} needs columns that are absent: {', '.join(missing)}")
 
 
 def empty_table(spark, name: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  AQE re-plans joins from real shuffle sizes, coalesces small
 # partitions and splits skewed ones; timestamps are wall-clock (no zone shifts).
@@ -84,3 +85,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint location for staged tables (never machine-local on a cluster)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to a new folder of the shared scratch location and read back:
+    later steps share the work, see its true size, and nothing stays in executor memory."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import conform, lower_case_columns
+from ..schemas import conform, lower_case_columns, require_columns
 
 # Columns that carry "file order" through a distributed plan.
 ORDINAL_COLUMNS = ["_src_file", "_src_block", "_src_pos"]
@@ -45,30 +45,31 @@ def with_file_ordinal(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             encoding: str = "UTF-8", ordinal: bool = True) -> DataFrame:
-    """Header CSV with an explicit schema (never inferred); headers are lower-cased.
+             encoding: str = "UTF-8", ordinal: bool = True, required: list[str] | None = None) -> DataFrame:
+    """Header CSV read by column name (case doesn't matter): every column comes in as text, the
+    schema's columns are picked and cast, absent ones are NULL, others are left out.  Without a
+    schema all columns stay text.  Absent ``required`` columns are an error.
 
     A missing path raises Spark's PATH_NOT_FOUND error, as a missing file must.
     """
-    reader = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-    if schema is not None:
-        # Header names are matched case-insensitively against the schema.
-        reader = reader.schema(T.StructType([T.StructField(f.name.upper(), f.dataType, True)
-                                             for f in schema.fields])) \
-            .option("enforceSchema", False)
-    df = reader.csv(path)
+    df = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+          .option("inferSchema", False).csv(path))
     if ordinal:
         df = with_file_ordinal(df)
-    return lower_case_columns(df)
+    df = lower_case_columns(df)
+    require_columns(df, required or [], path)
+    if schema is None:
+        return df
+    cast = lambda f: (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+    return df.select(*[cast(f) for f in schema.fields], *(ORDINAL_COLUMNS if ordinal else []))
 
 
 def extract_raw(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
     """The three raw inputs of a historical load: flights, airlines, airports."""
-    return {
-        "flights": read_csv(spark, f"{raw_dir}/flights.csv", RAW_FLIGHTS),
-        "airlines": read_csv(spark, f"{raw_dir}/airlines.csv", RAW_AIRLINES),
-        "airports": read_csv(spark, f"{raw_dir}/airports.csv", RAW_AIRPORTS),
-    }
+    keys = {"flights": ["year", "month", "day", "airline", "flight_number", "origin_airport", "destination_airport"],
+            "airlines": ["iata_code", "airline"], "airports": ["iata_code", "airport"]}
+    schemas = {"flights": RAW_FLIGHTS, "airlines": RAW_AIRLINES, "airports": RAW_AIRPORTS}
+    return {n: read_csv(spark, f"{raw_dir}/{n}.csv", schemas[n], required=keys[n]) for n in schemas}
 
 
 def read_csv_any_encoding(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null
 
-_S, _I = T.StringType(), T.IntegerType()
+_S = T.StringType()
 
 
 def _st(*fields):
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
-_ENDPOINT = _st(("iata", _S), ("airport", _S), ("delay", _I), ("scheduled", _S), ("actual", _S))
+_ENDPOINT = _st(("iata", _S), ("airport", _S), ("delay", T.DoubleType()), ("scheduled", _S), ("actual", _S))
 API_RECORD = _st(("flight_status", _S), ("flight", _st(("iata", _S))),
                  ("airline", _st(("iata", _S), ("name", _S))),
                  ("departure", _ENDPOINT), ("arrival", _ENDPOINT))
@@ -31,17 +31,36 @@ FLAT_COLUMNS = [
 PAGE_ORDER = ["page", "pos"]
 
 
+def page_rows(raw: DataFrame) -> DataFrame:
+    """Landed files (whole text) as (page, payload).  ``page`` orders the pages as they were pulled:
+    the number in the file's name (page-9 before page-10), then its time, then its path."""
+    path = F.col("_metadata.file_path")
+    number = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(\d{1,18})", 1)
+    return raw.select(F.struct(F.when(number != "", number.cast("bigint")).alias("number"),
+                               F.col("_metadata.file_modification_time").alias("landed"), path.alias("path")).alias("page"),
+                      F.col("value").alias("payload"))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed page files (one JSON document per line/file) with their file as page id."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.col("_metadata.file_path").alias("page"), F.col("value").alias("payload"))
+    """Landed page files, one JSON document per file."""
+    return page_rows(spark.read.text(path, wholetext=True))
 
 
 def page_records(pages: DataFrame) -> DataFrame:
     """Explode ``data`` with its position: (page, pos, rec).  Non-object fields parse as NULL,
-    which makes every nested access null-safe."""
+    which makes every nested access null-safe.  A page without a readable ``data`` list gives one
+    row with NULL pos and record, so that it can be reported; an empty list gives none."""
     parsed = pages.select("page", F.from_json("payload", API_PAGE).alias("p"))
-    return parsed.select("page", F.posexplode("p.data").alias("pos", "rec"))
+    some = F.col("p.data").isNull() | (F.size("p.data") > 0)
+    return parsed.where(some).select("page", F.posexplode_outer("p.data").alias("pos", "rec"))
+
+
+def until_empty_page(pages: DataFrame) -> DataFrame:
+    """The pages before the first one, in page order, whose ``data`` list is empty: where a paged
+    pull stops.  Only that page's key is looked up (one row)."""
+    n = F.size(F.from_json("payload", API_PAGE)["data"])
+    stop = pages.where(n == 0).agg(F.min("page").alias("_stop"))
+    return (pages.join(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))).drop("_stop"))
 
 
 def normalise(records: DataFrame) -> DataFrame:
@@ -62,8 +81,8 @@ def normalise(records: DataFrame) -> DataFrame:
         F.col(f"{r}.arrival.iata").alias("destination_airport_code"),
         F.coalesce(blank_to_null(F.col(f"{r}.arrival.airport")), F.col(f"{r}.arrival.iata")).alias("destination_airport_name"),
         F.col(f"{r}.flight_status").alias("live_flight_status"),
-        F.coalesce(F.col(f"{r}.departure.delay"), F.lit(0)).alias("departure_delay_minutes_live"),
-        F.coalesce(F.col(f"{r}.arrival.delay"), F.lit(0)).alias("arrival_delay_minutes_live"),
+        F.coalesce(F.col(f"{r}.departure.delay").cast("int"), F.lit(0)).alias("departure_delay_minutes_live"),
+        F.coalesce(F.col(f"{r}.arrival.delay").cast("int"), F.lit(0)).alias("arrival_delay_minutes_live"),
         F.col(f"{r}.departure.scheduled").alias("scheduled_departure_datetime"),
         F.col(f"{r}.departure.actual").alias("actual_departure_datetime"),
         F.col(f"{r}.arrival.scheduled").alias("scheduled_arrival_datetime"),

@@ -1,41 +1,34 @@
 """Live updates as Structured Streaming: landed API page files -> ``foreachBatch`` -> the same
 upsert (or append) the batch job runs, committed to the warehouse folder.
 
-Each micro-batch reads the current warehouse, merges the batch, checkpoints the new content
-(lineage cut in the shared checkpoint folder, so the overwrite never reads what it replaces),
-then rewrites only the touched fact months and the dimensions.  The streaming checkpoint
-records finished batches, so a restarted query resumes after the last committed batch; a
-replayed batch is harmless because the upsert is idempotent per natural key.
+Each micro-batch reads the warehouse that the newest manifest names, merges the batch, writes
+every table and touched fact month to folders of a new version and then one manifest that also
+records the batch id.  A crash before the manifest leaves the old version in force; a replayed
+batch is recognised by its id.  Nothing is cached across batches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..plans.live_update import upsert_live
-from ..plans.warehouse import DIM_TABLES, read_warehouse, write_fact_partitions
+from ..plans.warehouse import read_warehouse, write_warehouse
 from ..session import ensure_checkpoint_dir
+from ..sources.live_json import page_rows
 
 
 def page_stream(spark: SparkSession, landing_dir: str) -> DataFrame:
-    """One row per landed page file: (page = file path, payload = whole file text)."""
-    raw = spark.readStream.format("text").option("wholetext", True).load(landing_dir)
-    return raw.select(F.col("_metadata.file_path").alias("page"), F.col("value").alias("payload"))
+    """One row per landed page file: its place in page order and its whole text."""
+    return page_rows(spark.readStream.format("text").option("wholetext", True).load(landing_dir))
 
 
-def commit_batch(spark: SparkSession, pages: DataFrame, warehouse_dir: str, run_ts: str | None = None) -> dict:
+def commit_batch(spark: SparkSession, pages: DataFrame, warehouse_dir: str, run_ts: str | None = None,
+                 batch_id: int | None = None) -> dict:
     """Merge one batch of pages into the warehouse folder; returns the run counters."""
     ensure_checkpoint_dir(spark)
-    tables = read_warehouse(spark, warehouse_dir)
-    result = upsert_live(spark, tables, pages, run_ts)
+    result = upsert_live(spark, read_warehouse(spark, warehouse_dir), pages, run_ts)
     counters = {r["status"]: r["rows"] for r in result.counters().collect()}   # three rows
-    dims = {name: result.tables[name].checkpoint(eager=True) for name in DIM_TABLES}
-    affected = result.fact_affected.checkpoint(eager=True)
-    for name, df in dims.items():
-        df.write.mode("overwrite").parquet(f"{warehouse_dir}/{name}")
-    write_fact_partitions(affected, f"{warehouse_dir}/fact_flightperformance")
-    result.release()              # a long-running stream must not accumulate per-batch caches
+    write_warehouse(result, warehouse_dir, batch_id)
     return counters
 
 
@@ -48,7 +41,7 @@ def run_live_stream(spark: SparkSession, landing_dir: str, warehouse_dir: str, c
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        log.append((batch_id, commit_batch(batch.sparkSession, batch, warehouse_dir, run_ts)))
+        log.append((batch_id, commit_batch(batch.sparkSession, batch, warehouse_dir, run_ts, batch_id)))
 
     writer = page_stream(spark, landing_dir).writeStream.foreachBatch(handle) \
         .option("checkpointLocation", checkpoint_location)
