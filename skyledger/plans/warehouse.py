@@ -141,10 +141,14 @@ def write_warehouse(result: LoadResult, path: str, batch_id: int | None = None)
     manifest = {"version": last["version"] + 1, "batch_id": batch_id if batch_id is not None else last["batch_id"],
                 "dims": {n: version for n in DIM_TABLES},
                 "months": last["months"] | {str(m): version for m in result.touched_months}}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest/{manifest['version']:012d}")
+    spark.createDataFrame([(manifest_text(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest/{manifest['version']:012d}")
     return manifest
 
 
+def manifest_text(manifest: dict) -> str:
+    return json.dumps(manifest)
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
     """The newest manifest of a warehouse folder; None if there is none yet."""
     try:

@@ -15,13 +15,25 @@ def test_keep_first_last(spark):
     assert first == {"a": None, "b": "z"} and last == {"a": "y", "b": "z"}
 
 
-def test_sequential_ids_both_paths(spark, monkeypatch):
-    import skyledger.operators.ids as ids
+def test_sequential_ids(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7 % 5000).alias("k"))
-    small = {r.k: r.n for r in assign_sequential_ids(df, ["k"], "n", start=10).collect()}
-    monkeypatch.setattr(ids, "SINGLE_TASK_ID_LIMIT", 100)
-    big = {r.k: r.n for r in assign_sequential_ids(df, ["k"], "n", start=10, num_partitions=7).collect()}
-    assert small == big == {k: k + 11 for k in range(5000)}
+    for frame in (df, df.repartition(13), df.coalesce(1)):
+        assert {r.k: r.n for r in assign_sequential_ids(frame, ["k"], "n", start=10).collect()} == {k: k + 11 for k in range(5000)}
+    assert assign_sequential_ids(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_counters_count_every_source_row(spark):
+    """Three rows of one new key, two of an existing one: 1 insert, 4 updates, and the sum is 5."""
+    from skyledger.operators.merge import run_counters, upsert_fact
+    fields = ("flight_id int, date_id int, scheduled_departure_time_id int, origin_airport_id int, destination_airport_id int, airline_id int, "
+              "aircraft_id int, flight_month int, actual_departure_time_id int, weather_condition_id int, delay_cause_id int, delay_minutes int, is_delayed boolean, o int")
+    row = lambda flight, delay, o: (flight, 1, 1, 1, 2, 1, 1, 202401, None, 1, 1, delay, delay > 15, o)
+    ts = F.lit("2024-01-01").cast("timestamp_ntz")
+    first, _, _ = upsert_fact(empty_table(spark, "fact_flightperformance"), spark.createDataFrame([row(7, 1, 0)], fields), ["o"], ts, target_is_empty=True)
+    batch = spark.createDataFrame([row(8, 3, 2), row(8, 20, 4), row(8, 5, 3), row(7, 9, 1), row(7, 30, 5)], fields)
+    after, statuses, _ = upsert_fact(first, batch, ["o"], ts)
+    assert {r.flight_id: (r.flight_performance_id, r.delay_minutes) for r in after.collect()} == {7: (1, 30), 8: (2, 20)}
+    assert {r.status: r.rows for r in run_counters(statuses, batch.limit(0)).collect()} == {"inserted": 1, "updated": 4, "skipped": 0}
 
 
 def test_insert_if_absent_keeps_existing_ids(spark):
@@ -48,7 +60,7 @@ def test_historical_load_conserves_rows(spark):
     r = testbed_load(spark, SF_SMALL)
     staged = r.staged.count()
     resolved_keys = r.tables["fact_flightperformance"].count()
-    assert r.unresolved.count() + r.statuses.count() <= staged
+    assert sum(x.rows for x in r.counters().collect()) == staged
     # every staged row is either resolved (possibly collapsing onto a key) or quarantined
     from skyledger.operators.resolve import resolve_keys
     resolved, unresolved = resolve_keys(r.staged, r.tables)
