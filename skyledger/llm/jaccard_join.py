@@ -14,10 +14,11 @@ The boundary is the size with the least cost, from the histogram of sizes: rows
 subsets against postings to write and scan.
 
 Lists with one class are dropped.  What is asked for is the components of the links, so a list isn't
-multiplied out: in each list every class is first compared with one hub of like size; linked classes
-merge, and then only pairs of a list that are still in different components are compared.  Nothing
-is dropped: a link between two classes is either found or lies inside a component.  Every candidate
-is checked on the two whole texts.
+multiplied out: every class is first compared with one hub of like size from its lists, in a few
+rounds; linked classes merge, and then only pairs of a list that are still in different components are compared.  Of
+these only the pairs are left that share as many signatures as the threshold asks of any pair; they
+are checked on the two whole texts.  Nothing is dropped: a link between two classes is either found
+or lies inside a component.
 
 Defined results: null and empty texts and texts without words have empty sets, linked with nothing;
 texts with fewer words than ``width`` are one shingle.  Repeated rows are equal sets.  Rows of one
@@ -35,17 +36,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.broadcast import broadcast_if_small
 from ..session import scratch_path
 from .common import mix64, shingle_set
 from .graph import components
 
 WIDTH, PERCENT = 3, 90
-#: Slots of the counting table, and how far above a task's mean a slot counts as common.
-SLOTS = 1 << 20
+#: Slots of the counting table.
+SLOTS = 1 << 22
 #: Cost of a posting in an inverted list, in rows of subsets.
 SCAN_COST = 4.0
 #: Rounds of hubs, while the pairs left are more than so many times the postings.
-HUB_ROUNDS, ENOUGH = 6, 4
+HUB_ROUNDS, ENOUGH = 6, 8
 
 
 def least_overlap(n: np.ndarray | int, percent: int):
@@ -88,7 +90,7 @@ def _first_pass(docs: DataFrame, width: int) -> DataFrame:
                 rows.append((0, None if pd.isna(doc_id) else int(doc_id), s.size, *set_key(s)))
             yield pd.DataFrame(rows, columns=["kind", "doc_id", "n", "k1", "k2"]).astype({"doc_id": "Int64"})
         mean = total / SLOTS
-        common = np.flatnonzero(slots > 2 * mean + 8 * np.sqrt(mean) + 6)
+        common = np.flatnonzero(slots > mean + 4 * np.sqrt(mean) + 2)      # far above what chance gives
         yield pd.DataFrame({"kind": 1, "doc_id": pd.array(common, dtype="Int64"), "n": slots[common].astype(np.int64), "k1": 0, "k2": 0})
         yield pd.DataFrame({"kind": 2, "doc_id": pd.array(list(sizes), dtype="Int64"), "n": list(sizes.values()), "k1": 0, "k2": 0})
 
@@ -115,31 +117,37 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
 
 # ---------------------------------------------------------------- postings
 
-def signatures(s: np.ndarray, common: np.ndarray, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a set publishes: signatures, and the place of each one's first shingle in the order."""
+def signatures(s: np.ndarray, common: np.ndarray, boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a set publishes: signatures, the place of each one's first shingle in the order, and
+    how many shingles (1 or 2) each one stands for."""
     n = s.size
     rest = n - int(least_overlap(n, percent))
     first = min(n, rest + 2)
     freq = common[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
     prefix = s[np.lexsort((s, freq))[:first]] if freq.any() else s[:first]
-    sig, at = [], []
+    sig, at, kind = [], [], []
     with np.errstate(over="ignore"):
         if n < boundary and n >= 2:
             i, j = np.triu_indices(prefix.size, 1)
             sig.append(mix64(mix64(prefix[i]) + prefix[j]))
             at.append(i)
+            kind.append(np.full(i.size, 2))
         if 100 * n >= percent * boundary:
             one = prefix[:min(n, rest + 1)]
             sig.append(mix64(one ^ np.uint64(0x5DEECE66D)))
             at.append(np.arange(one.size))
+            kind.append(np.ones(one.size, dtype=np.int64))
     if not sig:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    return np.concatenate(sig), np.concatenate(at)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return np.concatenate(sig), np.concatenate(at), np.concatenate(kind)
 
 
 def _postings(docs: DataFrame, width: int, percent: int, boundary: int, common) -> DataFrame:
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
+        at_slot, times = common.value
+        table = np.zeros(SLOTS, dtype=np.int32)
+        table[at_slot] = times
         for batch in batches:
             out = []
             for text in batch["text"]:
@@ -148,24 +156,40 @@ def _postings(docs: DataFrame, width: int, percent: int, boundary: int, common)
                 if s.size == 0 or key in seen:
                     continue
                 seen.add(key)
-                sig, at = signatures(s, common.value, boundary, percent)
+                sig, at, kind = signatures(s, table, boundary, percent)
                 if sig.size:
-                    out.append(np.column_stack([sig.view(np.int64), np.full(sig.size, key[0]), np.full(sig.size, key[1]), np.full(sig.size, s.size), at]))
+                    out.append(np.column_stack([sig.view(np.int64), np.full(sig.size, key[0]), np.full(sig.size, key[1]), np.full(sig.size, s.size), at, kind]))
             if out:
-                yield pd.DataFrame(np.concatenate(out), columns=["sig", "k1", "k2", "n", "at"])
+                yield pd.DataFrame(np.concatenate(out), columns=["sig", "k1", "k2", "n", "at", "kind"])
 
     return (docs.where(F.col("doc_id").isNotNull()).select("text")
-            .mapInPandas(part, "sig long, k1 long, k2 long, n long, at long"))
+            .mapInPandas(part, "sig long, k1 long, k2 long, n long, at long, kind long"))
 
 
 # ---------------------------------------------------------------- checking pairs
 
-def _checked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those (u, v) whose sets reach the threshold; u and v are doc_ids."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = (docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"))
-    both = (pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
-            .join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v"))
+def _store(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written and read back; the shuffle files of making it go at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(name, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, width: int, percent: int, path: str) -> DataFrame:
+    """Those (u, v) whose sets reach the threshold; u and v are doc_ids.
+
+    The pairs are narrow: where their size is below the bound they are sent to the documents, so
+    that only texts of u move, once a pair, to the texts of v; else both sides are shuffled."""
+    pairs = _store(pairs, f"{path}-pairs")
+    ends = pairs.select(F.col("v").alias("doc_id")).distinct()
+    left = docs.select(F.col("doc_id").alias("u"), F.col("text").alias("a")).join(broadcast_if_small(pairs), "u")
+    right = docs.select("doc_id", F.col("text").alias("b")).join(broadcast_if_small(ends), "doc_id").withColumnRenamed("doc_id", "v")
+    both = left.join(right, "v")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[str, np.ndarray] = {}
@@ -185,26 +209,38 @@ def _checked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 good.append(common > 0 and 100 * common >= percent * (x.size + y.size - common))
             yield batch.loc[good, ["u", "v"]]
 
-    return both.select("u", "v", "a", "b").mapInPandas(part, "u long, v long")
+    return _store(both.select("u", "v", "a", "b").mapInPandas(part, "u long, v long").distinct(), f"{path}-links")
+
+
+def _least_common(percent: int):
+    """The least number of common shingles of sets of n and n2."""
+    return F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / (100 + percent) - F.lit(1e-9))
 
 
 def _may_reach(percent: int):
     """Whether two postings (n, at and hub's n2, at2) can belong to a pair at the threshold."""
-    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / (100 + percent) - F.lit(1e-9))
     at_most = F.least("at", "at2") + 1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1
-    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (at_most >= least)
+    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (at_most >= _least_common(percent))
+
+
+def _enough_shared(percent: int):
+    """Whether a pair that shares ``shared`` signatures of a kind can reach the threshold.
+
+    Up to the end of the prefix that ends first in the order, every common shingle is a shared one;
+    beyond it there are no more than that set's other shingles."""
+    beyond = lambda n: n - F.least(n, n - F.floor((percent * n + 99) / 100) + F.col("kind"))
+    shingles = F.when(F.col("kind") == 1, F.col("shared")).otherwise(F.floor((1 + F.sqrt(1 + 8 * F.col("shared"))) / 2))
+    return shingles + F.greatest(beyond(F.col("n")), beyond(F.col("n2"))) >= _least_common(percent)
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, k1, k2 (its class), component_id."""
     spark = docs.sparkSession
     base = scratch_path(spark, f"jaccard-{uuid.uuid4().hex}")
-    _first_pass(docs, width).write.parquet(f"{base}/first")
-    first = spark.read.parquet(f"{base}/first")
+    first = _store(_first_pass(docs, width), f"{base}/first")
     # a table of fixed size (SLOTS entries at most), and one of size classes
-    common = np.zeros(SLOTS, dtype=np.int32)
     found = first.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()
-    common[found["doc_id"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
+    common = found["doc_id"].to_numpy(), np.minimum(found["n"].to_numpy(), 2**31 - 1).astype(np.int32)
     sizes = {r["doc_id"]: r["n"] for r in first.where("kind = 2").groupBy("doc_id").agg(F.sum("n").alias("n")).collect()}
     boundary = choose_boundary(sizes, percent)
 
@@ -214,23 +250,20 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     posted = _postings(docs, width, percent, boundary, sent).repartition("sig").dropDuplicates(["sig", "k1", "k2"])
     by_sig = Window.partitionBy("sig")
     live = posted.withColumn("many", (F.min("k1").over(by_sig) != F.max("k1").over(by_sig)) | (F.min("k2").over(by_sig) != F.max("k2").over(by_sig))).where("many")
-    live.join(classes, ["k1", "k2"]).select("sig", "node", "n", "at").write.parquet(f"{base}/lists")
-    lists = spark.read.parquet(f"{base}/lists")
+    lists = _store(live.join(classes, ["k1", "k2"]).select("sig", "node", "n", "at", "kind"), f"{base}/lists")
 
     edges, comp, left = None, None, None
     for round_ in range(HUB_ROUNDS):
-        now = lists if comp is None else _mixed(lists, comp)
+        now = lists if comp is None else _store(_mixed(lists, comp), f"{base}/mixed-{round_}")
         if comp is not None:
             todo = now.agg(F.sum(F.when(~F.col("main"), F.col("length")).otherwise(0)), F.count("*")).first()
-            if not todo[1] or todo[0] <= ENOUGH * todo[1] or (left is not None and todo[0] > 0.9 * left):
+            if not todo[1] or todo[0] <= ENOUGH * todo[1] or (left is not None and todo[0] > 0.8 * left):
                 break
             left = todo[0]
-        pairs = _hub_pairs(now, round_, percent)
-        good = _checked(pairs, docs, width, percent).checkpoint()
-        edges = good if edges is None else edges.unionByName(good).distinct().checkpoint()
+        good = _checked(_hub_pairs(now, round_, percent), docs, width, percent, f"{base}/hubs-{round_}")
+        edges = good if edges is None else edges.unionByName(good)
         comp = components(edges)
-    rest = _rest_pairs(_mixed(lists, comp), percent)
-    more = _checked(rest, docs, width, percent).checkpoint()
+    more = _checked(_rest_pairs(_mixed(lists, comp), percent), docs, width, percent, f"{base}/rest")
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
     out = (rows.join(classes, ["k1", "k2"], "left")
@@ -241,18 +274,16 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def _hub_pairs(lists: DataFrame, round_: int, percent: int) -> DataFrame:
-    """Each class with its list's hub: of the classes of like size, the one that a hash puts first."""
-    out = None
-    for shift in (0.0, 0.5):
-        band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + shift).cast("int")
-        l = lists.select("sig", "node", "n", "at").withColumn("band", band)
-        hub = (l.groupBy("sig", "band").agg(F.min_by(F.struct("node", "n", "at"), F.xxhash64(F.lit(round_), "node")).alias("hub"), F.count("*").alias("c"))
-               .where("c > 1").select("sig", "band", "hub"))
-        pairs = (l.join(hub, ["sig", "band"]).where("node <> hub.node")
-                 .withColumn("n2", F.col("hub.n")).withColumn("at2", F.col("hub.at")).where(_may_reach(percent))
-                 .select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
+    """At most one pair a class: with the hub that most of its lists have.  A list's hub is the class
+    of like size that a hash of the round puts first; odd rounds shift the classes of size."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 0.5 * (round_ % 2)).cast("int")
+    rows = lists.select("sig", "node", "n", "at", "kind").withColumn("band", band)
+    rank = F.struct(F.xxhash64(F.lit(round_ // 2), "node").alias("h"), "node", "n", "at")
+    hub = rows.groupBy("sig", "band").agg(F.min(rank).alias("hub"), F.count("*").alias("c")).where("c > 1").select("sig", "band", "hub")
+    near = (rows.join(hub, ["sig", "band"]).where("node <> hub.node")
+            .withColumn("n2", F.col("hub.n")).withColumn("at2", F.col("hub.at")).where(_may_reach(percent)))
+    shared = near.groupBy("node", "n", "kind", F.col("hub.node").alias("v"), "n2").agg(F.count("*").alias("shared")).where(_enough_shared(percent))
+    return shared.groupBy(F.col("node").alias("u")).agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
 
 
 def _mixed(lists: DataFrame, comp: DataFrame) -> DataFrame:
@@ -267,11 +298,16 @@ def _mixed(lists: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _rest_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list in different components: those outside the main one with all the others."""
-    a = mixed.where(~F.col("main")).select("sig", "node", "n", "at", "c")
+    """Pairs in different components that share enough signatures: in each list, those outside its
+    main component with all the others."""
+    a = mixed.where(~F.col("main")).select("sig", "node", "n", "at", "kind", "c")
     b = mixed.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"), F.col("main").alias("main2"))
-    pairs = a.join(b, "sig").where((F.col("c") != F.col("c2")) & (F.col("main2") | (F.col("node") < F.col("node2"))) & _may_reach(percent))
-    return pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+    near = a.join(b, "sig").where((F.col("c") != F.col("c2")) & (F.col("main2") | (F.col("node") < F.col("node2"))) & _may_reach(percent))
+    # the outer one of a pair may be outside the main component in one list and inside it in another
+    ends = lambda x, y: F.when(F.col("node") < F.col("node2"), F.col(x)).otherwise(F.col(y))
+    shared = (near.groupBy(ends("node", "node2").alias("u"), ends("node2", "node").alias("v"), ends("n", "n2").alias("n"), ends("n2", "n").alias("n2"), "kind")
+              .agg(F.count("*").alias("shared")).where(_enough_shared(percent)))
+    return shared.select("u", "v").distinct()
 
 
 # ---------------------------------------------------------------- one document of each group
