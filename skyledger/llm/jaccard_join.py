@@ -46,8 +46,8 @@ WIDTH, PERCENT = 3, 90
 SLOTS = 1 << 22
 #: Cost of a posting in an inverted list, in rows of subsets.
 SCAN_COST = 4.0
-#: Rounds of hubs, while the pairs left are more than so many times the postings.
-HUB_ROUNDS, ENOUGH = 6, 8
+#: Rounds of hubs, while the pairs left are more than so many times the postings; tries a round.
+HUB_ROUNDS, ENOUGH, TRIES = 6, 2, 3
 
 
 def least_overlap(n: np.ndarray | int, percent: int):
@@ -257,7 +257,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         now = lists if comp is None else _store(_mixed(lists, comp), f"{base}/mixed-{round_}")
         if comp is not None:
             todo = now.agg(F.sum(F.when(~F.col("main"), F.col("length")).otherwise(0)), F.count("*")).first()
-            if not todo[1] or todo[0] <= ENOUGH * todo[1] or (left is not None and todo[0] > 0.8 * left):
+            if not todo[1] or todo[0] <= ENOUGH * todo[1] or (left is not None and todo[0] > 0.95 * left):
                 break
             left = todo[0]
         good = _checked(_hub_pairs(now, round_, percent), docs, width, percent, f"{base}/hubs-{round_}")
@@ -274,16 +274,23 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def _hub_pairs(lists: DataFrame, round_: int, percent: int) -> DataFrame:
-    """At most one pair a class: with the hub that most of its lists have.  A list's hub is the class
-    of like size that a hash of the round puts first; odd rounds shift the classes of size."""
+    """A few pairs a class: with hubs that most of its lists have.  A list's hub is the class of like
+    size that a hash of the round puts first; odd rounds shift the classes of size.  Once lists have
+    a main component, its classes are the hubs and only the others look for one."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 0.5 * (round_ % 2)).cast("int")
-    rows = lists.select("sig", "node", "n", "at", "kind").withColumn("band", band)
-    rank = F.struct(F.xxhash64(F.lit(round_ // 2), "node").alias("h"), "node", "n", "at")
-    hub = rows.groupBy("sig", "band").agg(F.min(rank).alias("hub"), F.count("*").alias("c")).where("c > 1").select("sig", "band", "hub")
-    near = (rows.join(hub, ["sig", "band"]).where("node <> hub.node")
-            .withColumn("n2", F.col("hub.n")).withColumn("at2", F.col("hub.at")).where(_may_reach(percent)))
-    shared = near.groupBy("node", "n", "kind", F.col("hub.node").alias("v"), "n2").agg(F.count("*").alias("shared")).where(_enough_shared(percent))
-    return shared.groupBy(F.col("node").alias("u")).agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+    rows = lists.withColumn("band", band)
+    late = "main" in lists.columns
+    out = None
+    for k in range(TRIES if late else 1):
+        rank = F.struct(F.xxhash64(F.lit(round_ // 2), F.lit(k), "node").alias("h"), "node", "n", "at")
+        hub = (rows.where("main") if late else rows).groupBy("sig", "band").agg(F.min(rank).alias("hub")).select("sig", "band", "hub")
+        near = ((rows.where("NOT main") if late else rows).select("sig", "node", "n", "at", "kind", "band")
+                .join(hub, ["sig", "band"]).where("node <> hub.node")
+                .withColumn("n2", F.col("hub.n")).withColumn("at2", F.col("hub.at")).where(_may_reach(percent)))
+        shared = near.groupBy("node", "n", "kind", F.col("hub.node").alias("v"), "n2").agg(F.count("*").alias("shared")).where(_enough_shared(percent))
+        best = shared.groupBy(F.col("node").alias("u")).agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+        out = best if out is None else out.unionByName(best)
+    return out.distinct()
 
 
 def _mixed(lists: DataFrame, comp: DataFrame) -> DataFrame:
