@@ -168,7 +168,9 @@ def surrogate(kind: Column, value: Column, draw: Column, key: str = KEY) -> Colu
 def assign(parts: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, value, surrogate) for the distinct (kind, value): distinct within a kind, and none a
     value of its kind that occurs."""
-    values = parts.select("kind", "value").where(F.col("kind") != "keep").distinct()
+    # few bytes but much work a row: spread over the cluster, not packed into one task by size
+    spread = 2 * parts.sparkSession.sparkContext.defaultParallelism
+    values = parts.select("kind", "value").where(F.col("kind") != "keep").distinct().repartition(spread, "kind", "value")
     now = (values.withColumn("draw", F.lit(0))
            .withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("draw"), key)).checkpoint())
     for draw in range(1, MAX_DRAWS + 1):
