@@ -16,8 +16,9 @@ subsets against postings to write and scan.
 Lists with one class are dropped.  What is asked for is the components of the links, so a list isn't
 multiplied out: every class is first compared with one hub of like size from its lists, in a few
 rounds; linked classes merge, and then only pairs of a list that are still in different components are compared.  Of
-these only the pairs are left that share as many signatures as the threshold asks of any pair; they
-are checked on the two whole texts.  Nothing is dropped: a link between two classes is either found
+these only the pairs are left that share as many signatures as the threshold asks of any pair, and
+whose parity sketches differ in no more bits than the two sets may differ in shingles (each shingle
+flips one bit, so sets always differ in at least as many); they are checked on the two whole texts.  Nothing is dropped: a link between two classes is either found
 or lies inside a component.
 
 Defined results: null and empty texts and texts without words have empty sets, linked with nothing;
@@ -46,6 +47,8 @@ WIDTH, PERCENT = 3, 90
 SLOTS = 1 << 22
 #: Cost of a posting in an inverted list, in rows of subsets.
 SCAN_COST = 4.0
+#: Words of 64 bits of a set's parity sketch.
+SKETCH = 4
 #: Rounds of hubs, while the pairs left are more than so many times the postings; tries a round.
 HUB_ROUNDS, ENOUGH, TRIES = 6, 2, 3
 
@@ -63,6 +66,12 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return a - (1 << 63), b - (1 << 63)
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """``SKETCH`` words; each bit tells whether an odd number of shingles falls on it."""
+    at = ((s >> np.uint64(32)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _size_class(n: int) -> int:
     return n if n < 1000 else 1000 + int(50 * np.log2(n / 1000))
 
@@ -70,8 +79,10 @@ def _size_class(n: int) -> int:
 # ---------------------------------------------------------------- first pass
 
 def _first_pass(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of three kinds: 0 a document (id, size, key), 1 a common slot and its count, 2 a class
-    of sizes and its count."""
+    """Rows of three kinds: 0 a document (id, size, key, sketch), 1 a common slot and its count, 2 a
+    class of sizes and its count."""
+    bits = [f"b{i}" for i in range(SKETCH)]
+    columns = ["kind", "doc_id", "n", "k1", "k2", *bits]
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots, sizes, total = np.zeros(SLOTS, dtype=np.int32), {}, 0
@@ -87,14 +98,15 @@ def _first_pass(docs: DataFrame, width: int) -> DataFrame:
                 total += s.size
                 k = _size_class(s.size)
                 sizes[k] = sizes.get(k, 0) + 1
-                rows.append((0, None if pd.isna(doc_id) else int(doc_id), s.size, *set_key(s)))
-            yield pd.DataFrame(rows, columns=["kind", "doc_id", "n", "k1", "k2"]).astype({"doc_id": "Int64"})
+                rows.append((0, None if pd.isna(doc_id) else int(doc_id), s.size, *set_key(s), *parity_sketch(s)))
+            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
         mean = total / SLOTS
         common = np.flatnonzero(slots > mean + 4 * np.sqrt(mean) + 2)      # far above what chance gives
-        yield pd.DataFrame({"kind": 1, "doc_id": pd.array(common, dtype="Int64"), "n": slots[common].astype(np.int64), "k1": 0, "k2": 0})
-        yield pd.DataFrame({"kind": 2, "doc_id": pd.array(list(sizes), dtype="Int64"), "n": list(sizes.values()), "k1": 0, "k2": 0})
+        none = dict.fromkeys(columns[3:], 0)
+        yield pd.DataFrame({"kind": 1, "doc_id": pd.array(common, dtype="Int64"), "n": slots[common].astype(np.int64), **none})
+        yield pd.DataFrame({"kind": 2, "doc_id": pd.array(list(sizes), dtype="Int64"), "n": list(sizes.values()), **none})
 
-    return docs.select("doc_id", "text").mapInPandas(part, "kind int, doc_id long, n long, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInPandas(part, "kind int, " + ", ".join(f"{c} long" for c in columns[1:]))
 
 
 def choose_boundary(sizes: dict[int, int], percent: int) -> int:
@@ -223,6 +235,14 @@ def _may_reach(percent: int):
     return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (at_most >= _least_common(percent))
 
 
+def _may_differ(percent: int):
+    """Whether the sketches of a pair (bits and bits2) differ no more than sets at the threshold may.
+
+    A bit differs only where the two sets differ in a shingle, and each such shingle flips one bit."""
+    differ = sum(F.bit_count(F.col(f"bits.b{i}").bitwiseXOR(F.col(f"bits2.b{i}"))) for i in range(SKETCH))
+    return differ <= F.col("n") + F.col("n2") - 2 * _least_common(percent)
+
+
 def _enough_shared(percent: int):
     """Whether a pair that shares ``shared`` signatures of a kind can reach the threshold.
 
@@ -245,12 +265,14 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     boundary = choose_boundary(sizes, percent)
 
     rows = first.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
-    classes = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
+    bits = F.struct(*[f"b{i}" for i in range(SKETCH)])
+    sets = first.where("kind = 0 AND n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min(bits).alias("bits"))
+    classes = sets.drop("bits")
     sent = spark.sparkContext.broadcast(common)
     posted = _postings(docs, width, percent, boundary, sent).repartition("sig").dropDuplicates(["sig", "k1", "k2"])
     by_sig = Window.partitionBy("sig")
     live = posted.withColumn("many", (F.min("k1").over(by_sig) != F.max("k1").over(by_sig)) | (F.min("k2").over(by_sig) != F.max("k2").over(by_sig))).where("many")
-    lists = _store(live.join(classes, ["k1", "k2"]).select("sig", "node", "n", "at", "kind"), f"{base}/lists")
+    lists = _store(live.join(sets, ["k1", "k2"]).select("sig", "node", "n", "at", "kind", "bits"), f"{base}/lists")
 
     edges, comp, left = None, None, None
     for round_ in range(HUB_ROUNDS):
@@ -282,11 +304,12 @@ def _hub_pairs(lists: DataFrame, round_: int, percent: int) -> DataFrame:
     late = "main" in lists.columns
     out = None
     for k in range(TRIES if late else 1):
-        rank = F.struct(F.xxhash64(F.lit(round_ // 2), F.lit(k), "node").alias("h"), "node", "n", "at")
+        rank = F.struct(F.xxhash64(F.lit(round_ // 2), F.lit(k), "node").alias("h"), "node", "n", "at", "bits")
         hub = (rows.where("main") if late else rows).groupBy("sig", "band").agg(F.min(rank).alias("hub")).select("sig", "band", "hub")
-        near = ((rows.where("NOT main") if late else rows).select("sig", "node", "n", "at", "kind", "band")
+        near = ((rows.where("NOT main") if late else rows).select("sig", "node", "n", "at", "kind", "bits", "band")
                 .join(hub, ["sig", "band"]).where("node <> hub.node")
-                .withColumn("n2", F.col("hub.n")).withColumn("at2", F.col("hub.at")).where(_may_reach(percent)))
+                .withColumn("n2", F.col("hub.n")).withColumn("at2", F.col("hub.at")).withColumn("bits2", F.col("hub.bits"))
+                .where(_may_reach(percent) & _may_differ(percent)))
         shared = near.groupBy("node", "n", "kind", F.col("hub.node").alias("v"), "n2").agg(F.count("*").alias("shared")).where(_enough_shared(percent))
         best = shared.groupBy(F.col("node").alias("u")).agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
         out = best if out is None else out.unionByName(best)
@@ -307,9 +330,9 @@ def _mixed(lists: DataFrame, comp: DataFrame) -> DataFrame:
 def _rest_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components that share enough signatures: in each list, those outside its
     main component with all the others."""
-    a = mixed.where(~F.col("main")).select("sig", "node", "n", "at", "kind", "c")
-    b = mixed.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"), F.col("main").alias("main2"))
-    near = a.join(b, "sig").where((F.col("c") != F.col("c2")) & (F.col("main2") | (F.col("node") < F.col("node2"))) & _may_reach(percent))
+    a = mixed.where(~F.col("main")).select("sig", "node", "n", "at", "kind", "bits", "c")
+    b = mixed.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("bits").alias("bits2"), F.col("c").alias("c2"), F.col("main").alias("main2"))
+    near = a.join(b, "sig").where((F.col("c") != F.col("c2")) & (F.col("main2") | (F.col("node") < F.col("node2"))) & _may_reach(percent) & _may_differ(percent))
     # the outer one of a pair may be outside the main component in one list and inside it in another
     ends = lambda x, y: F.when(F.col("node") < F.col("node2"), F.col(x)).otherwise(F.col(y))
     shared = (near.groupBy(ends("node", "node2").alias("u"), ends("node2", "node").alias("v"), ends("n", "n2").alias("n"), ends("n2", "n").alias("n2"), "kind")
