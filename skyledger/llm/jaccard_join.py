@@ -284,7 +284,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             left = todo[0]
         good = _checked(_hub_pairs(now, round_, percent), docs, width, percent, f"{base}/hubs-{round_}")
         edges = good if edges is None else edges.unionByName(good)
-        comp = components(edges)
+        comp = _store(components(edges), f"{base}/components-{round_}")
     more = _checked(_rest_pairs(_mixed(lists, comp), percent), docs, width, percent, f"{base}/rest")
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
@@ -319,7 +319,7 @@ def _hub_pairs(lists: DataFrame, round_: int, percent: int) -> DataFrame:
 def _mixed(lists: DataFrame, comp: DataFrame) -> DataFrame:
     """The lists that hold several components, with each row's component, whether it is the list's
     main (most frequent) one, and the list's length."""
-    c = (lists.join(comp.withColumnRenamed("component", "c"), "node", "left") if comp is not None else lists.withColumn("c", F.lit(None).cast("long")))
+    c = (lists.join(broadcast_if_small(comp.withColumnRenamed("component", "c")), "node", "left") if comp is not None else lists.withColumn("c", F.lit(None).cast("long")))
     c = c.withColumn("c", F.coalesce("c", "node"))
     parts = c.groupBy("sig", "c").agg(F.count("*").alias("k"))
     whole = (parts.groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.sum("k").alias("length"), F.count("*").alias("parts"))
