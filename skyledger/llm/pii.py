@@ -7,8 +7,11 @@
    format (digits for digits, letters of the same case and script, separators kept, card numbers
    keep their first digit and check sum, IPv4 octets stay octets, first names keep their gender's
    ending).  So a value has one surrogate wherever it stands.
+   Letters of other scripts become letters of a fixed set of their script; in a value without any
+   letter or digit (a masked secret) each sign becomes a letter.
 3. Collision checks: where two values of a type share a surrogate all but the least value, and where
-   a surrogate is itself a value of the table its owner, draw again, until none is left.
+   a surrogate is itself a value of the table its owner, draw again, until none is left.  A format that
+   has no surrogate left after some draws gets longer ones, so the draws come to an end.
 4. Each distinct text with entities gets its list of surrogates, joined back by a 128-bit digest of
    the text.  Texts without entities are never shuffled.
 
@@ -19,11 +22,14 @@ E-mail addresses count without case.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = "public-example-key"
-MAX_DRAWS = 40
+#: From this draw on a surrogate is longer than its value, by two characters more at each draw.
+GROW_FROM = 8
 
 # fixed values: titles and first names by gender, and what surrogate names are made of
 TITLES = {"m": ["Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr"],
@@ -105,39 +111,67 @@ def _pick(choices: str | list[str], n: Column) -> Column:
 # fixed values: letters by script and case; a letter is replaced by one of its own row
 _ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "àáâäãåèéêëìíîïòóôöõùúûüçñ", "ÀÁÂÄÃÅÈÉÊËÌÍÎÏÒÓÔÖÕÙÚÛÜÇÑ",
               "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
+# fixed values: by script, what its other letters and digits are replaced by
+_SCRIPTS = [(r"\p{IsHan}", "山川木林田水火土金石花草風雲雨雪天地日月星空海河湖島村町市里東西南北春夏秋冬白青赤黒大小中上下左右前後"),
+            (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ"),
+            (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ"),
+            (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후"),
+            (r"\p{IsArabic}&&\p{L}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"), (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"),
+            (r"\p{IsThai}&&\p{L}", "กขคงจฉชซญดตถทธนบปผพฟภมยรลวศสหอ"), (r"\p{IsDevanagari}&&\p{L}", "कखगघचछजझटठडढतथदधनपफबभमयरलवशसह"),
+            (r"\p{IsCyrillic}&&\p{Lu}", _ALPHABETS[6]), (r"\p{IsCyrillic}", _ALPHABETS[5]), (r"\p{IsGreek}&&\p{Lu}", _ALPHABETS[8]),
+            (r"\p{IsGreek}", _ALPHABETS[7]), (r"\p{Lu}", _ALPHABETS[1]), (r"\p{L}", _ALPHABETS[0]), (r"\p{N}", _ALPHABETS[2])]
 
 
 def _same_shape(value: Column, numbers: Column, keep: Column | int = 0, alphabets: list[str] = _ALPHABETS) -> Column:
     """Each character replaced by one of its own alphabet, but for the first ``keep`` ones."""
     def swap(c: Column, i: Column) -> Column:
         n = F.element_at(numbers, (i % 64 + 1).cast("int")) + i
+        one_of = lambda letters: F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1))
         out = c
+        if alphabets is _ALPHABETS:
+            for script, letters in reversed(_SCRIPTS):
+                out = F.when(c.rlike(f"[{script}]"), one_of(letters)).otherwise(out)
         for letters in reversed(alphabets):
-            out = F.when(F.instr(F.lit(letters), c) > 0, F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1))).otherwise(out)
+            out = F.when(F.instr(F.lit(letters), c) > 0, one_of(letters)).otherwise(out)
         return F.when(i < keep, c).otherwise(out)
 
     return F.array_join(F.transform(F.split(value, ""), swap), "")
 
 
+def _lettered(kind: Column, value: Column) -> Column:
+    """The value; one without letters and digits as letters (a domain's dots stay)."""
+    return (F.when(value.rlike(r"[\p{L}\p{N}]"), value).when(kind == "domain", F.regexp_replace(value, r"[^.]", "n"))
+            .otherwise(F.regexp_replace(value, r"(?s).", "n")))
+
+
+def _grown(value: Column, draw: Column) -> Column:
+    """The value, from a draw on with its last letter or digit repeated at its end."""
+    last = F.regexp_extract(value, r"(?s)([\p{L}\p{N}])[^\p{L}\p{N}]*$", 1)
+    return F.when(draw < GROW_FROM, value).otherwise(F.concat(value, F.repeat(last, 2 * (draw - GROW_FROM + 1))))
+
+
 def _luhn_sum(number: Column) -> Column:
     digits = F.reverse(F.transform(F.split(F.regexp_replace(number, r"\D", ""), ""), lambda d: d.cast("int")))
     doubled = F.transform(digits, lambda d, i: F.when(i % 2 == 0, d).when(d > 4, d * 2 - 9).otherwise(d * 2))
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d)
 
 
-def _card(value: Column, numbers: Column) -> Column:
-    body = _same_shape(value, numbers, 1, _ALPHABETS[2:3])
+def _card(value: Column, numbers: Column, draw: Column) -> Column:
+    body = _same_shape(_grown(value, draw), numbers, 1, _ALPHABETS[2:3])
     cut = F.substr(body, F.lit(1), F.length(body) - 1)
     check = (10 - _luhn_sum(F.concat(cut, F.lit("0"))) % 10) % 10
     return F.when(_luhn_sum(value) % 10 == 0, F.concat(cut, check.cast("string"))).otherwise(body)
 
 
-def _ip(value: Column, numbers: Column) -> Column:
+def _ip(value: Column, numbers: Column, draw: Column) -> Column:
+    """Octets of as many digits; after some draws any octets, then more of them."""
     def octet(o: Column, i: Column) -> Column:
         n = F.element_at(numbers, (i + 1).cast("int")) * 256 + F.element_at(numbers, (i + 9).cast("int"))
         other = lambda low, many: (o.cast("int") - low + 1 + n % (many - 1)) % many + low  # noqa: E731  never the same
         return F.when(F.length(o) == 1, other(0, 10)).when(F.length(o) == 2, other(10, 90)).otherwise(other(100, 155)).cast("string")
-    return F.array_join(F.transform(F.split(value, r"\."), octet), ".")
+    same = F.array_join(F.transform(F.split(value, r"\."), octet), ".")
+    wide = F.slice(numbers, 17, F.least(4 + 2 * F.greatest(draw - 2 * GROW_FROM, F.lit(0)), F.lit(48)))
+    return F.when(draw < GROW_FROM, same).otherwise(F.array_join(wide.cast("array<string>"), "."))
 
 
 def _person(kind: str, numbers: Column, draw: Column) -> Column:
@@ -146,6 +180,9 @@ def _person(kind: str, numbers: Column, draw: Column) -> Column:
     syllables = [F.concat(_pick(_ONSETS, n(2 * k + 1)), _pick(_VOWELS, n(2 * k + 2))) for k in range(5)]
     stem = F.concat(syllables[0], syllables[1], F.when(draw > 3, F.concat(syllables[2], syllables[3], syllables[4]))
                     .when(draw > 0, syllables[2]).otherwise(F.lit("")))
+    more = F.transform(F.sequence(F.lit(GROW_FROM), draw), lambda k: F.concat(
+        _pick(_ONSETS, n((k * 2 % 40 + 21).cast("int"))), _pick(_VOWELS, n((k * 2 % 40 + 22).cast("int")))))
+    stem = F.concat(stem, F.when(draw < GROW_FROM, F.lit("")).otherwise(F.array_join(more, "")))
     return F.initcap(F.concat(stem, _pick(_ENDINGS[kind], n(20))))
 
 
@@ -155,7 +192,9 @@ def surrogate(kind: Column, value: Column, draw: Column, key: str = KEY) -> Colu
     name = F.when(kind == "first_m", _person("first_m", numbers, draw)).when(kind == "first_f", _person("first_f", numbers, draw)).otherwise(_person("surname", numbers, draw))
     latin = value.rlike(r"^[\p{IsLatin}'’-]+$")
     phone_lead = F.length(F.regexp_extract(value, r"^\+\d{1,3}", 0))
-    return (F.when(kind == "card", _card(value, numbers)).when(kind == "ip", _ip(value, numbers))
+    card, ip = _card(value, numbers, draw), _ip(value, numbers, draw)
+    value = _grown(_lettered(kind, value), draw)
+    return (F.when(kind == "card", card).when(kind == "ip", ip)
             .when(kind.isin("first_m", "first_f", "surname") & latin, name)
             .when(kind == "phone", _same_shape(value, numbers, phone_lead, _ALPHABETS[2:3]))
             .when(kind == "ssn", _same_shape(value, numbers, 0, _ALPHABETS[2:3]))
@@ -173,7 +212,7 @@ def assign(parts: DataFrame, key: str = KEY) -> DataFrame:
     values = parts.select("kind", "value").where(F.col("kind") != "keep").distinct().repartition(spread, "kind", "value")
     now = (values.withColumn("draw", F.lit(0))
            .withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("draw"), key)).checkpoint())
-    for draw in range(1, MAX_DRAWS + 1):
+    for draw in count(1):       # ends: surrogates grow past every value
         owners = now.groupBy("kind", "surrogate").agg(F.min("value").alias("owner"), F.count("*").alias("n"))
         # narrow: only surrogates that are shared or real
         shared = owners.where(F.col("n") > 1).select("kind", "surrogate", "owner")
@@ -187,7 +226,6 @@ def assign(parts: DataFrame, key: str = KEY) -> DataFrame:
         now = again.select(
             "kind", "value", F.when(F.col("__again"), draw).otherwise(F.col("draw")).alias("draw"),
             F.when(F.col("__again"), surrogate(F.col("kind"), F.col("value"), F.lit(draw), key)).otherwise(F.col("surrogate")).alias("surrogate")).checkpoint()
-    raise RuntimeError("a format has too few values left for distinct surrogates")
 
 
 def replace(df: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:

@@ -275,6 +275,26 @@ def test_surrogates_stay_distinct(corpus_spark):
     assert not {(r.kind, r.surrogate) for r in rows} & set(values)
 
 
+def test_surrogates_never_run_out(corpus_spark):
+    from skyledger.llm import pii
+    kept = ["password: ******", "token=------", "--------", "_@x.com", "张伟@例子.com", "דוד@x.com", "محمد@x.com", "สมชย@x.com", "łęß@x.com"]
+    rows = [(i, f"see {t} here", "a") for i, t in enumerate(kept)] + [(100 + i, f"{chr(97 + i)}@y.org", "a") for i in range(26)] \
+        + [(200 + i, f"{i}@y.org", "a") for i in range(10)]
+    out = {r.doc_id: r for r in pii.replace(docs_frame(corpus_spark, rows)).collect()}
+    for d, text, _ in rows:
+        assert (out[d].text == text) == (d == 2) and (d == 2 or out[d].n_entities == 1)
+    assert re.fullmatch(r"see password: [a-z]{6} here", out[0].text) and re.fullmatch(r"see [\u4e00-\u9fff]{2}@[\u4e00-\u9fff]{2}\.com here", out[4].text)
+    assert re.search(r"see [\u05d0-\u05ea]{3}@x\.com", out[5].text)
+    mailboxes = [out[d].text.split("@")[0] for d in out if d >= 100]
+    assert len(set(mailboxes)) == 36 and not set(mailboxes) & {t.split("@")[0] for _, t, _ in rows}
+    ips = [("ip", f"{a}.{b}.{c}.7") for a in range(10) for b in range(10) for c in range(10)] + [("ssn", "123-45-6789"), ("card", "4111 1111 1111 1111")]
+    late = corpus_spark.createDataFrame(ips, "kind string, value string").selectExpr("*", "explode(array(9, 40)) draw")
+    from pyspark.sql import functions as F
+    grown = late.select("kind", "value", "draw", pii.surrogate(F.col("kind"), F.col("value"), F.col("draw")).alias("s")).collect()
+    assert len({(r.kind, r.s) for r in grown}) == len(grown)
+    assert all(len(r.s) > len(r.value) for r in grown if r.draw == 40)
+
+
 def test_surrogate_query_keeps_clean_text(corpus_spark):
     from skyledger.llm.catalog import QUERIES
     got = {r.doc_id: r for r in QUERIES["op5_pii_surrogates"](corpus_spark, SF).collect()}
