@@ -131,6 +131,7 @@ def _same_shape(value: Column, numbers: Column, keep: Column | int = 0, alphabet
         if alphabets is _ALPHABETS:
             for script, letters in reversed(_SCRIPTS):
                 out = F.when(c.rlike(f"[{script}]"), one_of(letters)).otherwise(out)
+            out = F.when(c.rlike(r"[\p{L}\p{N}]"), out).otherwise(c)
         for letters in reversed(alphabets):
             out = F.when(F.instr(F.lit(letters), c) > 0, one_of(letters)).otherwise(out)
         return F.when(i < keep, c).otherwise(out)
