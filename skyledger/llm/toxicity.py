@@ -5,7 +5,9 @@
 2. Words that look disguised (digits or signs for letters, letters spelled out with separators,
    letters repeated three times or more) are lattices: each character stands for itself, for the
    letters it can stand for, or for nothing (a separator, a repeat), at a cost.  Viterbi decoding
-   under the trigram model gives the likeliest plain word.
+   under the trigram model gives the likeliest plain word, and where there are separators also the
+   likeliest plain words, with separators read as word borders.  Runs of one character count as
+   three; there is no limit of length.
 3. Features of a text are its words, plain and restored, and their prefixes of 4 to 7 letters, each
    seen at least once, twice, three times.  From
    at most ``TRAIN_ROWS`` labelled documents (near copies counted once: one document for each least
@@ -51,7 +53,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóô
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
               "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SEPARATORS = frozenset(".-_*~'` /\\,")
-SUBSTITUTE_COST, DROP_COST, REPEAT_COST = 1.5, 0.4, 0.7
+SUBSTITUTE_COST, DROP_COST, REPEAT_COST, BORDER_COST = 1.5, 0.4, 0.7, 0.4
 
 _SIZE = 64
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -61,8 +63,9 @@ for _c, _i in _INDEX.items():
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PLAIN = re.compile(rf"[{LETTERS}]+")
 _EDGES = "".join(set("\"'#%&*.,;:?!()[]{}<>|/\\«»“”„…–—-_~`^=+¿¡"))
+_RUN = re.compile(r"(.)\1{3,}", re.S)
 _TRIPLE = re.compile(rf"([{LETTERS}])\1\1")
-_SPELLED = re.compile(rf"(?<![^\s])[{LETTERS}0-9@$](?:[ ._*~-]{{1,2}}[{LETTERS}0-9@$!|+]){{1,30}}[ ._*~-]{{1,2}}[{LETTERS}0-9@$](?![^\s.,;:?!])")
+_SPELLED = re.compile(rf"(?<![^\s])[{LETTERS}0-9@$](?:[ ._*~-]{{1,2}}[{LETTERS}0-9@$!|+])+[ ._*~-]{{1,2}}[{LETTERS}0-9@$](?![^\s.,;:?!])")
 
 
 # ---------------------------------------------------------------- the character model
@@ -110,9 +113,10 @@ class Decoder:
         full = (c + 2 * middle[None, :, :]) / (pair[:, :, None] + 2)
         self.cost = (-np.log(full)).astype(np.float32)
 
-    def restore(self, word: str) -> str:
-        """The likeliest plain word; '' if some character can't be read."""
-        cost, paths = self.cost, {(0, 0): (0.0, "")}
+    def restore(self, word: str, borders: bool = False) -> str:
+        """The likeliest plain word; '' if some character can't be read.  With ``borders``,
+        separators can be spaces between words."""
+        cost, paths = self.cost, {(0, 0): (0.0, None)}      # the letters as (those before, last)
         last = ""
         for c in word:
             options = []
@@ -124,20 +128,32 @@ class Decoder:
                 options.append((x, SUBSTITUTE_COST))
             if c in SEPARATORS:
                 options.append(("", DROP_COST))
+                if borders:
+                    options.append((" ", BORDER_COST))
             if c == last and c in STANDS_FOR:
                 options.append(("", REPEAT_COST))
             if not options:
                 return ""
-            ahead: dict[tuple[int, int], tuple[float, str]] = {}
+            ahead: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (so_far, out) in paths.items():
                 for x, price in options:
                     i = _INDEX.get(x, 0)
                     state = (b, i) if x else (a, b)
                     value = so_far + price + (float(cost[a, b, i]) if x else 0.0)
                     if state not in ahead or value < ahead[state][0]:
-                        ahead[state] = (value, out + x)
+                        ahead[state] = (value, (out, x) if x else out)
             paths, last = ahead, c
-        return min((v + float(cost[a, b, 0]), out) for (a, b), (v, out) in paths.items())[1]
+        ends = [(v + float(cost[a, b, 0]), out) for (a, b), (v, out) in paths.items()]
+        least = min(v for v, _ in ends)
+        return min(_letters(out) for v, out in ends if v == least)
+
+
+def _letters(chain: tuple | None) -> str:
+    out = []
+    while chain is not None:
+        chain, x = chain
+        out.append(x)
+    return "".join(reversed(out))
 
 
 #: Numbers of occurrences that are features of their own.
@@ -156,10 +172,13 @@ def readings(word: str, decoder: Decoder) -> list[str]:
     if bare:
         out.append(bare)
     for form in {bare, word.strip("\"'.,;:?«»“”()[]{}#%&*")}:
-        if 3 <= len(form) <= 40 and (not _PLAIN.fullmatch(form) or _TRIPLE.search(form)) and sum(c in _INDEX for c in form) >= 1:
+        form = _RUN.sub(r"\1\1\1", form)
+        if len(form) >= 3 and (not _PLAIN.fullmatch(form) or _TRIPLE.search(form)) and any(c in _INDEX for c in form):
             restored = decoder.restore(form)
             if len(restored) >= 3 and restored != bare:
                 out.append(restored)
+            if restored and any(c in SEPARATORS for c in form):
+                out.extend(w for w in decoder.restore(form, borders=True).split() if len(w) >= 3 and w not in out)
     return out
 
 

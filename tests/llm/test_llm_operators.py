@@ -357,6 +357,17 @@ def test_decoder_restores_disguised_words(corpus_spark):
     assert toxicity.words_of("You are an i d i o t !")["i d i o t"] == 1
 
 
+def test_decoder_reads_long_forms_and_word_borders(corpus_spark):
+    from skyledger.llm import toxicity
+    text = " ".join(["such a nice day and you are a stupid idiot", "he is an idiot and a loser", "a moron such as you are"] * 50)
+    decoder = toxicity.Decoder(toxicity.count_trigrams(docs_frame(corpus_spark, [(1, text, "a")])))
+    assert "stupid" in toxicity.readings("st" + "u" * 45 + "pid", decoder) and "idiot" in toxicity.readings("i" + "." * 60 + "diot", decoder)
+    for phrase in ["such a i d i o t", "you are a  s t u p i d  i d i o t", "y o u a r e s u c h a s t u p i d i d i o t", "y.o.u a.r.e a.n i.d.i.o.t"]:
+        assert "idiot" in [r for w in toxicity.words_of(phrase) for r in toxicity.readings(w, decoder)], phrase
+    long = "a1" * 50_000
+    assert len(decoder.restore(long)) == 100_000
+
+
 def test_toxicity_held_out_accuracy(corpus_spark):
     from skyledger.llm import toxicity
     rng = random.Random(4)
