@@ -4,8 +4,9 @@ A page is cut into blocks: runs of text between block-level tags.  Each block ha
 its open elements from the root down (with class and id words, without inline formatting).  Over
 all blocks of a path the text outside links and the punctuation are summed: their means a block are
 the path's text ratio and punctuation ratio.  They are fused into one value, the value is smoothed
-with those of the paths beside it (same parent, same grandparent, weighed by text), and multiplied by a
-prior: none for paths through menus, footers, forms and the like, more for those through an article.
+with those of the paths beside it (same parent, same grandparent, weighed by text) and, where its text is
+not linked, with the highest of its article, or of the paths beside the list, table or quote it is in, and
+multiplied by a prior: none for paths through menus, footers, forms and the like, more for those through an article.
 Paths whose value reaches a fixed part of the page's highest are content; their blocks are the text.
 
 Defined results: a null or empty page, or one without text, gives the empty string.  Markup may be
@@ -28,6 +29,9 @@ from pyspark.sql import types as T
 THRESHOLD = 0.1
 #: Weights of the paths with the same parent and grandparent against a path's own.
 SIBLINGS, COUSINS = 0.6, 0.15
+#: Weight of the highest ratio of the article, or beside the list, table or quote, that a path is in.
+#: Above THRESHOLD * (1 + SIBLINGS + COUSINS + itself), so no unlinked text of the article with the highest path falls below.
+AROUND = 0.5
 #: Times the value of paths through an article or main element.
 ARTICLE_PRIOR = 3.0
 
@@ -44,6 +48,8 @@ _BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising
                                "consent notice gdpr popup modal overlay newsletter subscribe signup login search comment comments "
                                "commentlist disqus respond reply replies discussion share sharing social related recommended teaser "
                                "widget pagination pager copyright legal disclaimer skip hidden".split())
+_TEXT_FLOW = frozenset("ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote figure figcaption details summary "
+                       "pre p h1 h2 h3 h4 h5 h6".split())
 _CLOSED_BY_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
                      "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table article section div main body aside nav header footer form blockquote td th".split())
@@ -57,12 +63,15 @@ _WORDS = re.compile(r"[a-z0-9]+")
 class _Path:
     """One tag path: its prior and the sums over its blocks."""
 
-    __slots__ = ("parent", "children", "prior", "blocks", "chars", "marks", "in_article")
+    __slots__ = ("parent", "tag", "children", "prior", "blocks", "chars", "length", "marks", "in_article", "article", "around")
 
     def __init__(self, parent: "_Path | None", tag: str, words: frozenset[str]):
-        self.parent, self.children = parent, {}
+        self.parent, self.tag, self.children = parent, tag, {}
         self.in_article = parent is not None and parent.in_article or tag in _ARTICLE
-        self.blocks = self.chars = self.marks = 0
+        self.blocks = self.chars = self.length = self.marks = 0
+        self.article = self if tag in _ARTICLE else parent and parent.article       # the nearest
+        # the element that holds the outermost list, table or quote
+        self.around = self if parent is None or tag not in _TEXT_FLOW else parent.around
         if parent is not None and parent.prior == 0:
             self.prior = 0.0
         elif tag in _BOILERPLATE or tag == "header" and not self.in_article or tag not in ("html", "body", "article", "main") and words & _BOILERPLATE_WORDS:
@@ -105,6 +114,7 @@ def blocks_of(page: str) -> list[tuple[_Path, str]]:
                 path = open_tags[-1][1]
                 path.blocks += 1
                 path.chars += max(len(text) - linked, 0)
+                path.length += len(text)
                 path.marks += len(_PUNCTUATION.findall(text))
                 out.append((path, text))
             parts.clear()
@@ -170,11 +180,23 @@ def path_values(paths: list[_Path]) -> dict[int, float]:
             s[0] += fused[id(p)] * p.chars * (p.prior > 0)
             s[1] += p.chars * (p.prior > 0)
 
+    highest: dict[tuple[str, int], float] = defaultdict(float)
+    for p in paths:
+        if p.prior > 0:
+            for at in {("article", id(p.article)), ("around", id(p.around))}:
+                highest[at] = max(highest[at], fused[id(p)])
+
     def mean(s: list[float]) -> float:
         return s[0] / s[1] if s[1] else 0.0
 
+    def around(p: _Path) -> float:
+        if p.article is not None and (p.article.tag == "article" or not any_article):
+            return highest["article", id(p.article)] * p.chars / p.length
+        return highest["around", id(p.around)] * p.chars / p.length if p.parent is not p.around else 0.0
+
+    any_article = any(p.article is not None and p.article.tag == "article" and p.prior > 0 for p in paths)
     return {id(p): p.prior * (fused[id(p)] + SIBLINGS * mean(by_parent[id(p.parent)])
-                              + COUSINS * mean(by_grandparent[id(p.parent.parent if p.parent else None)])) for p in paths}
+                              + COUSINS * mean(by_grandparent[id(p.parent.parent if p.parent else None)]) + AROUND * around(p)) for p in paths}
 
 
 def main_text(page: str | None) -> str:

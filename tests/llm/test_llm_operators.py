@@ -111,6 +111,18 @@ def test_main_text_without_article_element():
     assert main_text(page).count("Paragraph") == 6 and "Top" not in main_text(page) and "One" not in main_text(page)
 
 
+def test_main_text_keeps_short_blocks_beside_long_paragraphs():
+    from skyledger.llm.html_text import main_text
+    long = "<p>" + "A long paragraph, with marks; it goes on for a while. " * 6 + "</p>"
+    short = ("<ul><li>first short item<li>second short item</ul><blockquote><p>A quote of a few words.</p></blockquote>"
+             "<table><tr><td>cell one<td>cell two</table><dl><dt>term<dd>what it means</dl><div><div><p>boxed words</p></div></div>")
+    want = ["first short item", "second short item", "A quote of a few words.", "cell one", "cell two", "term", "what it means"]
+    text = main_text(f"<body><nav><ul><li><a href=1>Home</a></ul></nav><article>{long * 5}{short}</article><div>Top</div></body>")
+    assert text.split("\n")[5:] == want + ["boxed words"]
+    text = main_text(f"<body><div class=story>{long * 5}{short}</div><div><a href=1>Top</a></div></body>")
+    assert text.split("\n")[5:12] == want
+
+
 def test_main_text_query(corpus_spark):
     from skyledger.llm.catalog import QUERIES
     got = {r.page_id: r for r in QUERIES["op2_tag_path_text"](corpus_spark, SF).collect()}
