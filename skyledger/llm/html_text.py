@@ -7,6 +7,9 @@ the path's text ratio and punctuation ratio.  They are fused into one value, the
 with those of the paths beside it (same parent, same grandparent, weighed by text) and, where its text is
 not linked, with the highest of its article, or of the paths beside the list, table or quote it is in, and
 multiplied by a prior: none for paths through menus, footers, forms and the like, more for those through an article.
+An element that only its class, id or role words mark as such keeps its prior if it holds most of the
+unlinked text of article and main elements, or most of the page's and no such element stands beside it
+(for words of comments and related pages: the latter, and only if it has an article).
 Paths whose value reaches a fixed part of the page's highest are content; their blocks are the text.
 
 Defined results: a null or empty page, or one without text, gives the empty string.  Markup may be
@@ -50,12 +53,15 @@ _BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising
                                "widget pagination pager copyright legal disclaimer skip hidden".split())
 _TEXT_FLOW = frozenset("ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote figure figcaption details summary "
                        "pre p h1 h2 h3 h4 h5 h6".split())
+# of those, the words of text that is not the page's own, however much of it there is
+_FOREIGN_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion related recommended teaser".split())
+_HIDDEN = "(hidden)"        # stands for the attribute
 _CLOSED_BY_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
                      "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table article section div main body aside nav header footer form blockquote td th".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…»«“”\"()。，、；：！？]")
 _WORDS = re.compile(r"[a-z0-9]+")
 
@@ -63,7 +69,8 @@ _WORDS = re.compile(r"[a-z0-9]+")
 class _Path:
     """One tag path: its prior and the sums over its blocks."""
 
-    __slots__ = ("parent", "tag", "children", "prior", "blocks", "chars", "length", "marks", "in_article", "article", "around")
+    __slots__ = ("parent", "tag", "children", "prior", "blocks", "chars", "length", "marks", "in_article", "article", "around",
+                 "hard", "marked", "own")
 
     def __init__(self, parent: "_Path | None", tag: str, words: frozenset[str]):
         self.parent, self.tag, self.children = parent, tag, {}
@@ -72,12 +79,12 @@ class _Path:
         self.article = self if tag in _ARTICLE else parent and parent.article       # the nearest
         # the element that holds the outermost list, table or quote
         self.around = self if parent is None or tag not in _TEXT_FLOW else parent.around
-        if parent is not None and parent.prior == 0:
-            self.prior = 0.0
-        elif tag in _BOILERPLATE or tag == "header" and not self.in_article or tag not in ("html", "body", "article", "main") and words & _BOILERPLATE_WORDS:
-            self.prior = 0.0
-        else:
-            self.prior = ARTICLE_PRIOR if self.in_article else 1.0
+        self.prior = ARTICLE_PRIOR if self.in_article else 1.0      # until set_priors
+        exempt = tag in ("html", "body", "article", "main")
+        self.hard = (parent is not None and parent.hard or tag in _BOILERPLATE or tag == "header" and not self.in_article
+                     or not exempt and _HIDDEN in words)
+        self.marked = "" if exempt else "foreign" if words & _FOREIGN_WORDS else "class" if words & _BOILERPLATE_WORDS else ""
+        self.own = not words & _FOREIGN_WORDS       # what an article element must be to count as the page's own
 
     def child(self, tag: str, words: frozenset[str]) -> "_Path":
         if (tag, words) not in self.children:
@@ -90,10 +97,10 @@ def _attribute_words(attributes: str) -> frozenset[str]:
     for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name = name.lower()
         if name == "hidden":
-            words.add("hidden")
+            words.add(_HIDDEN)
         elif name == "aria-hidden":
-            words.update(["hidden"] if "true" in value.lower() else [])
-        else:
+            words.update([_HIDDEN] if "true" in value.lower() else [])
+        elif name in ("class", "id", "role"):
             words.update(_WORDS.findall(value.lower()))
     return frozenset(words)
 
@@ -169,6 +176,55 @@ def blocks_of(page: str) -> list[tuple[_Path, str]]:
     return out
 
 
+def set_priors(root: _Path) -> None:
+    """Priors of 0 for the paths through boilerplate."""
+    order = [root]
+    for p in order:
+        order.extend(p.children.values())
+
+    def sums(skip: set[int]) -> tuple[dict[int, int], dict[int, int]]:
+        """Unlinked text, and that in article and main elements, by path with all below it."""
+        text: dict[int, int] = {}
+        within: dict[int, int] = {}
+        for p in reversed(order):
+            open_here = not p.hard and id(p) not in skip
+            text[id(p)] = (p.chars + sum(text[id(c)] for c in p.children.values())) if open_here else 0
+            inner = sum(within[id(c)] for c in p.children.values())
+            within[id(p)] = (text[id(p)] if p.tag in _ARTICLE and p.own else inner) if open_here else 0
+        return text, within
+
+    def above(p: _Path | None) -> set[int]:
+        out = set()
+        while p is not None:
+            out.add(id(p))
+            p = p.parent
+        return out
+
+    marked = [p for p in order if p.marked and not p.hard]
+    if marked:
+        text, _ = sums(set())
+        articles = [a for a in order if a.tag in _ARTICLE and a.own and text[id(a)]]
+        foreign = {id(p) for p in marked if p.marked == "foreign"}
+        # an article counts where no foreign element stands above it
+        free = [(a, above(a)) for a in articles]
+
+        def alone(p: _Path) -> bool:
+            up = above(p)
+            return all(id(p) in over or id(a) in up or over & foreign for a, over in free)
+
+        for p in marked:
+            if p.marked == "foreign" and 2 * text[id(p)] > text[id(root)] and any(id(p) in over for _, over in free) and alone(p):
+                foreign.discard(id(p))
+        text, within = sums(foreign)
+        zero = foreign | {id(p) for p in marked if p.marked == "class" and not (
+            2 * within[id(p)] > within[id(root)] or 2 * text[id(p)] > text[id(root)] and alone(p))}
+    else:
+        zero = set()
+    for p in order:
+        if p.hard or id(p) in zero or p.parent is not None and p.parent.prior == 0:
+            p.prior = 0.0
+
+
 def path_values(paths: list[_Path]) -> dict[int, float]:
     """The smoothed, fused ratio of each path, times its prior; by id()."""
     fused = {id(p): (p.chars / p.blocks) * (1.0 + p.marks / p.blocks) for p in paths}
@@ -202,6 +258,11 @@ def path_values(paths: list[_Path]) -> dict[int, float]:
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by line feeds."""
     blocks = blocks_of(page or "")
+    if blocks:
+        root = blocks[0][0]
+        while root.parent is not None:
+            root = root.parent
+        set_priors(root)
     values = path_values(list({id(p): p for p, _ in blocks}.values()))
     least = THRESHOLD * max(values.values(), default=0.0)
     return "\n".join(text for path, text in blocks if values[id(path)] > 0 and values[id(path)] >= least)

@@ -123,6 +123,27 @@ def test_main_text_keeps_short_blocks_beside_long_paragraphs():
     assert text.split("\n")[5:12] == want
 
 
+def test_main_text_survives_layout_words():
+    from skyledger.llm.html_text import main_text
+    body = "".join(f"<p>Paragraph {i} has some words, and a few marks; so it reads as text.</p>" for i in range(6))
+    ends = '<div class="related"><article><p>Another page, that is teased here.</p></article></div><div class="sidebar"><p>Aside, short.</p></div>'
+    for attributes in ['style="overflow:hidden"', 'title="the hidden cost"', 'class="content has-sidebar"', 'class=page-with-header', 'class="hidden-xs"',
+                       'class="widget-area main"', 'class="article-share-wrapper"', 'data-class="ad"', 'class="post comments-open"']:
+        for page in (f"<div {attributes}><article>{body}</article></div>", f"<article><h1>Head</h1><div {attributes}>{body}</div></article>",
+                     f"<main><div class=page><div {attributes}><article>{body}</article></div></div></main>"):
+            text = main_text(f"<body>{page}{ends}<footer>Us</footer></body>")
+            assert text.count("Paragraph") == 6 or "comments" in attributes and "<h1>" in page, (attributes, page[:80])
+            assert "teased" not in text and "Aside" not in text and "Us" not in text
+    for attributes in ["hidden", 'aria-hidden="true"']:
+        assert main_text(f"<div {attributes}>{body}</div><div><p>Seen, at least.</p></div>") == "Seen, at least."
+    assert main_text(f"<div class=sidebar>{body}</div>").count("Paragraph") == 6
+    comments = '<div class="comments"><article class="comment"><p>' + "My comment is long, and has marks. " * 40 + "</p></article></div>"
+    for page in (f"<article>{body}</article>{comments}", f"<div class=story>{body}</div>{comments}"):
+        assert main_text(page).count("Paragraph") == 6 and "comment" not in main_text(page)
+    cut = '<div class="content has-sidebar">' * 400 + body
+    assert main_text(cut).count("Paragraph") == 6
+
+
 def test_main_text_query(corpus_spark):
     from skyledger.llm.catalog import QUERIES
     got = {r.page_id: r for r in QUERIES["op2_tag_path_text"](corpus_spark, SF).collect()}
