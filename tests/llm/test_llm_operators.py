@@ -317,7 +317,7 @@ def test_surrogates_never_run_out(corpus_spark):
     for d, text, _ in rows:
         assert (out[d].text == text) == (d == 2) and (d == 2 or out[d].n_entities == 1)
     assert re.fullmatch(r"see password: [a-z]{6} here", out[0].text) and re.fullmatch(r"see [\u4e00-\u9fff]{2}@[\u4e00-\u9fff]{2}\.com here", out[4].text)
-    assert re.search(r"see [\u05d0-\u05ea]{3}@x\.com", out[5].text)
+    assert re.search(r"see [\u05d0-\u05ea]{3}@[a-z]+\.com", out[5].text)
     mailboxes = [out[d].text.split("@")[0] for d in out if d >= 100]
     assert len(set(mailboxes)) == 36 and not set(mailboxes) & {t.split("@")[0] for _, t, _ in rows}
     ips = [("ip", f"{a}.{b}.{c}.7") for a in range(10) for b in range(10) for c in range(10)] + [("ssn", "123-45-6789"), ("card", "4111 1111 1111 1111")]
