@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, jaccard_join, mixing, pii, repetition, sketch, toxicity, url_filter
+from . import (bpe, chat, hard_negatives, html_text, jaccard_join, mixing, pii, repetition, sketch, term_search, toxicity, turn_repair,
+               url_filter)
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +163,56 @@ def q_jaccard(spark, sf_dir):
     prepare(spark)
     rows = jaccard_join.link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_shingles", "component_id")
+
+
+# ---------------------------------------------------------------- 11: conversation repair
+
+@register("op11_turn_repair")
+def q_turn_repair(spark, sf_dir):
+    prepare(spark)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return turn_repair.report(turn_repair.repair(turn_repair.damage(rows))).select(
+        F.col("conv").cast("long").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        "repaired_sha256")
+
+
+# ---------------------------------------------------------------- 12, 13: vectors
+
+def _integer_vectors(scale: int) -> str:
+    """CTE ``v``: rows that take part, their components as whole numbers (doubles that hold them exactly)."""
+    return f"""v AS (
+  SELECT vec_id, label, [floor({scale}.0 * CAST(x AS DOUBLE)) FOR x IN embedding] AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0)"""
+
+
+@register("op12_hard_negatives", "WITH " + _integer_vectors(256) + """,
+r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, c FROM v WHERE label IS NOT NULL),
+s AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id AS other_id, a.label = o.label AS same,
+    CAST(list_inner_product(a.c, o.c) AS BIGINT) AS score
+  FROM r a JOIN r o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+  s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+QUALIFY rank <= 10""")
+def q_hard_negatives(spark, sf_dir):
+    prepare(spark)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "embedding", label, F.col("vec_id") % 100 == 0, scale=256)
+
+
+@register("op13_topk_search", "WITH " + _integer_vectors(1024) + """
+SELECT q.vec_id AS query_id,
+  CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.c, o.c) DESC, o.vec_id) AS INTEGER) AS rank,
+  o.vec_id, CAST(list_inner_product(q.c, o.c) AS BIGINT) AS score
+FROM v q JOIN v o ON q.vec_id % 100 = 0 AND q.vec_id <> o.vec_id
+QUALIFY rank <= 10""")
+def q_topk_search(spark, sf_dir):
+    prepare(spark)
+    return term_search.search(table(spark, sf_dir, "embeddings"), "embedding", F.col("vec_id") % 100 == 0, scale=1024)
