@@ -219,7 +219,7 @@ LIVE_FLAT = f"""
 live_base AS (
   SELECT *, {clock_sql('scheduled_departure')} AS _sched, {clock_sql('departure_time')} AS _act,
     strftime(o_orderdate, '%Y-%m-%d') AS _day
-  FROM flights WHERE l_returnflag = 'R'
+  FROM flights
 ),
 live_flat AS (
   SELECT l_orderkey AS page,
@@ -337,14 +337,14 @@ readings AS (
     sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) / count(*) AS wind_speed_10m,
     CASE WHEN (user_id % 25) % 2 = 1 THEN CAST(max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS DOUBLE)
     END AS wind_gusts_10m
-  FROM events WHERE event_type IN ('view', 'click')
+  FROM events
   GROUP BY user_id % 25, CAST(ts AS DATE), hour(ts)
-  HAVING hour(ts) % 5 <> 3
+  HAVING sum(CAST(round(value * 100) AS BIGINT)) % 5 <> 3
 ),
 requests AS (
   SELECT event_id AS request_id, 'NATION_' || CAST(event_id % 25 AS VARCHAR) AS airport_code,
     CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS scheduled_hour
-  FROM events WHERE event_type = 'purchase'
+  FROM events
 ),
 nearest AS (
   SELECT * FROM (

@@ -84,14 +84,13 @@ def flights_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed live-API pages: one JSON document ``{"data": [...]}`` per order whose lines were
-    returned (``l_returnflag = 'R'``), records in line order.  Records re-observe historical
+    """Landed live-API pages: one JSON document ``{"data": [...]}`` per order, a record for each of its
+    lines, in line order.  Records re-observe historical
     flights with new delays (updates), move some to a new scheduled second (inserts), and carry
     the defects the ingest must handle: empty flight code, missing arrival code, missing or
     malformed scheduled time, missing names and delays."""
     from ..functions.clock import hhmm_to_time
-    base = _flight_base(spark, sf_dir).where(F.col("l_returnflag") == "R")
-    f = base.select("*", *_flight_columns())
+    f = _flight_base(spark, sf_dir).select("*", *_flight_columns())
     ln = F.col("l_linenumber")
     day_txt = F.date_format("o_orderdate", "yyyy-MM-dd")
     sched = hhmm_to_time("scheduled_departure")
@@ -131,9 +130,10 @@ def _station(c):
 
 
 def weather_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly station readings aggregated from view/click events; hours with hour % 5 = 3 are
-    missing so lookups must fall back to a neighbouring hour."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
+    """Hourly station readings aggregated from all events.  ``dated`` is false for about a fifth of them, by
+    their own values: such a reading reaches the payload without its time, so lookups must fall back to a
+    neighbouring hour."""
+    e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     g = e.groupBy(_station("user_id").alias("airport_code"), F.to_date("ts").alias("date"),
                   F.hour("ts").alias("reading_hour")).agg(
@@ -145,8 +145,8 @@ def weather_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(k).cast("double").alias("weather_code"),
         F.sum(k).alias("_ksum"),
         F.max(k).alias("_kmax"))
-    return g.where(F.col("reading_hour") % 5 != 3).select(
-        "airport_code", "date", "reading_hour",
+    return g.select(
+        "airport_code", "date", "reading_hour", (F.col("_cents") % 5 != 3).alias("dated"),
         (F.col("_cents") / F.col("_n") / 100.0).alias("temperature_2m"),
         F.col("_n").cast("double").alias("relative_humidity_2m"),
         "precipitation", "rain", "snowfall", "weather_code",
@@ -156,11 +156,11 @@ def weather_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed weather payload text per station-day: ``{"airport_code", "date", "hourly": {...}}``
-    with parallel arrays in hour order; even-numbered stations omit ``wind_gusts_10m``."""
+    with parallel arrays in hour order, some times null; even-numbered stations omit ``wind_gusts_10m``."""
     from .weather_json import WEATHER_METRICS
     r = weather_readings(spark, sf_dir)
-    time_txt = F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T"),
-                        F.lpad(F.col("reading_hour").cast("string"), 2, "0"), F.lit(":00"))
+    time_txt = F.when(F.col("dated"), F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T"),
+                                               F.lpad(F.col("reading_hour").cast("string"), 2, "0"), F.lit(":00")))
     per_day = r.groupBy("airport_code", "date").agg(   # at most 24 readings per group
         F.sort_array(F.collect_list(F.struct("reading_hour", time_txt.alias("time"), *WEATHER_METRICS))).alias("h"))
     station_no = F.regexp_extract("airport_code", r"(\d+)$", 1).cast("int")
@@ -178,8 +178,8 @@ def weather_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Departures needing weather: purchase events as (request, station, date, hour)."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    """Departures needing weather: every event as (request, station, date, hour)."""
+    e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("request_id"), _station("event_id").alias("airport_code"),
                     F.to_date("ts").alias("date"), F.hour("ts").alias("scheduled_hour"))
 
