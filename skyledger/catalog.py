@@ -328,7 +328,7 @@ def q_live_upsert_rows(spark, sf_dir):
     from .schemas import FACT_FLIGHTPERFORMANCE
     r = upsert_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
     # inserted / updated rows straight from the stored merge (no join of affected to statuses)
-    changed = r.merged.where(F.col("_status") != "unchanged")
+    changed = r.merge.merged.where(F.col("_status") != "unchanged")
     return changed.select(*[F.col(c).cast(FACT_FLIGHTPERFORMANCE[c].dataType).alias(c) for c in _MERGED_COLS],
                           F.col("_status").alias("status"))
 

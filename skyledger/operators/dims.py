@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import calendar_columns
 from ..functions.clock import part_of_day, time_hour, time_minute
 from ..schemas import NATURAL_KEYS, TABLES, conform
+from .broadcast import broadcast_if_small
 from .dedupe import keep_first, keep_last
 from .ids import assign_sequential_ids, max_id
 
@@ -85,6 +86,18 @@ def insert_if_absent(target: DataFrame, candidates: DataFrame, table: str,
     return target.unionByName(conform(numbered, TABLES[table]))
 
 
+def tables_with_new_members(tables: dict[str, DataFrame], mentioned: DataFrame) -> set[str]:
+    """Names of the dimensions that lack a mentioned member: ``mentioned`` holds (dim, key as text) rows; all
+    dimensions are tested in one job, which returns a name each."""
+    known = None
+    for table, (_, key) in NATURAL_KEYS.items():
+        part = tables[table].select(F.lit(table).alias("dim"), F.col(key).cast("string").alias("key"))
+        known = part if known is None else known.unionByName(part)
+    wanted = mentioned.where(F.col("key").isNotNull()).distinct()
+    new = wanted.join(broadcast_if_small(known), ["dim", "key"], "left_anti")
+    return {r[0] for r in new.select("dim").distinct().collect()}
+
+
 def upsert_names(target: DataFrame, batch: DataFrame, table: str, name_col: str,
                  order_cols: list[str]) -> DataFrame:
     """Get-or-create with a name refresh: the last non-blank name in the batch replaces the

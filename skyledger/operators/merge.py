@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +38,39 @@ def _touched_months(source: DataFrame) -> list[int]:
     return sorted(r[0] for r in source.select("_first.flight_month").distinct().collect() if r[0] is not None)
 
 
+@dataclass
+class FactMerge:
+    """What an upsert changes.  All but ``before`` are projections of the stored ``merged``."""
+    affected: DataFrame               # new rows of every touched file, and inserted rows
+    statuses: DataFrame               # per fact key: inserted or updated, and how many source rows it had
+    merged: DataFrame                 # the merge itself, with ``_status`` (unchanged rows of touched files too)
+    before: DataFrame                 # the target's rows that ``affected`` replaces
+    files: list[str] | None           # files that hold them; None if the target has no files: then whole months
+
+
+def reads_files(df: DataFrame) -> bool:
+    """Whether the rows of ``df`` still know the file they come from (a scan, with projections and filters)."""
+    try:
+        df.select("_metadata.file_path")
+        return True
+    except AnalysisException:
+        return False
+
+
+def matched_files(target: DataFrame, source: DataFrame) -> DataFrame:
+    """``source`` (one row a fact key) with ``_file``, the target's file that holds the key; null for a new key.
+    The target is read for its key columns only."""
+    held = target.select(*FACT_KEY, F.col("_metadata.file_path").alias("_file"))
+    return source.join(held, FACT_KEY, "left")
+
+
 def upsert_fact(target: DataFrame, resolved: DataFrame, order_cols: list[str], run_ts: Column,
-                prune_partitions: bool = True, target_is_empty: bool = False):
+                prune_partitions: bool = True, target_is_empty: bool = False) -> FactMerge:
     """Merge resolved source rows into the fact.
 
-    Returns ``(affected, statuses, merged)``:
-
-    * ``affected`` — the new content of every target partition (``flight_month``) the batch
-      touches: untouched rows of those months, updated rows, and inserted rows; other months are
-      never read or rewritten.
-    * ``statuses`` — per fact key, ``inserted`` or ``updated`` and how many source rows it had
-      (feeds the run counters).
-    * ``merged`` — the stored merge that both are projections of: the outer join runs once.
+    Only what the batch touches is merged and rewritten.  Months (``flight_month``) outside the batch are never
+    read.  In its months the key columns are joined to the batch's keys, which gives the files that hold a
+    matched key; those files alone are read whole, merged and replaced.  New keys go to new files.
 
     The source is reduced to one row per key first; only inserted keys are numbered, after the
     target's max id in the file order of their first row.  Updated keys keep id, airline, aircraft
@@ -55,10 +79,20 @@ def upsert_fact(target: DataFrame, resolved: DataFrame, order_cols: list[str], r
     """
     src = stored(collapse_source(resolved, order_cols), "source")
     start = 0 if target_is_empty else max_id(target, "flight_performance_id")
+    files = None
     if prune_partitions and not target_is_empty:
         months = _touched_months(src)
         target = target.where(F.col("flight_month").isin(months)) if months else target.limit(0)
-    new = src if target_is_empty else src.join(target.select(*FACT_KEY), FACT_KEY, "left_anti")
+    if target_is_empty:
+        new = src
+    elif reads_files(target):
+        located = stored(matched_files(target, src.select(*FACT_KEY, "_first_at")), "located")
+        new = located.where("_file is null")
+        # names of touched files: at most those of the batch's months
+        files = sorted(r[0] for r in located.where("_file is not null").select("_file").distinct().collect())
+        target = target.where(F.col("_metadata.file_path").isin(files)) if files else target.limit(0)
+    else:
+        new = src.join(target.select(*FACT_KEY), FACT_KEY, "left_anti")
     ids = assign_sequential_ids(new.select(*FACT_KEY, "_first_at"), ["_first_at"], "_new_id", start=start)
     src = src.join(ids.drop("_first_at"), FACT_KEY, "left")
 
@@ -88,7 +122,15 @@ def upsert_fact(target: DataFrame, resolved: DataFrame, order_cols: list[str], r
                              F.coalesce("_rows", F.lit(0)).alias("_rows")), "merge")
     affected = conform(merged, FACT_FLIGHTPERFORMANCE)
     statuses = merged.where(F.col("_status") != "unchanged").select(*FACT_KEY, "_status", "_rows")
-    return affected, statuses, merged
+    return FactMerge(affected, statuses, merged, target, files)
+
+
+def untouched_rows(fact: DataFrame, merge: FactMerge) -> DataFrame:
+    """The rows of the whole fact that a merge leaves as they are."""
+    if merge.files is not None:
+        return fact.where(~F.col("_metadata.file_path").isin(merge.files)) if merge.files else fact
+    months = [r[0] for r in merge.affected.select("flight_month").distinct().collect()]
+    return fact.where(~F.col("flight_month").isin(months)) if months else fact
 
 
 def run_counters(statuses: DataFrame, rejected: DataFrame | None = None) -> DataFrame:

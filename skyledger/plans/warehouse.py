@@ -2,7 +2,7 @@
 
 ``transform_and_load`` is the whole job as lazy DataFrames over a (possibly empty) existing
 warehouse; ``write_warehouse`` commits it as a new version (fact partitioned by ``flight_month``, only
-touched months rewritten); ``warehouse_for`` builds the test-bed warehouse of a driver data folder
+files that hold a changed row rewritten); ``warehouse_for`` builds the test-bed warehouse of a driver data folder
 once per session and serves later queries from the written tables.
 """
 
@@ -10,22 +10,23 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import dims as D
-from ..operators.merge import run_counters, upsert_fact
+from ..operators.merge import FactMerge, run_counters, untouched_rows, upsert_fact
 from ..operators.resolve import resolve_keys
 from ..operators.staging import malformed_rows, stage_flights
 from ..schemas import TABLES, empty_table
 from ..session import scratch_path, stored, tune_session
 from ..sources import testbed
 from ..sources.files import cap_rows
+from ..sources.storage import entries, remove_folder
 
 DIM_TABLES = [t for t in TABLES if t.startswith("dim_")]
 # A fixed load timestamp keeps test output reproducible; jobs pass their own.
@@ -35,16 +36,14 @@ DEFAULT_RUN_TS = "2024-01-01 00:00:00"
 @dataclass
 class LoadResult:
     tables: dict[str, DataFrame]          # full content after the load
-    fact_affected: DataFrame              # rewritten fact partitions
-    touched_months: list[int]
-    statuses: DataFrame                   # per fact key: inserted / updated
+    merge: FactMerge                      # what it changed in the fact
+    changed_dims: list[str]               # dimensions that got new members
     unresolved: DataFrame                 # rows dropped by key resolution, with reason
     malformed: DataFrame                  # rows with unreadable clocks / dates, with reason
     staged: DataFrame = field(repr=False, default=None)
-    merged: DataFrame = field(repr=False, default=None)   # the stored merge behind affected / statuses
 
     def counters(self) -> DataFrame:
-        return run_counters(self.statuses, self.unresolved)
+        return run_counters(self.merge.statuses, self.unresolved)
 
 
 def run_timestamp(value: str | None = None) -> Column:
@@ -96,13 +95,10 @@ def transform_and_load(spark: SparkSession, flights: DataFrame, flight_order: li
     staged = stored(stage_flights(flights, flight_order), "staged")
     tables = load_dimensions(spark, current, staged, airlines, airline_order, airports, airport_order)
     resolved, unresolved = resolve_keys(staged, tables)
-    affected, statuses, merged = upsert_fact(current["fact_flightperformance"], resolved, flight_order,
-                                            run_timestamp(run_ts), target_is_empty=getattr(current, "fresh", False))
-    months = [r[0] for r in affected.select("flight_month").distinct().collect()]
-    untouched = current["fact_flightperformance"].where(~F.col("flight_month").isin(months)) if months \
-        else current["fact_flightperformance"]
-    tables["fact_flightperformance"] = untouched.unionByName(affected)
-    return LoadResult(tables, affected, months, statuses, unresolved, malformed_rows(staged), staged, merged)
+    fact = current["fact_flightperformance"]
+    merge = upsert_fact(fact, resolved, flight_order, run_timestamp(run_ts), target_is_empty=getattr(current, "fresh", False))
+    tables["fact_flightperformance"] = untouched_rows(fact, merge).unionByName(merge.affected)
+    return LoadResult(tables, merge, list(DIM_TABLES), unresolved, malformed_rows(staged), staged)
 
 
 def testbed_load(spark: SparkSession, sf_dir: str, run_ts: str | None = None,
@@ -121,26 +117,34 @@ def testbed_load(spark: SparkSession, sf_dir: str, run_ts: str | None = None,
 def write_warehouse(result: LoadResult, path: str, batch_id: int | None = None) -> dict:
     """Commit a load to a warehouse folder.
 
-    Every table goes to a folder of a new version (the fact: only the touched months), then one
-    small manifest names the version of each dimension and month.  Readers follow the newest
-    manifest, so a job that dies before it leaves the warehouse as it was, and nothing is ever
-    overwritten while it is read.  The manifest records ``batch_id``: a batch committed once is
-    not committed again.
+    Dimensions with new members and the fact rows of touched files go to folders of a new version; then one
+    small manifest names, for each dimension, its version, and for each month its versions and the files of
+    them that later versions replace.  Readers follow the newest manifest, so a job that dies before it leaves
+    the warehouse as it was, and nothing is ever overwritten while it is read.  The manifest records
+    ``batch_id``: a batch committed once is not committed again.
     """
-    spark = result.fact_affected.sparkSession
+    spark = result.merge.affected.sparkSession
     last = read_manifest(spark, path) or {"version": 0, "batch_id": None, "dims": {}, "months": {}}
     if batch_id is not None and last["batch_id"] is not None and batch_id <= last["batch_id"]:
         return last
     version = uuid.uuid4().hex
-    for name in DIM_TABLES:
+    changed = [n for n in DIM_TABLES if n in result.changed_dims or n not in last["dims"]]
+    for name in changed:
         result.tables[name].write.parquet(f"{path}/{name}/version={version}")
     # rebalance lets adaptive execution size the write tasks: small months share a task and get one
     # file each, a month above the advisory size is split over several
-    (result.fact_affected.hint("rebalance", "flight_month").write.partitionBy("flight_month")
-     .parquet(f"{path}/fact_flightperformance/version={version}"))
+    folder = f"{path}/fact_flightperformance/version={version}"
+    result.merge.affected.hint("rebalance", "flight_month").write.partitionBy("flight_month").parquet(folder)
+    written = [e.name.split("=")[1] for e in entries(spark, folder) if e.folder and e.name.startswith("flight_month=")]
+    months = {m: {v: list(gone) for v, gone in versions.items()} for m, versions in last["months"].items()}
+    for file in result.merge.files or []:
+        *_, held_by, month, name = file.split("/")
+        months[month.split("=")[1]][held_by.split("=")[1]].append(name)
+    for month in written:
+        kept = months.get(month, {}) if result.merge.files is not None else {}
+        months[month] = kept | {version: []}
     manifest = {"version": last["version"] + 1, "batch_id": batch_id if batch_id is not None else last["batch_id"],
-                "dims": {n: version for n in DIM_TABLES},
-                "months": last["months"] | {str(m): version for m in result.touched_months}}
+                "dims": last["dims"] | {n: version for n in changed}, "months": months}
     spark.createDataFrame([(manifest_text(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifest/{manifest['version']:012d}")
     return manifest
 
@@ -150,12 +154,12 @@ def manifest_text(manifest: dict) -> str:
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
-    """The newest manifest of a warehouse folder; None if there is none yet."""
-    try:
-        rows = spark.read.text(f"{path}/manifest/*").collect()      # one short line a version
-    except AnalysisException:
-        return None
-    return max((json.loads(r["value"]) for r in rows), key=lambda m: m["version"], default=None)
+    """The newest manifest of a warehouse folder; None if there is none yet.  Manifests are found by the names
+    of their folders, and only the newest complete one is read."""
+    for e in reversed(entries(spark, f"{path}/manifest")):
+        if any(x.name == "_SUCCESS" for x in entries(spark, e.path)):
+            return json.loads(spark.read.text(e.path).first()["value"])
+    return None
 
 
 def read_warehouse(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -165,22 +169,43 @@ def read_warehouse(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         return empty_warehouse(spark)
     tables = {n: spark.read.schema(TABLES[n]).parquet(f"{path}/{n}/version={v}") for n, v in manifest["dims"].items()}
     base = f"{path}/fact_flightperformance"
-    folders = [f"{base}/version={v}/flight_month={m}" for m, v in sorted(manifest["months"].items())]
+    folders = [f"{base}/version={v}/flight_month={m}" for m, versions in sorted(manifest["months"].items()) for v in versions]
+    replaced = [name for versions in manifest["months"].values() for gone in versions.values() for name in gone]
     fact = TABLES["fact_flightperformance"]
-    tables["fact_flightperformance"] = (
-        spark.read.schema(T.StructType([*fact.fields, T.StructField("version", T.StringType())])).option("basePath", base)
-        .parquet(*folders).drop("version").select(*fact.names) if folders else empty_table(spark, "fact_flightperformance"))
+    if folders:
+        rows = (spark.read.schema(T.StructType([*fact.fields, T.StructField("version", T.StringType())]))
+                .option("basePath", base).parquet(*folders))
+        if replaced:        # a filter on the file's name is settled when files are listed: they are not opened
+            rows = rows.where(~F.col("_metadata.file_name").isin(replaced))
+        tables["fact_flightperformance"] = rows.select(*fact.names)
+    else:
+        tables["fact_flightperformance"] = empty_table(spark, "fact_flightperformance")
     return tables
 
 
+def remove_old_versions(spark: SparkSession, path: str, grace_seconds: float = 7 * 86400.0) -> list[str]:
+    """Remove the version folders that the newest manifest doesn't name and that are older than the grace period
+    (readers of an older manifest have that long), and manifests as old but the newest; returns what was removed.
+    A folder that a running commit writes is younger than that."""
+    manifest = read_manifest(spark, path)
+    if manifest is None:
+        return []
+    named = {n: {v} for n, v in manifest["dims"].items()}
+    named["fact_flightperformance"] = {v for versions in manifest["months"].values() for v in versions}
+    before = (time.time() - grace_seconds) * 1000
+    old = [e for n, versions in named.items() for e in entries(spark, f"{path}/{n}")
+           if e.name.startswith("version=") and e.name.split("=")[1] not in versions and e.modified_ms < before]
+    old += [e for e in entries(spark, f"{path}/manifest") if e.name < f"{manifest['version']:012d}" and e.modified_ms < before]
+    for e in old:
+        remove_folder(spark, e.path)
+    return [e.path for e in old]
+
+
 def _source_signature(spark: SparkSession, sf_dir: str) -> str:
-    """Files, sizes and times of a data folder, listed by Spark's own readers (any store)."""
+    """Files, sizes and times of a data folder, from its listing."""
     parts = [sf_dir.rstrip("/")]
     for name in ("lineitem", "orders", "part", "supplier", "customer", "nation", "region"):
-        files = (spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-                 .select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-                 .orderBy("file_path").collect())     # one row a file
-        parts += [f"{r.file_path}:{r.file_size}:{r.file_modification_time}" for r in files]
+        parts += [f"{e.path}:{e.size}:{e.modified_ms}" for e in entries(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")]
     return hashlib.md5("|".join(parts).encode()).hexdigest()[:16]
 
 

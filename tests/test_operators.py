@@ -29,9 +29,10 @@ def test_counters_count_every_source_row(spark):
               "aircraft_id int, flight_month int, actual_departure_time_id int, weather_condition_id int, delay_cause_id int, delay_minutes int, is_delayed boolean, o int")
     row = lambda flight, delay, o: (flight, 1, 1, 1, 2, 1, 1, 202401, None, 1, 1, delay, delay > 15, o)
     ts = F.lit("2024-01-01").cast("timestamp_ntz")
-    first, _, _ = upsert_fact(empty_table(spark, "fact_flightperformance"), spark.createDataFrame([row(7, 1, 0)], fields), ["o"], ts, target_is_empty=True)
+    first = upsert_fact(empty_table(spark, "fact_flightperformance"), spark.createDataFrame([row(7, 1, 0)], fields), ["o"], ts, target_is_empty=True).affected
     batch = spark.createDataFrame([row(8, 3, 2), row(8, 20, 4), row(8, 5, 3), row(7, 9, 1), row(7, 30, 5)], fields)
-    after, statuses, _ = upsert_fact(first, batch, ["o"], ts)
+    merge = upsert_fact(first, batch, ["o"], ts)
+    after, statuses = merge.affected, merge.statuses
     assert {r.flight_id: (r.flight_performance_id, r.delay_minutes) for r in after.collect()} == {7: (1, 30), 8: (2, 20)}
     assert {r.status: r.rows for r in run_counters(statuses, batch.limit(0)).collect()} == {"inserted": 1, "updated": 4, "skipped": 0}
 
