@@ -3,6 +3,7 @@ each with the DuckDB SQL that must give the same rows (when SQL can express it).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from .operators import analytics as A
+from .operators import dims as D
 from .operators.broadcast import broadcast_if_small
 from .operators.features import DELAY_RATE_GROUPS
 from .operators.ids import key_watermarks
 from .operators.star import star_lookup
-from .plans.warehouse import testbed_load, warehouse_for
+from .plans.warehouse import source_signature, testbed_load, warehouse_for
 from .schemas import NATURAL_KEYS
-from .session import stored
+from .session import scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,18 +67,15 @@ def q_dim_flight(spark, sf_dir):
     return warehouse_for(spark, sf_dir)["dim_flight"]
 
 
-@register("dim_static_members", O.WAREHOUSE + """
-SELECT 'dim_aircraft' AS table_name, aircraft_id AS member_id, aircraft_type AS member FROM dim_aircraft
-UNION ALL SELECT 'dim_weather_condition', weather_condition_id, weather_condition FROM dim_weather_condition
-UNION ALL SELECT 'dim_delay_cause', delay_cause_id, delay_cause FROM dim_delay_cause""")
+_STATIC = {"dim_aircraft": "aircraft_id", "dim_weather_condition": "weather_condition_id", "dim_delay_cause": "delay_cause_id"}
+
+
+@register("dim_static_members", O.WAREHOUSE + " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {i} AS member_id, {NATURAL_KEYS[t][1]} AS member, "
+    f"(SELECT count(*) FROM fact WHERE fact.{i} = {t}.{i}) AS fact_rows FROM {t}" for t, i in _STATIC.items()))
 def q_static(spark, sf_dir):
-    wh = warehouse_for(spark, sf_dir)
-    out = None
-    for t in ("dim_aircraft", "dim_weather_condition", "dim_delay_cause"):
-        id_col, key = NATURAL_KEYS[t]
-        part = wh[t].select(F.lit(t).alias("table_name"), F.col(id_col).alias("member_id"), F.col(key).alias("member"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The seeded members, and how many fact rows use each: one pass over the fact's three keys."""
+    return D.member_usage(warehouse_for(spark, sf_dir), _STATIC)
 
 
 @register("key_watermarks", O.WAREHOUSE + """
@@ -278,6 +277,28 @@ def _live_pages(spark, sf_dir):
     return testbed.live_pages(spark, sf_dir)
 
 
+def _once(kept: dict, spark, sf_dir, make):
+    """``make()``, once per application and data folder: its parts are stored tables that several keys read."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+_APPENDED: dict = {}
+_UPSERTED: dict = {}
+
+
+def _appended(spark, sf_dir):
+    from .plans.live_update import append_live
+    return _once(_APPENDED, spark, sf_dir, lambda: append_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir)))
+
+
+def _upserted(spark, sf_dir):
+    from .plans.live_update import upsert_live
+    return _once(_UPSERTED, spark, sf_dir, lambda: upsert_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir)))
+
+
 _FLAT_OUT = ["page", "pos", "flight_number", "airline_code", "airline_name", "origin_airport_code",
              "origin_airport_name", "destination_airport_code", "destination_airport_name", "live_flight_status",
              "departure_delay_minutes_live", "arrival_delay_minutes_live", "scheduled_departure_datetime",
@@ -339,8 +360,7 @@ UNION ALL SELECT 'updated', CAST(coalesce(sum(CASE WHEN status = 'updated' THEN
 UNION ALL SELECT 'skipped', CAST((SELECT count(*) FROM live_tagged WHERE reason IS NOT NULL)
   + (SELECT count(*) FROM live_acc) - (SELECT count(*) FROM live_resolved) AS BIGINT)""")
 def q_live_upsert_status(spark, sf_dir):
-    from .plans.live_update import upsert_live
-    return upsert_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir)).counters()
+    return _upserted(spark, sf_dir).counters()
 
 
 _APPEND_SQL = O.with_ctes(O.FLIGHTS, O.STG, O.DIMS, O.RESOLVED, O.FACT, O.LIVE_FLAT) + """
@@ -378,15 +398,13 @@ FROM appended p JOIN airline_after a ON a.airline_id = p.airline_id
 ORDER BY p.flight_performance_id DESC LIMIT 10""")
 def q_live_append_latest(spark, sf_dir):
     from .operators.star import live_rows_report
-    from .plans.live_update import append_live
-    tables, _, _ = append_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
+    tables, _, _ = _appended(spark, sf_dir)
     return live_rows_report(tables)
 
 
 @register("live_airline_refresh", _APPEND_SQL + "SELECT * FROM airline_after")
 def q_live_airline_refresh(spark, sf_dir):
-    from .plans.live_update import append_live
-    tables, _, _ = append_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
+    tables, _, _ = _appended(spark, sf_dir)
     return tables["dim_airline"]
 
 
@@ -395,9 +413,18 @@ SELECT 'inserted' AS status, CAST(count(*) AS BIGINT) AS rows FROM appended
 UNION ALL SELECT 'updated', CAST(0 AS BIGINT)
 UNION ALL SELECT 'skipped', CAST((SELECT count(*) FROM live_tagged) - (SELECT count(*) FROM appended) AS BIGINT)""")
 def q_live_append_counts(spark, sf_dir):
-    from .plans.live_update import append_live
-    _, _, counters = append_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
-    return counters
+    return _appended(spark, sf_dir)[2]
+
+
+@register("live_table_counts", _APPEND_SQL + """
+SELECT 'fact_flightperformance' AS table_name, (SELECT count(*) FROM fact) + (SELECT count(*) FROM appended) AS row_count
+UNION ALL SELECT 'dim_airline', count(*) FROM airline_after
+UNION ALL SELECT 'dim_airport', count(*) FROM dim_airport
+UNION ALL SELECT 'dim_date', count(*) FROM dim_date
+UNION ALL SELECT 'live_fact_rows', (SELECT count(*) FROM appended)""")
+def q_live_table_counts(spark, sf_dir):
+    """The table counts after a live append: live rows are counted by their source."""
+    return A.table_counts(_appended(spark, sf_dir)[0])
 
 
 @register("smart_keys", _LIVE_SQL + """
@@ -496,6 +523,23 @@ def q_split(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("row_count"))
 
 
+@register("stratified_split_exact", _FEAT_SQL + """
+, draws AS (SELECT flight_performance_id, target_delayed,
+    CAST(('0x' || substr(md5(CAST(flight_performance_id AS VARCHAR) || '42'), 1, 8)) AS BIGINT) AS draw FROM feat),
+classes AS (SELECT target_delayed, CAST(count(*) AS HUGEINT) AS n FROM draws GROUP BY 1),
+shares AS (SELECT target_delayed, n, sum(n) OVER () AS total, sum(n) OVER () - CAST(ceil(sum(n) OVER () * 0.2) AS HUGEINT) AS train FROM classes),
+parts AS (SELECT target_delayed, n, train, n * train // total AS whole, n * train % total AS rest FROM shares),
+takes AS (SELECT target_delayed, n - whole - CASE WHEN row_number() OVER (ORDER BY rest DESC, target_delayed) <= train - sum(whole) OVER ()
+    THEN 1 ELSE 0 END AS take FROM parts)
+SELECT flight_performance_id, target_delayed,
+  CASE WHEN row_number() OVER (PARTITION BY target_delayed ORDER BY draw, flight_performance_id) <= take THEN 'test' ELSE 'train' END AS split
+FROM draws JOIN takes USING (target_delayed)""")
+def q_split_exact(spark, sf_dir):
+    """Every row's split: each class gives exactly its share."""
+    from .ml.training import stratified_split
+    return stratified_split(_prepared(spark, sf_dir), "flight_performance_id").select("flight_performance_id", "target_delayed", "split")
+
+
 @register("class_weights", _FEAT_SQL + """
 SELECT target_delayed, CAST(count(*) AS BIGINT) AS class_count,
   (SELECT count(*) FROM feat) / (2.0 * count(*)) AS class_weight
@@ -577,6 +621,38 @@ def q_dq(spark, sf_dir):
     return constraint_report(warehouse_for(spark, sf_dir))
 
 
+def _dq_change_sql() -> str:
+    """The fact checks before and after the live upsert, and those of the dimension it grows, subtracted."""
+    from .schemas import FACT_KEY, FACT_REFERENCES
+    keys = ", ".join(FACT_KEY)
+    fks = [f for f in FACT_REFERENCES if f not in FACT_KEY]
+
+    def checks(sign: str, fact: str, time: str) -> list[str]:
+        tables = {t: t for t in NATURAL_KEYS} | {"dim_time": time}
+        out = [f"SELECT 'fact_flightperformance' AS table_name, 'duplicate natural key' AS check_name, {sign}count(*) AS v "
+               f"FROM (SELECT 1 FROM {fact} GROUP BY {keys} HAVING count(*) > 1)"]
+        for fk, table in FACT_REFERENCES.items():
+            out.append(f"SELECT 'fact_flightperformance', 'orphan {fk}', {sign}count(*) FROM {fact} WHERE {fk} IS NOT NULL "
+                       f"AND {fk} NOT IN (SELECT {NATURAL_KEYS[table][0]} FROM {tables[table]})")
+        for column in ("time_value", "time_id"):
+            out.append(f"SELECT 'dim_time', 'duplicate {column}', {sign}count(*) FROM (SELECT 1 FROM {time} WHERE {column} IS NOT NULL "
+                       f"GROUP BY {column} HAVING count(*) > 1)")
+        return [*out, f"SELECT 'dim_time', 'null time_value', {sign}count(*) FROM {time} WHERE time_value IS NULL"]
+
+    parts = checks("", "fact_after", "live_dim_time") + checks("-", "fact", "dim_time")
+    return (_LIVE_UPSERT_SQL + f", fact_after AS (SELECT {keys}, {', '.join(fks)} FROM live_merged UNION ALL "
+            f"SELECT {keys}, {', '.join(fks)} FROM fact ANTI JOIN live_merged USING ({keys}))\n"
+            "SELECT table_name, check_name, CAST(sum(v) AS BIGINT) AS change FROM (" + "\nUNION ALL ".join(parts) + ") GROUP BY ALL")
+
+
+@register("dq_batch_change", _dq_change_sql())
+def q_dq_batch(spark, sf_dir):
+    """What the live upsert adds to the constraint report, from the merge and the rows it replaces alone."""
+    from .operators.quality import batch_constraint_change
+    r = _upserted(spark, sf_dir)
+    return batch_constraint_change(warehouse_for(spark, sf_dir), r.tables, r.merge, r.changed_dims)
+
+
 @register("table_preview", O.WAREHOUSE + "SELECT * FROM dim_date ORDER BY date_id LIMIT 100")
 def q_table_preview(spark, sf_dir):
     from .sources.files import table_preview
@@ -586,13 +662,13 @@ def q_table_preview(spark, sf_dir):
 
 @register("row_cap", O.with_ctes(O.FLIGHTS) + """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, flight_number FROM flights
-ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate LIMIT 1000""")
+ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate LIMIT 100000""")
 def q_row_cap(spark, sf_dir):
     from .sources import testbed
     from .sources.files import cap_rows
-    # the optional "first n rows in file order" switch of the historical load is the feature
+    # the optional "first n rows in file order" switch of the historical load is the feature (its size: the reference's)
     f = testbed.flights_raw(spark, sf_dir)
-    return cap_rows(f, 1000, testbed.FLIGHT_ORDINAL).select(*testbed.FLIGHT_ORDINAL, "flight_number")
+    return cap_rows(f, 100_000, testbed.FLIGHT_ORDINAL).select(*testbed.FLIGHT_ORDINAL, "flight_number")
 
 
 @register("live_airport_aggregates", _APPEND_SQL + """
@@ -607,14 +683,33 @@ SELECT airport_code, live_departures_count, live_arrivals_count, delayed_departu
 FROM dep FULL OUTER JOIN arr USING (airport_code)""")
 def q_live_airport_aggregates(spark, sf_dir):
     from .operators.features import LIVE_AIRPORT_COLUMNS, live_airport_aggregates
-    from .plans.live_update import append_live
-    tables, appended, _ = append_live(spark, warehouse_for(spark, sf_dir), _live_pages(spark, sf_dir))
+    tables, appended, _ = _appended(spark, sf_dir)
     agg = live_airport_aggregates(appended)
     codes = tables["dim_airport"].select("airport_id", "airport_code")
     out = agg.join(broadcast_if_small(codes), "airport_id").select("airport_code", *LIVE_AIRPORT_COLUMNS)
     return out.withColumns({c: F.col(c).cast("bigint") for c in LIVE_AIRPORT_COLUMNS if c.endswith("count")})
 
 
+@register("live_running_aggregates", _LIVE_SQL + """
+, dep AS (SELECT origin_airport_code AS airport_code, count(*) AS live_departures_count,
+            CAST(sum(CAST(departure_delay_minutes_live > 15 AS INTEGER)) AS BIGINT) AS delayed_departures_count,
+            avg(departure_delay_minutes_live) AS avg_departure_delay FROM live_acc GROUP BY 1),
+  arr AS (SELECT destination_airport_code AS airport_code, count(*) AS live_arrivals_count,
+            CAST(sum(CAST(arrival_delay_minutes_live > 15 AS INTEGER)) AS BIGINT) AS delayed_arrivals_count,
+            avg(arrival_delay_minutes_live) AS avg_arrival_delay FROM live_acc GROUP BY 1)
+SELECT airport_code, live_departures_count, live_arrivals_count, delayed_departures_count, delayed_arrivals_count,
+  avg_departure_delay, avg_arrival_delay
+FROM dep FULL OUTER JOIN arr USING (airport_code)""")
+def q_live_running_aggregates(spark, sf_dir):
+    """The live pages, landed in files that several micro-batches pick up, added to keyed streaming state."""
+    from .streaming.running_aggregates import read_running_aggregates, run_running_aggregates
+    base = scratch_path(spark, f"running-{uuid.uuid4().hex}")
+    _live_pages(spark, sf_dir).repartition(9).write.parquet(f"{base}/landing")
+    pages = spark.readStream.schema("page bigint, payload string").option("maxFilesPerTrigger", 3).parquet(f"{base}/landing")
+    run_running_aggregates(pages, f"{base}/out", f"{base}/state")
+    return read_running_aggregates(spark, f"{base}/out")
+
+
 @register("serve_features", O.STARRED + """
 , req AS (SELECT flight_number, max(full_date) + INTERVAL 7 DAY AS selected_date FROM star GROUP BY flight_number),
   pick AS (
@@ -691,6 +786,36 @@ def q_batch_predict(spark, sf_dir):
     return predict(_trained(spark, sf_dir)[0], requests, inputs)
 
 
+_STORED_MODELS: dict = {}
+
+
+def _stored_model(spark, sf_dir) -> str:
+    """Where the application keeps a decision tree fitted on the data folder (fitted and saved once)."""
+    from .ml import training as M
+
+    def fit() -> str:
+        path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+        data = stored(M.stratified_split(M.with_class_weights(_prepared(spark, sf_dir)), "flight_performance_id"), "prepared")
+        train = data.where("split = 'train'")
+        prep = M.Pipeline(stages=M.preprocessing_stages()).fit(train)
+        sample = M.fitting_sample(train, "flight_performance_id", M.ModelSizes().fit_rows)
+        held = set(spark.sparkContext._jsc.getPersistentRDDs())
+        tree = M.classifiers(1)["Decision Tree"].fit(prep.transform(sample))
+        M.release_since(spark, held)
+        M.store_model(M.PipelineModel(stages=[*prep.stages, tree]), path, source_signature(spark, sf_dir))
+        return path
+    return _once(_STORED_MODELS, spark, sf_dir, fit)
+
+
+@register("stored_model_predict")
+def q_stored_model_predict(spark, sf_dir):
+    """Every request scored with the model as it was saved; another feature list would be refused."""
+    from .ml.training import load_stored_model
+    numeric, categorical = _feature_names()
+    inputs = _serving(spark, sf_dir)[1].select("request_id", "flight_number", "flight_performance_id", *numeric, *categorical)
+    return load_stored_model(spark, _stored_model(spark, sf_dir)).score(inputs).drop("data_version")
+
+
 # ---------------------------------------------------------------- lookups, leak-free rates, flags
 
 _LIVE_WH_SQL = O.with_ctes(O.FLIGHTS, O.STG, O.DIMS, O.RESOLVED, O.FACT, O.LIVE_FLAT)
@@ -700,9 +825,7 @@ _LIVE_WH_SQL = O.with_ctes(O.FLIGHTS, O.STG, O.DIMS, O.RESOLVED, O.FACT, O.LIVE_
 def q_dim_insert_if_absent(spark, sf_dir):
     """The time dimension after a live batch: existing members unchanged, new clocks appended
     after the current max id in natural-key order."""
-    from .plans.live_update import live_dimensions, parse_batch
-    acc = parse_batch(_live_pages(spark, sf_dir)).accepted
-    return live_dimensions(spark, warehouse_for(spark, sf_dir), acc)["dim_time"]
+    return _upserted(spark, sf_dir).tables["dim_time"]
 
 
 @register("route_lookup", _LIVE_WH_SQL + """
@@ -759,6 +882,30 @@ def q_delay_rates_leakfree(spark, sf_dir):
         .select("flight_performance_id", *DELAY_RATE_GROUPS)
 
 
+def _out_of_fold_sql() -> str:
+    columns = []
+    for name, keys in DELAY_RATE_GROUPS.items():
+        ks = ", ".join(keys)
+        rest = " - ".join(f"{{0}} OVER (PARTITION BY {by})" for by in (ks, f"{ks}, fold"))
+        known = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+        columns.append(f"coalesce(CASE WHEN {known} THEN ({rest.format('sum(target_delayed)')}) / nullif({rest.format('count(*)')}, 0) END, "
+                       f"mean_rate, 0.0) AS {name}")
+    return (_FEAT_SQL + """, folded AS (
+  SELECT *, CAST(('0x' || substr(md5(CAST(flight_performance_id AS VARCHAR) || 'fold'), 1, 8)) AS BIGINT) % 5 AS fold FROM flagged),
+means AS (SELECT *, (sum(target_delayed) OVER () - sum(target_delayed) OVER (PARTITION BY fold))
+    / nullif(count(*) OVER () - count(*) OVER (PARTITION BY fold), 0) AS mean_rate FROM folded)
+SELECT flight_performance_id, CAST(fold AS INTEGER) AS fold, """ + ", ".join(columns) + " FROM means")
+
+
+@register("delay_rates_out_of_fold", _out_of_fold_sql())
+def q_delay_rates_out_of_fold(spark, sf_dir):
+    """Delay rates of every row from the rows of the other folds: no row's label feeds its own rate."""
+    from .operators.features import add_flags, attach_out_of_fold_rates, fold_column
+    from .operators.star import star_join
+    flagged = add_flags(star_join(warehouse_for(spark, sf_dir))).withColumn("fold", fold_column("flight_performance_id"))
+    return attach_out_of_fold_rates(flagged, "fold").select("flight_performance_id", "fold", *DELAY_RATE_GROUPS)
+
+
 _FLAG_COLS = ["day_of_week", "is_weekend", "is_night_flight", "is_morning", "is_afternoon", "is_evening",
               "is_peak_hour", "is_winter", "is_summer", "is_holiday_season", "low_visibility", "high_wind",
               "bad_weather", "short_route", "medium_route", "long_route", "target_delayed"]

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_code, is_valid_flight_number, route_label
-from ..sources.files import first_existing
 
 # Fixed values (reference rules).
 MIN_ROUTE_FLIGHTS = 10
@@ -26,8 +25,7 @@ def dashboard_frame(star: DataFrame) -> DataFrame:
     cols = star.columns
 
     def pick(options, default):
-        name = first_existing(cols, options)
-        return F.col(name) if name else F.lit(default)
+        return next((F.col(c) for c in options if c in cols), F.lit(default))
 
     out = star.select(
         "*",

@@ -86,6 +86,23 @@ def insert_if_absent(target: DataFrame, candidates: DataFrame, table: str,
     return target.unionByName(conform(numbered, TABLES[table]))
 
 
+def member_usage(tables: dict[str, DataFrame], ids: dict[str, str]) -> DataFrame:
+    """(table_name, member_id, member, fact_rows) of small dimensions: the fact's rows by member, from one
+    grouping-sets aggregation over its keys."""
+    keys = list(ids.values())
+    counts = (tables["fact_flightperformance"].groupingSets([[k] for k in keys], *keys)
+              .agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_gid")))
+    out = None
+    for i, (table, id_col) in enumerate(ids.items()):
+        others = sum(1 << (len(keys) - 1 - j) for j in range(len(keys)) if j != i)
+        used = counts.where(F.col("_gid") == others).select(F.col(id_col).alias("member_id"), "_n")
+        part = (tables[table].select(F.lit(table).alias("table_name"), F.col(id_col).alias("member_id"),
+                                     F.col(NATURAL_KEYS[table][1]).alias("member"))
+                .join(used, "member_id", "left").select("table_name", "member_id", "member", F.coalesce("_n", F.lit(0)).alias("fact_rows")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def tables_with_new_members(tables: dict[str, DataFrame], mentioned: DataFrame) -> set[str]:
     """Names of the dimensions that lack a mentioned member: ``mentioned`` holds (dim, key as text) rows; all
     dimensions are tested in one job, which returns a name each."""

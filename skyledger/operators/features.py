@@ -3,7 +3,7 @@ live airport aggregates, the 55-column feature contract and its cleaning."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flags as FL
@@ -118,6 +118,36 @@ def attach_delay_rates(df: DataFrame, fit: DataFrame | None = None, fallback_to_
     return out
 
 
+def fold_column(key: str, folds: int = 5) -> F.Column:
+    """The fold of a row: a hash of its key, so it doesn't depend on the label or on the partitions."""
+    h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("fold"))), 1, 8), 16, 10).cast("bigint")
+    return (h % folds).cast("int")
+
+
+def attach_out_of_fold_rates(df: DataFrame, fold: str, groups: dict[str, list[str]] = DELAY_RATE_GROUPS) -> DataFrame:
+    """Each delay rate of a row from the rows of its key in all other folds, so that no row's label feeds its own
+    rate; a key without rows there takes the mean of the other folds' rows, and 0 if there are none.
+
+    One grouping-sets pass gives sums and counts by key and fold; a key's total less the fold's own part is the
+    rest (a window over the few folds of a key); the small tables are joined back by key and fold."""
+    keys = [*dict.fromkeys(k for ks in groups.values() for k in ks), fold]
+    sets = [[*ks, fold] for ks in groups.values()] + [[fold]]
+    parts = stored(df.groupingSets(sets, *keys).agg(F.sum(F.col(TARGET).cast("bigint")).alias("_s"), F.count(F.lit(1)).alias("_n"),
+                                                    F.grouping_id().alias("_gid")), "folds")
+
+    def rest(ks: list[str], name: str) -> DataFrame:
+        gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in ks and k != fold)
+        mine = parts.where(F.col("_gid") == gid).where(" and ".join(f"{k} is not null" for k in [*ks, fold]))
+        every = Window.partitionBy(*ks)
+        n = F.sum("_n").over(every) - F.col("_n")
+        return mine.select(*ks, fold, F.when(n > 0, (F.sum("_s").over(every) - F.col("_s")) / n).alias(name))
+
+    out = df.join(F.broadcast(rest([], "_mean")), fold, "left")          # one row a fold
+    for name, ks in groups.items():
+        out = out.join(broadcast_if_small(rest(ks, name)), [*ks, fold], "left")
+    return out.withColumns({n: F.coalesce(n, "_mean", F.lit(0.0)) for n in groups}).drop("_mean")
+
+
 def live_airport_aggregates(fact_live: DataFrame, airport_key: str = "airport_id") -> DataFrame:
     """Per airport from live rows: departures / arrivals, delayed departures / arrivals
     (delay > 15), mean departure / arrival delay.  One pass: every live row yields its origin

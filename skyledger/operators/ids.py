@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 
 _POS_BITS = 33  # monotonically_increasing_id = (partition index << 33) + position in partition
 
@@ -50,3 +50,25 @@ def assign_sequential_ids(df: DataFrame, order_cols: list[str], id_col: str, sta
     return (ranged.join(F.broadcast(offsets), "_part")
             .withColumn(id_col, (F.lit(start) + F.col("_offset") + F.col("_pos") + 1).cast("bigint"))
             .drop("_mid", "_part", "_pos", "_offset"))
+
+
+def first_rows(df: DataFrame, n: int, order_cols: list[str]) -> DataFrame:
+    """The first ``n`` rows in ``order_cols`` order (which must be unique; nulls first), in no set order; all rows,
+    if there are fewer.
+
+    Only the order columns are range-partitioned and sorted; per-partition counts are prefix-summed, which tells
+    the one partition that holds row ``n`` and its place there.  That row's key (one row, broadcast) cuts ``df`` in
+    a second pass without a shuffle: however large ``n`` is, no task and no driver holds ``n`` rows.
+    """
+    if n <= 0:
+        return df.limit(0)
+    keys = stored(df.select(F.struct(*order_cols).alias("_key")).repartitionByRange("_key").sortWithinPartitions("_key")
+                  .withColumn("_mid", F.monotonically_increasing_id())
+                  .select("_key", F.shiftright("_mid", _POS_BITS).alias("_part"), F.col("_mid").bitwiseAND((1 << _POS_BITS) - 1).alias("_pos")), "keys")
+    counts = keys.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a partition, and of those the one whose rows include row n
+    cut_in = counts.select("_part", "_n", before.alias("_before")).where((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n))
+    cut = (keys.join(F.broadcast(cut_in), "_part").where(F.col("_pos") == n - 1 - F.col("_before"))
+           .agg(F.max("_key").alias("_cut")))                                # one row, null if there are fewer than n
+    return df.join(F.broadcast(cut), F.col("_cut").isNull() | (F.struct(*order_cols) <= F.col("_cut"))).drop("_cut")

@@ -201,7 +201,7 @@ def remove_old_versions(spark: SparkSession, path: str, grace_seconds: float = 7
     return [e.path for e in old]
 
 
-def _source_signature(spark: SparkSession, sf_dir: str) -> str:
+def source_signature(spark: SparkSession, sf_dir: str) -> str:
     """Files, sizes and times of a data folder, from its listing."""
     parts = [sf_dir.rstrip("/")]
     for name in ("lineitem", "orders", "part", "supplier", "customer", "nation", "region"):
@@ -218,7 +218,7 @@ def warehouse_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     tune_session(spark)
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _SIGNATURES:
-        _SIGNATURES[key] = _source_signature(spark, sf_dir)
+        _SIGNATURES[key] = source_signature(spark, sf_dir)
     built = (key[0], _SIGNATURES[key])
     if built not in _BUILT:
         path = scratch_path(spark, f"warehouse-{built[1]}-{uuid.uuid4().hex}")

@@ -3,10 +3,13 @@ appends and table previews."""
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ids import first_rows
 from ..schemas import conform, lower_case_columns, require_columns
 
 # Columns that carry "file order" through a distributed plan.
@@ -44,7 +47,7 @@ def with_file_ordinal(df: DataFrame) -> DataFrame:
                      F.monotonically_increasing_id().alias("_src_pos"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
              encoding: str = "UTF-8", ordinal: bool = True, required: list[str] | None = None) -> DataFrame:
     """Header CSV read by column name (case doesn't matter): every column comes in as text, the
     schema's columns are picked and cast, absent ones are NULL, others are left out.  Without a
@@ -56,8 +59,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
           .option("inferSchema", False).csv(path))
     if ordinal:
         df = with_file_ordinal(df)
-    df = lower_case_columns(df)
-    require_columns(df, required or [], path)
+    df = lower_case_columns(df.toDF(*[c.removeprefix("\ufeff") for c in df.columns]))
+    require_columns(df, required or [], str(path))
     if schema is None:
         return df
     cast = lambda f: (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name)
@@ -72,31 +75,30 @@ def extract_raw(spark: SparkSession, raw_dir: str) -> dict[str, DataFrame]:
     return {n: read_csv(spark, f"{raw_dir}/{n}.csv", schemas[n], required=keys[n]) for n in schemas}
 
 
-def read_csv_any_encoding(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read as UTF-8; if any value decodes to U+FFFD, the file is not UTF-8: re-read as Latin-1.
+def files_by_encoding(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
+    """(files that are valid UTF-8, the others).  Lines come in as raw bytes and are checked where they are read,
+    so large files are checked in parallel; one row a file reaches the driver."""
+    lines = spark.read.text(path)
+    files = (lines.groupBy(F.col("_metadata.file_path").alias("file"))
+             .agg(F.bool_and(F.is_valid_utf8("value")).alias("valid")).orderBy("file").collect())
+    named = [(unquote(r["file"]), r["valid"]) for r in files]
+    return [f for f, ok in named if ok], [f for f, ok in named if not ok]
 
-    The check is one distributed ``exists``-style scan that stops at the first hit.
-    """
-    df = read_csv(spark, path, schema, encoding="UTF-8", ordinal=False)
-    text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if text_cols:
-        bad = F.lit(False)
-        for c in text_cols:
-            bad = bad | F.coalesce(F.col(c).contains("�"), F.lit(False))
-        if df.where(bad).limit(1).count() > 0:
-            return read_csv(spark, path, schema, encoding="ISO-8859-1", ordinal=False)
-    return df
 
+def read_csv_any_encoding(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
+    """Each file as UTF-8 (with or without a byte order mark) if its bytes are valid UTF-8, else as Latin-1: a union
+    of two scans.  A U+FFFD that a UTF-8 file really holds stays.  Columns are matched by name."""
+    utf8, other = files_by_encoding(spark, path)
+    scans = [read_csv(spark, files, schema, encoding=encoding, ordinal=False)
+             for files, encoding in ((utf8, "UTF-8"), (other, "ISO-8859-1")) if files]
+    if not scans:                          # no line at all: a missing path is an error, an empty file has no columns
+        return read_csv(spark, path, schema, ordinal=False)
+    return scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1], allowMissingColumns=True)
 
-def cap_rows(df: DataFrame, n: int | None, order_cols: list[str]) -> DataFrame:
-    """Keep the first ``n`` rows in file order (``n=None`` keeps everything).
 
-    Planned as TakeOrderedAndProject: each task keeps its own top n, the driver merges
-    at most n x tasks rows, so n must stay small (it is a sampling switch, not a filter).
-    """
-    if n is None:
-        return df
-    return df.orderBy(*order_cols).limit(n)
+def cap_rows(df: DataFrame, n: int | None, order_cols: list[str]) -> DataFrame:
+    """Keep the first ``n`` rows in file order (``n=None`` keeps everything)."""
+    return df if n is None else first_rows(df, n, order_cols)
 
 
 def append_to_table(df: DataFrame, schema: T.StructType, path: str, partition_by: list[str] | None = None) -> None:
@@ -112,11 +114,3 @@ def table_preview(tables: dict[str, DataFrame], name: str, order_by: str) -> Dat
     if name not in PREVIEW_TABLES or name not in tables:
         raise ValueError(f"Table is not available for preview: {name}")
     return tables[name].orderBy(order_by).limit(PREVIEW_ROWS)
-
-
-def first_existing(columns: list[str], options: list[str]) -> str | None:
-    """First of ``options`` present in ``columns`` (schema reflection at plan time)."""
-    for option in options:
-        if option in columns:
-            return option
-    return None

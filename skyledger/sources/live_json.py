@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null
+from ..operators.ids import first_rows
 
 _S = T.StringType()
 
@@ -101,8 +102,5 @@ def flatten_pages(pages: DataFrame) -> DataFrame:
 
 def cap_kept(flat: DataFrame, max_rows: int | None) -> DataFrame:
     """First ``max_rows`` kept records in (page, pos) order — what a paged pull that stops at
-    ``max_rows`` kept rows returns.  TakeOrderedAndProject: each task keeps its own top
-    ``max_rows``; ``None`` keeps everything."""
-    if max_rows is None:
-        return flat
-    return flat.orderBy(*PAGE_ORDER).limit(max_rows)
+    ``max_rows`` kept rows returns; ``None`` keeps everything."""
+    return flat if max_rows is None else first_rows(flat, max_rows, PAGE_ORDER)
