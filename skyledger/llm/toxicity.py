@@ -46,7 +46,8 @@ MAX_FEATURES = 4_000
 MIN_TOXIC, MIN_LIFT = 4, 3.0
 #: Strength of the weight decay, and slots that features are hashed to.
 WEIGHT_DECAY, SLOTS = 0.0005, 1 << 16
-MEMO_ENTRIES = 500_000
+#: Words whose readings a worker remembers (it starts anew then), and texts whose features it holds at once.
+MEMO_ENTRIES, HELD_TEXTS = 30_000, 50
 
 # fixed values: the letters of the model, and what other characters can stand for
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
@@ -219,14 +220,20 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
         for batch in batches:
             out = []
             for text, toxic in zip(batch["text"], batch["toxic"]):
+                if len(out) >= HELD_TEXTS:
+                    yield pd.DataFrame(out, columns=["least", "toxic", "features"])
+                    out = []
                 found: Counter = Counter()
                 words = words_of(text)
                 for w, n in words.items():
-                    if w not in memo:
+                    stems = memo.get(w)
+                    if stems is None:
+                        stems = [f for r in readings(w, decoder) for f in stems_of_word(r)]
                         if len(memo) >= MEMO_ENTRIES:
                             memo.clear()
-                        memo[w] = [f for r in readings(w, decoder) for f in stems_of_word(r)]
-                    for f in memo[w]:
+                        if len(w) <= 64:
+                            memo[w] = stems
+                    for f in stems:
                         found[f] += n
                 shingles = shingle_set((text or "").encode("utf-8"), 3)
                 out.append((int(shingles[0].astype(np.int64)) if shingles.size else 0, int(toxic),
