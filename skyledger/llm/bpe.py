@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries kept in a worker's table of pieces; beyond it that table and the memo of pairs are emptied.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES, PAIR_ENTRIES = 100_000, 500_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -73,6 +73,7 @@ class ByteBPE:
                     self.shorter[rank] = r
                     break
         self.memo: dict[int, dict[int, bool]] = {r: {} for r in self.halves}
+        self.pairs = 0
         self.pieces = _Pieces(self)
 
     def _merge_below(self, data: bytes, limit: int) -> list[bytes]:
@@ -93,9 +94,17 @@ class ByteBPE:
         """Whether ``left`` followed by ``right`` survives all merges as these two tokens."""
         known = self.memo[left].get(right)
         if known is None:
+            if self.pairs >= PAIR_ENTRIES:
+                self.forget_pairs()
+            self.pairs += 1
             known = self.memo[left][right] = self._border_holds(left, right)
         return known
 
+    def forget_pairs(self) -> None:
+        self.pairs = 0
+        for beside in self.memo.values():
+            beside.clear()
+
     def _border_holds(self, left: int, right: int) -> bool:
         # (rank, side) orders merges in time; of one rank, those further left come first
         bound = (len(self.ranks) + 1, 0)
@@ -180,8 +189,6 @@ class _Pieces(dict):
         ids = array("i", self.bpe.encode_piece(piece.encode("utf-8"))).tobytes()
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-            for known in self.bpe.memo.values():
-                known.clear()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
