@@ -60,7 +60,9 @@ _CLOSED_BY_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt",
                      "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table article section div main body aside nav header footer form blockquote td th".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# A mark that another "<" (outside quotes) follows before its ">" is text: no attempt reads beyond that "<".
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"""
+                    r"""|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PUNCTUATION = re.compile(r"[.,;:!?…»«“”\"()。，、；：！？]")
 _WORDS = re.compile(r"[a-z0-9]+")
@@ -135,8 +137,8 @@ def blocks_of(page: str) -> list[tuple[_Path, str]]:
             if in_link:
                 linked += len(text)
 
-    at = 0
-    while m := _TOKEN.search(page, at):
+    at, last = 0, max(page.rfind(x) for x in (">", "<!--", "<![CDATA["))       # no mark begins beyond
+    while at <= last and (m := _TOKEN.search(page, at)):
         add(page[at:m.start()])
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
@@ -154,7 +156,7 @@ def blocks_of(page: str) -> list[tuple[_Path, str]]:
             continue
         if tag in _RAW:
             flush()
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{tag}\b[^<>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag in _INLINE:
             in_link += tag == "a"
