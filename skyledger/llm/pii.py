@@ -42,12 +42,16 @@ FIRST_NAMES = {
           "Ursula", "Monika", "Petra", "Marie", "Nathalie", "Isabelle", "Sylvie", "Catherine", "Carmen", "Ana", "Isabel", "Dolores", "Pilar"]}
 _ONSETS = ["b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "z", "br", "tr"]
 _VOWELS = ["a", "e", "i", "o"]
-_ENDINGS = {"first_m": ["on", "an", "er", "ik"], "first_f": ["a", "ina", "ia", "elle"], "surname": ["sen", "ley", "mann", "ard"]}
+_ENDINGS = {"first_m": ["on", "an", "er", "ik"], "first_f": ["a", "ina", "ia", "elle"],
+            "first_u": ["is", "en", "ery", "in"], "surname": ["sen", "ley", "mann", "ard"]}
 
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
 _ALL_NAMES = "|".join(n for ns in FIRST_NAMES.values() for n in ns)
 _NAME = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_ALL_TITLES})\.?[ ]\p{{Lu}}[\p{{L}}'’-]+(?:[ ]\p{{Lu}}[\p{{L}}'’-]+)?|(?:{_ALL_NAMES})[ ]\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*)"
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}"
+# All labels of a domain at once: a possessive repeat needs no stack.  The second form, for domains that end in a
+# label of other than letters, goes back label by label.
+_EMAIL = (r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@"
+          r"(?:(?:[\p{L}\p{N}-]++\.(?=[\p{L}\p{N}-]))++\p{L}{2,}|(?:[\p{L}\p{N}-]++\.){1,100}\p{L}{2,})")
 _KEYED = r"""(?<![\p{L}\p{N}])(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)["']?[ ]?[=:][ ]?["']?[A-Za-z0-9+/_.~@!#%^&*-]{6,}"""
 _ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
@@ -55,7 +59,10 @@ _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1
 _PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\p{L}\p{N}(])\(\d{3}\)[ ]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!\d)"
-ENTITY = "|".join([_EMAIL, _KEYED, _ACCESS, _IBAN, _IP, _SSN, _CARD, _PHONE, _NAME])
+#: Eight groups, or fewer round "::".
+_IP6 = (r"(?<![\p{L}\p{N}:])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+        r"|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?)(?![\p{L}\p{N}:])")
+ENTITY = "|".join([_EMAIL, _KEYED, _ACCESS, _IBAN, _IP6, _IP, _SSN, _CARD, _PHONE, _NAME])
 #: A text without a match of this has no entity.
 CANDIDATE = rf"[@0-9]|(?i:password|passwd|pwd|passphrase|secret|token|key)[\"']?[ ]?[=:]|(?<!\p{{L}})(?:{_ALL_TITLES}|{_ALL_NAMES})\.?[ ]\p{{Lu}}"
 
@@ -84,12 +91,12 @@ def parts_of(m: Column) -> Column:
     titled = title.rlike(_whole(_ALL_TITLES))
     first = F.when(titled & (F.size(words) == 3), F.get(words, F.lit(1))).when(~titled, F.get(words, F.lit(0)))
     male, female = title.isin(TITLES["m"]) | first.isin(FIRST_NAMES["m"]), title.isin(TITLES["f"]) | first.isin(FIRST_NAMES["f"])
-    first_kind = F.when(male, "first_m").when(female, "first_f").otherwise("first_m")
+    first_kind = F.when(male, "first_m").when(female, "first_f").otherwise("first_u")
     surname = F.element_at(words, -1)
     name = F.filter(F.array(
         _part("keep", F.when(titled, F.concat(F.get(words, F.lit(0)), F.lit(" ")))), _part(first_kind, first),
         _part("keep", F.when(first.isNotNull(), F.lit(" "))), _part("surname", surname)), lambda p: p["value"].isNotNull())
-    single = (F.when(m.rlike(_whole(_ACCESS)), "access").when(m.rlike(_whole(_IP)), "ip").when(m.rlike(_whole(_IBAN)), "iban")
+    single = (F.when(m.rlike(_whole(_ACCESS)), "access").when(m.rlike(_whole(_IP)), "ip").when(m.rlike(_whole(_IP6)), "ip6").when(m.rlike(_whole(_IBAN)), "iban")
               .when(m.rlike(_whole(_SSN)), "ssn").when(m.rlike(_whole(_CARD)), "card").when(m.rlike(_whole(_PHONE)), "phone"))
     return (F.when(m.rlike(_whole(_EMAIL)), email).when(m.rlike(_whole(_KEYED)), keyed)
             .when(single.isNotNull(), F.array(_part(single, m))).otherwise(name))
@@ -165,13 +172,13 @@ def _card(value: Column, numbers: Column, draw: Column) -> Column:
 
 
 def _ip(value: Column, numbers: Column, draw: Column) -> Column:
-    """Octets of as many digits; after some draws any octets, then more of them."""
+    """Four octets of as many digits; after some draws any octets."""
     def octet(o: Column, i: Column) -> Column:
         n = F.element_at(numbers, (i + 1).cast("int")) * 256 + F.element_at(numbers, (i + 9).cast("int"))
         other = lambda low, many: (o.cast("int") - low + 1 + n % (many - 1)) % many + low  # noqa: E731  never the same
         return F.when(F.length(o) == 1, other(0, 10)).when(F.length(o) == 2, other(10, 90)).otherwise(other(100, 155)).cast("string")
     same = F.array_join(F.transform(F.split(value, r"\."), octet), ".")
-    wide = F.slice(numbers, 17, F.least(4 + 2 * F.greatest(draw - 2 * GROW_FROM, F.lit(0)), F.lit(48)))
+    wide = F.slice(numbers, 17, 4)
     return F.when(draw < GROW_FROM, same).otherwise(F.array_join(wide.cast("array<string>"), "."))
 
 
@@ -189,14 +196,20 @@ def _person(kind: str, numbers: Column, draw: Column) -> Column:
 
 def surrogate(kind: Column, value: Column, draw: Column, key: str = KEY) -> Column:
     """The surrogate of a part at a draw."""
-    numbers = _draws(key, kind, value, draw)
-    name = F.when(kind == "first_m", _person("first_m", numbers, draw)).when(kind == "first_f", _person("first_f", numbers, draw)).otherwise(_person("surname", numbers, draw))
+    # bound to a variable: the digest is taken once a value, not once a character
+    return F.get(F.transform(F.array(_draws(key, kind, value, draw)), lambda numbers: _drawn(kind, value, draw, numbers)), F.lit(0))
+
+
+def _drawn(kind: Column, value: Column, draw: Column, numbers: Column) -> Column:
+    name = F.when(kind == "first_m", _person("first_m", numbers, draw)).when(kind == "first_f", _person("first_f", numbers, draw))
+    name = name.when(kind == "first_u", _person("first_u", numbers, draw)).otherwise(_person("surname", numbers, draw))
     latin = value.rlike(r"^[\p{IsLatin}'’-]+$")
     phone_lead = F.length(F.regexp_extract(value, r"^\+\d{1,3}", 0))
     card, ip = _card(value, numbers, draw), _ip(value, numbers, draw)
+    ip6 = _same_shape(value, numbers, 0, ["0123456789", "abcdef", "ABCDEF"])
     value = _grown(_lettered(kind, value), draw)
-    return (F.when(kind == "card", card).when(kind == "ip", ip)
-            .when(kind.isin("first_m", "first_f", "surname") & latin, name)
+    return (F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "ip6", ip6)
+            .when(kind.isin("first_m", "first_f", "first_u", "surname") & latin, name)
             .when(kind == "phone", _same_shape(value, numbers, phone_lead, _ALPHABETS[2:3]))
             .when(kind == "ssn", _same_shape(value, numbers, 0, _ALPHABETS[2:3]))
             .when(kind == "access", _same_shape(value, numbers, 4, ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"]))

@@ -258,3 +258,40 @@ def test_blocks_end_by_rows_and_by_components(corpus_spark, monkeypatch):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     got = sorted(map(tuple, hard_negatives.mine(df, "embedding", label, F.col("vec_id") % 20 == 0, 256).collect()))
     assert got == expected_negatives(rows, 20)
+
+
+# ---------------------------------------------------------------- hostile inputs of earlier operators
+
+def test_pages_of_stray_marks_take_linear_time():
+    import time
+    from skyledger.llm.html_text import main_text
+    article = "<article><p>" + "The committee met again, and the vote was put off until spring. " * 20 + "</p></article>"
+    for hostile in ("<a " * 350_000, "<a<b" * 250_000, "<! " * 350_000, "<a '" * 250_000, "</p " * 250_000):
+        start = time.time()
+        main_text(hostile)
+        main_text(article + hostile)
+        assert "committee met" in main_text(article)
+        assert time.time() - start < 30, hostile[:12]
+
+
+def test_mail_addresses_of_very_many_labels_are_replaced(corpus_spark):
+    from skyledger.llm import pii
+    long = "a@" + "b." * 100_000 + "com"
+    texts = ["write to x@y.com. Or z@mail.example.org, ok", long, "x@y.com.2021 and q@w.co1", "a@" + "1." * 50_000 + "9",
+             "host 2001:db8:0:1:1:1:1:1 and fe80:12::7 up", "at 12:30:45, std::vector, 10:20", "peer 192.168.10.77."]
+    rows = corpus_spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.replace(rows).select("doc_id", "text").collect()}
+    assert "x@y.com" not in out[0] and "z@mail.example.org" not in out[0] and out[0].endswith(", ok") and ". Or " in out[0]
+    assert out[1] != long and out[1].endswith(".com") and "@" in out[1]
+    assert "x@y.com" not in out[2] and "q@w.co" not in out[2]
+    assert "2001:db8:0:1" not in out[4] and "fe80:12::7" not in out[4] and out[4].startswith("host ") and out[4].endswith(" up")
+    assert out[5] == texts[5]
+    assert "192.168.10.77" not in out[6] and out[6].count(".") == 4
+
+
+def test_names_of_unknown_gender_get_names_of_no_gender(corpus_spark):
+    from skyledger.llm import pii
+    rows = corpus_spark.createDataFrame([(0, "Dr Xavia Brown met Mr Quill Stone and Mary Fox.")], "doc_id long, text string")
+    text = pii.replace(rows).first().text
+    dr, mr, mary = text.split("Dr ")[1].split()[0], text.split("Mr ")[1].split()[0], text.split("and ")[1].split()[0]
+    assert dr.endswith(tuple(pii._ENDINGS["first_u"])) and mr.endswith(tuple(pii._ENDINGS["first_m"])) and mary.endswith(tuple(pii._ENDINGS["first_f"]))
