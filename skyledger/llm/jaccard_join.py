@@ -282,12 +282,12 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     bits = F.struct(*[f"b{i}" for i in range(SKETCH)])
     sets = _store(first.where("kind = 0 AND n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
                   .agg(F.min("doc_id").alias("node"), F.min(bits).alias("bits")), f"{base}/sets")
-    classes = sets.select("k1", "k2", "node")
+    classes, sketches = sets.select("k1", "k2", "node"), sets.select("node", "bits")
     sent = spark.sparkContext.broadcast(common)
     posted = _postings(docs, width, percent, boundary, sent).repartition("sig").dropDuplicates(["sig", "k1", "k2"])
     by_sig = Window.partitionBy("sig")
     live = posted.withColumn("many", (F.min("k1").over(by_sig) != F.max("k1").over(by_sig)) | (F.min("k2").over(by_sig) != F.max("k2").over(by_sig))).where("many")
-    lists = _store(live.join(broadcast_if_small(sets), ["k1", "k2"]).select("sig", "node", "n", "at", "kind", "bits"), f"{base}/lists")
+    lists = _store(live.join(broadcast_if_small(classes), ["k1", "k2"]).select("sig", "node", "n", "at", "kind"), f"{base}/lists")
 
     edges, comp, left, rest = None, None, None, None
     for round_ in range(HUB_ROUNDS):
@@ -298,11 +298,11 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
                 rest = now
                 break
             left = todo[0]
-        good = _checked(_hub_pairs(now, round_, percent), docs, width, percent, f"{base}/hubs-{round_}")
+        good = _checked(_hub_pairs(now, sketches, round_, percent), docs, width, percent, f"{base}/hubs-{round_}")
         edges = good if edges is None else edges.unionByName(good)
         comp = _store(components(edges), f"{base}/components-{round_}")
         remove_folder(spark, f"{base}/mixed-{round_}")                 # its links are written
-    more = _checked(_rest_pairs(_mixed(lists, comp) if rest is None else rest, percent), docs, width, percent, f"{base}/rest")
+    more = _checked(_rest_pairs(_mixed(lists, comp) if rest is None else rest, sketches, percent), docs, width, percent, f"{base}/rest")
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
     out = (rows.join(classes, ["k1", "k2"], "left")
@@ -312,7 +312,14 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     return out
 
 
-def _hub_pairs(lists: DataFrame, round_: int, percent: int) -> DataFrame:
+def _alike(shared: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (u, v, n, n2 ...) whose sketches may belong to linked sets."""
+    small = broadcast_if_small(sketches)
+    return (shared.join(small.withColumnRenamed("node", "u"), "u").join(small.select(F.col("node").alias("v"), F.col("bits").alias("bits2")), "v")
+            .where(_may_differ(percent)).drop("bits", "bits2"))
+
+
+def _hub_pairs(lists: DataFrame, sketches: DataFrame, round_: int, percent: int) -> DataFrame:
     """A few pairs a class: with hubs that most of its lists have.  A list's hub is the class of like
     size that a hash of the round puts first; odd rounds shift the classes of size.  Once lists have
     a main component, its classes are the hubs and only the others look for one."""
@@ -321,15 +328,15 @@ def _hub_pairs(lists: DataFrame, round_: int, percent: int) -> DataFrame:
     late = "main" in lists.columns
     out = None
     for k in range(TRIES if late else 1):
-        rank = F.struct(F.xxhash64(F.lit(round_ // 2), F.lit(k), "node").alias("h"), "node", "n", "at", "bits")
+        rank = F.struct(F.xxhash64(F.lit(round_ // 2), F.lit(k), "node").alias("h"), "node", "n", "at")
         hub = (rows.where("main") if late else rows).groupBy("sig", "band").agg(F.min(rank).alias("hub")).select("sig", "band", "hub")
-        near = ((rows.where("NOT main") if late else rows).select("sig", "node", "n", "at", "kind", "bits", "band")
+        near = ((rows.where("NOT main") if late else rows).select("sig", "node", "n", "at", "kind", "band")
                 .join(hub, ["sig", "band"]).where("node <> hub.node")
-                .withColumn("n2", F.col("hub.n")).withColumn("at2", F.col("hub.at")).withColumn("bits2", F.col("hub.bits"))
-                .where(_may_reach(percent) & _may_differ(percent)))
+                .withColumn("n2", F.col("hub.n")).withColumn("at2", F.col("hub.at"))
+                .where(_may_reach(percent)))
         shared = (near.groupBy(F.col("node").alias("u"), "n", "kind", F.col("hub.node").alias("v"), "n2")
                   .agg(F.count("*").alias("shared")).where(_enough_shared(percent)))
-        best = shared.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+        best = _alike(shared, sketches, percent).groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
         out = best if out is None else out.unionByName(best)
     return out.distinct()
 
@@ -345,18 +352,15 @@ def _mixed(lists: DataFrame, comp: DataFrame) -> DataFrame:
     return c.join(whole, "sig").withColumn("main", F.col("c") == F.col("most")).drop("most")
 
 
-def _rest_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs in different components that may be linked: in each list, those outside its main component with those
-    others beside which the list's shingle can be their first common one.  Members of a list whose sizes are too far
-    apart never meet: they are joined by bands of size."""
-    def band(n: str):
-        return F.floor(F.log(F.col(n).cast("double")) / float(-np.log(percent / 100))).cast("int")
-
-    a = mixed.where(~F.col("main")).select("sig", "node", "n", "at", "c", "bits", F.explode(F.array(band("n") - 1, band("n"), band("n") + 1)).alias("band"))
-    b = mixed.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"),
-                    F.col("bits").alias("bits2"), F.col("main").alias("main2"), band("n").alias("band"))
-    near = a.join(b, ["sig", "band"]).where((F.col("c") != F.col("c2")) & (F.col("main2") | (F.col("node") < F.col("node2")))
-                                            & _may_be_first(percent) & _may_differ(percent))
+    others beside which the list's shingle can be their first common one."""
+    rows = mixed.join(broadcast_if_small(sketches), "node")          # the lists that are left are few beside all postings
+    a = rows.where(~F.col("main")).select("sig", "node", "n", "at", "c", "bits")
+    b = rows.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"),
+                    F.col("bits").alias("bits2"), F.col("main").alias("main2"))
+    near = a.join(b, "sig").where((F.col("c") != F.col("c2")) & (F.col("main2") | (F.col("node") < F.col("node2")))
+                                  & _may_be_first(percent) & _may_differ(percent))
     # the outer one of a pair may be outside the main component in one list and inside it in another
     return near.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
 
