@@ -18,7 +18,8 @@ multiplied out: every class is first compared with one hub of like size from its
 rounds; linked classes merge, and then only pairs of a list that are still in different components are compared.  Of
 these only the pairs are left that share as many signatures as the threshold asks of any pair, and
 whose parity sketches differ in no more bits than the two sets may differ in shingles (each shingle
-flips one bit, so sets always differ in at least as many); they are checked on the two whole texts.  Nothing is dropped: a link between two classes is either found
+flips one bit, so sets always differ in at least as many); the same test on sketches as long as the
+sets leaves those that are checked on the two whole texts.  Nothing is dropped: a link between two classes is either found
 or lies inside a component.
 
 Defined results: null and empty texts and texts without words have empty sets, linked with nothing;
@@ -75,6 +76,25 @@ def parity_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """The set's size (8 bytes) and a parity sketch of at least as many bits as it has shingles (a power of two, 256 or more).
+
+    A longer one folds to a shorter one's length by the exclusive or of its parts."""
+    bits = 1 << max(8, int(s.size - 1).bit_length())
+    at = ((s >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
+    return int(s.size).to_bytes(8, "little") + np.packbits(odd, bitorder="little").tobytes()
+
+
+def may_link(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether sets of these wide sketches can reach the threshold: never false for two that do."""
+    n, m = int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little")
+    x, y = sorted((np.frombuffer(z, dtype=np.uint8, offset=8) for z in (a, b)), key=len)
+    differ = int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, x.size), axis=0)).sum())
+    least = -(-percent * (n + m) // (100 + percent))
+    return differ <= n + m - 2 * least
+
+
 def _size_class(n: int) -> int:
     return n if n < 1000 else 1000 + int(50 * np.log2(n / 1000))
 
@@ -82,10 +102,10 @@ def _size_class(n: int) -> int:
 # ---------------------------------------------------------------- first pass
 
 def _first_pass(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of three kinds: 0 a document (id, size, key, sketch), 1 a common slot and its count, 2 a
+    """Rows of three kinds: 0 a document (id, size, key, sketches), 1 a common slot and its count, 2 a
     class of sizes and its count."""
     bits = [f"b{i}" for i in range(SKETCH)]
-    columns = ["kind", "doc_id", "n", "k1", "k2", *bits]
+    columns = ["kind", "doc_id", "n", "k1", "k2", *bits, "wide"]
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots, sizes, total = np.zeros(SLOTS, dtype=np.int32), {}, 0
@@ -101,15 +121,15 @@ def _first_pass(docs: DataFrame, width: int) -> DataFrame:
                 total += s.size
                 k = _size_class(s.size)
                 sizes[k] = sizes.get(k, 0) + 1
-                rows.append((0, None if pd.isna(doc_id) else int(doc_id), s.size, *set_key(s), *parity_sketch(s)))
+                rows.append((0, None if pd.isna(doc_id) else int(doc_id), s.size, *set_key(s), *parity_sketch(s), wide_sketch(s)))
             yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
         mean = total / SLOTS
         common = np.flatnonzero(slots > mean + 4 * np.sqrt(mean) + 2)      # far above what chance gives
-        none = dict.fromkeys(columns[3:], 0)
+        none = dict.fromkeys(columns[3:-1], 0) | {"wide": None}
         yield pd.DataFrame({"kind": 1, "doc_id": pd.array(common, dtype="Int64"), "n": slots[common].astype(np.int64), **none})
         yield pd.DataFrame({"kind": 2, "doc_id": pd.array(list(sizes), dtype="Int64"), "n": list(sizes.values()), **none})
 
-    return docs.select("doc_id", "text").mapInPandas(part, "kind int, " + ", ".join(f"{c} long" for c in columns[1:]))
+    return docs.select("doc_id", "text").mapInPandas(part, "kind int, " + ", ".join(f"{c} long" for c in columns[1:-1]) + ", wide binary")
 
 
 def choose_boundary(sizes: dict[int, int], percent: int) -> int:
@@ -197,16 +217,29 @@ def _store(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, width: int, percent: int, path: str) -> DataFrame:
+def _side_by_side(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """(u, v, a, b): the pairs with the value of both, from ``rows`` (doc_id, value).
+
+    The pairs are narrow: where their size is below the bound they are sent to the rows, so that only
+    values of u move, once a pair, to the values of v; else both sides are shuffled."""
+    ends = pairs.select(F.col("v").alias("doc_id")).distinct()
+    left = rows.select(F.col("doc_id").alias("u"), F.col(value).alias("a")).join(broadcast_if_small(pairs), "u")
+    right = rows.select("doc_id", F.col(value).alias("b")).join(broadcast_if_small(ends), "doc_id").withColumnRenamed("doc_id", "v")
+    return left.join(right, "v").select("u", "v", "a", "b")
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, percent: int, path: str) -> DataFrame:
     """Those (u, v) whose sets reach the threshold; u and v are doc_ids.
 
-    The pairs are narrow: where their size is below the bound they are sent to the documents, so
-    that only texts of u move, once a pair, to the texts of v; else both sides are shuffled."""
+    Texts move only for the pairs that wide sketches (about a fiftieth of the texts) leave."""
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[[may_link(a, b, percent) for a, b in zip(batch["a"], batch["b"])], ["u", "v"]]
+
     pairs = _store(pairs, f"{path}-pairs")
-    ends = pairs.select(F.col("v").alias("doc_id")).distinct()
-    left = docs.select(F.col("doc_id").alias("u"), F.col("text").alias("a")).join(broadcast_if_small(pairs), "u")
-    right = docs.select("doc_id", F.col("text").alias("b")).join(broadcast_if_small(ends), "doc_id").withColumnRenamed("doc_id", "v")
-    both = left.join(right, "v")
+    wide = sets.select(F.col("node").alias("doc_id"), "wide")
+    pairs = _store(_side_by_side(pairs, wide, "wide").mapInPandas(alike, "u long, v long").distinct(), f"{path}-alike")
+    both = _side_by_side(pairs, docs, "text")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[str, np.ndarray] = {}
@@ -226,7 +259,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, width: int, percent: int, path:
                 good.append(common > 0 and 100 * common >= percent * (x.size + y.size - common))
             yield batch.loc[good, ["u", "v"]]
 
-    return _store(both.select("u", "v", "a", "b").mapInPandas(part, "u long, v long").distinct(), f"{path}-links")
+    return _store(both.mapInPandas(part, "u long, v long").distinct(), f"{path}-links")
 
 
 def _least_common(percent: int):
@@ -281,7 +314,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     rows = first.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
     bits = F.struct(*[f"b{i}" for i in range(SKETCH)])
     sets = _store(first.where("kind = 0 AND n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
-                  .agg(F.min("doc_id").alias("node"), F.min(bits).alias("bits")), f"{base}/sets")
+                  .agg(F.min("doc_id").alias("node"), F.min(bits).alias("bits"), F.min("wide").alias("wide")), f"{base}/sets")
     classes, sketches = sets.select("k1", "k2", "node"), sets.select("node", "bits")
     sent = spark.sparkContext.broadcast(common)
     posted = _postings(docs, width, percent, boundary, sent).repartition("sig").dropDuplicates(["sig", "k1", "k2"])
@@ -298,11 +331,11 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
                 rest = now
                 break
             left = todo[0]
-        good = _checked(_hub_pairs(now, sketches, round_, percent), docs, width, percent, f"{base}/hubs-{round_}")
+        good = _checked(_hub_pairs(now, sketches, round_, percent), docs, sets, width, percent, f"{base}/hubs-{round_}")
         edges = good if edges is None else edges.unionByName(good)
         comp = _store(components(edges), f"{base}/components-{round_}")
         remove_folder(spark, f"{base}/mixed-{round_}")                 # its links are written
-    more = _checked(_rest_pairs(_mixed(lists, comp) if rest is None else rest, sketches, percent), docs, width, percent, f"{base}/rest")
+    more = _checked(_rest_pairs(_mixed(lists, comp) if rest is None else rest, sketches, percent), docs, sets, width, percent, f"{base}/rest")
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
     out = (rows.join(classes, ["k1", "k2"], "left")

@@ -158,6 +158,25 @@ def test_main_text_query(corpus_spark):
     assert [r.text for r in html_text.extract(odd).collect()] == ["", ""]
 
 
+def test_wide_sketches_never_refuse_a_link():
+    import numpy as np
+    from skyledger.llm.jaccard_join import may_link, wide_sketch
+    rng = np.random.default_rng(5)
+    refused = 0
+    for k in range(400):
+        n, percent = int(rng.integers(1, 3000)), int(rng.choice([50, 80, 90, 100]))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[:a.size - int(a.size * rng.random() * (0.3 if k % 2 else 1))], rng.integers(0, 2**64, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)]))
+        if not b.size:
+            continue
+        common = np.intersect1d(a, b).size
+        linked = 100 * common >= percent * (a.size + b.size - common)
+        said = may_link(wide_sketch(a), wide_sketch(b), percent)
+        assert said or not linked
+        refused += not said
+    assert refused > 100
+
+
 # ---------------------------------------------------------------- 3: Jaccard join
 
 def brute_components(rows, width, percent):
