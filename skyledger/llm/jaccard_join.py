@@ -322,7 +322,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     live = posted.withColumn("many", (F.min("k1").over(by_sig) != F.max("k1").over(by_sig)) | (F.min("k2").over(by_sig) != F.max("k2").over(by_sig))).where("many")
     lists = _store(live.join(broadcast_if_small(classes), ["k1", "k2"]).select("sig", "node", "n", "at", "kind"), f"{base}/lists")
 
-    edges, comp, left, rest = None, None, None, None
+    comp, left, rest = None, None, None
     for round_ in range(HUB_ROUNDS):
         now = lists if comp is None else _store(_mixed(lists, comp), f"{base}/mixed-{round_}")
         if comp is not None:
@@ -332,12 +332,11 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
                 break
             left = todo[0]
         good = _checked(_hub_pairs(now, sketches, round_, percent), docs, sets, width, percent, f"{base}/hubs-{round_}")
-        edges = good if edges is None else edges.unionByName(good)
-        comp = _store(components(edges), f"{base}/components-{round_}")
+        comp = _store(components(_joined(good, comp)), f"{base}/components-{round_}")
         remove_folder(spark, f"{base}/mixed-{round_}")                 # its links are written
     more = _checked(_rest_pairs(_mixed(lists, comp) if rest is None else rest, sketches, percent), docs, sets, width, percent, f"{base}/rest")
     if not more.isEmpty():
-        comp = components(edges.unionByName(more))
+        comp = components(_joined(more, comp))
     out = (rows.join(classes, ["k1", "k2"], "left")
            .join(comp, "node", "left")
            .select("doc_id", "n_shingles", "k1", "k2",
@@ -345,6 +344,11 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     return out
 
 
+def _joined(links: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """New links beside the components so far, each as a star: edges of the same components as all links found."""
+    return links if comp is None else links.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v")))
+
+
 def _alike(shared: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Those pairs (u, v, n, n2 ...) whose sketches may belong to linked sets."""
     small = broadcast_if_small(sketches)
@@ -369,9 +373,10 @@ def _hub_pairs(lists: DataFrame, sketches: DataFrame, round_: int, percent: int)
                 .where(_may_reach(percent)))
         shared = (near.groupBy(F.col("node").alias("u"), "n", "kind", F.col("hub.node").alias("v"), "n2")
                   .agg(F.count("*").alias("shared")).where(_enough_shared(percent)))
-        best = _alike(shared, sketches, percent).groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
-        out = best if out is None else out.unionByName(best)
-    return out.distinct()
+        shared = shared.withColumn("try", F.lit(k))
+        out = shared if out is None else out.unionByName(shared)
+    best = _alike(out, sketches, percent).groupBy("u", "try").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+    return best.select("u", "v").distinct()
 
 
 def _mixed(lists: DataFrame, comp: DataFrame) -> DataFrame:
