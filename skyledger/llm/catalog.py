@@ -96,7 +96,8 @@ def q_chat(spark, sf_dir):
                                   F.lit(HOSTILE_TEXT).alias("text"))
     out = chat.render(chat.fold_events(conversation_events(rows.unionByName(extra))))
     out = out.withColumn("turns", chat.read_back(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t, i: F.get("loss_flags", i)), lambda t: t["text"]), "")
+    out = out.withColumn("loss", chat.cut_spans(F.col("formatted"), F.col("loss_spans")))
+    loss = F.col("loss")
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every.cast("binary"), 256).alias("turns_sha256"),
                       F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),

@@ -7,8 +7,8 @@ append to the new text), ``delete`` removes it.  A message stands where its firs
 Rendering: each message is ``<turn ROLE>\\n`` + text + ``</turn>\\n``.  Inside roles and texts ``\\``
 is written ``\\s`` and ``<`` is written ``\\l`` (in roles also ``>`` as ``\\g`` and a line feed as ``\\n``),
 so no text can hold a control string, and the text is read back exactly.  The loss mask is the list
-of code-point spans [start, end) of the assistant's texts in the output; ``loss_flags`` says the
-same by message.
+of code-point spans [start, end) of the assistant's texts in the output (``cut_spans`` reads the text
+under it); ``loss_flags`` says the same by message.
 
 Defined results: null text is empty; null role is the empty role; null kind is ``message``; a null
 ``seq`` sorts first; events of equal ``seq`` are ordered by kind, role, text; an event other than
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 LOSS_ROLE = "assistant"
 _END = "</turn>\n"
+#: Code points of the blocks that spans are cut from.
+BLOCK = 1 << 16
 
 
 def escape(text: Column) -> Column:
@@ -90,3 +92,24 @@ def read_back(formatted: Column) -> Column:
                         unescape(F.substr(chunk, F.length(head) + len(">\n") + 1)).alias("text"))
 
     return F.transform(chunks, turn)
+
+
+def cut_spans(formatted: Column, spans: Column, block: int = BLOCK) -> Column:
+    """The unescaped text under the spans, in order; null for a null text.
+
+    Finding a code point takes time in proportion to its place, so the text is first cut into blocks,
+    and each span is put together from the blocks it lies in."""
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.char_length(formatted) - 1, F.lit(0)) / block).cast("int"))
+    blocks = F.transform(starts, lambda i: F.substring(formatted, i * block + 1, F.lit(block)))
+
+    def piece(of: Column, span: Column, i: Column) -> Column:
+        at = F.greatest(span["start"] - i * block, F.lit(0))
+        return F.substring(F.get(of, i.cast("int")), (at + 1).cast("int"), (F.least(span["end"] - i * block, F.lit(block)) - at).cast("int"))
+
+    def text(of: Column, span: Column) -> Column:
+        within = F.sequence(F.floor(span["start"] / block), F.floor((span["end"] - 1) / block))
+        return unescape(F.array_join(F.transform(within, lambda i: piece(of, span, i)), ""))
+
+    # an array of one, so that the blocks are made once for all spans
+    held = F.filter(spans, lambda s: s["end"] > s["start"])
+    return F.transform(F.array(blocks), lambda of: F.array_join(F.transform(held, lambda s: text(of, s)), ""))[0]

@@ -551,6 +551,19 @@ def test_chat_folds_events(corpus_spark):
     assert chat.render(chat.fold_events(df.limit(0))).count() == 0
 
 
+def test_chat_loss_text_is_cut_by_the_spans(corpus_spark):
+    from skyledger.llm import chat
+    from pyspark.sql import functions as F
+    rng = random.Random(3)
+    for size in (1, 3, 8, 64, chat.BLOCK):
+        text = "".join(rng.choice("ab\\<\u00e9\U0001f600\n") for _ in range(40))
+        said = [("assistant" if i % 3 else "user", text[:rng.randrange(0, 40)]) for i in range(12)] + [("assistant", "")]
+        rows = [(1, i, "message", i, r, t) for i, (r, t) in enumerate(said)] + [(2, 0, "message", 0, "user", "x")]
+        out = chat.render(chat.fold_events(corpus_spark.createDataFrame(rows, "conv_id int, seq int, kind string, msg int, role string, text string")))
+        got = {r.conv_id: r.loss for r in out.select("conv_id", chat.cut_spans(F.col("formatted"), F.col("loss_spans"), size).alias("loss")).collect()}
+        assert got == {1: "".join(t for r, t in said if r == "assistant"), 2: ""}
+
+
 def test_chat_query_reads_back(corpus_spark):
     from skyledger.llm import chat
     from skyledger.llm.catalog import HOSTILE_TEXT, QUERIES, conversation_events
