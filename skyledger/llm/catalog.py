@@ -120,7 +120,7 @@ def q_repetition(spark, sf_dir):
     prepare(spark)
     return (repetition.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-                    "longest_repeat", "n_repeats"))
+                    "longest_repeat", "n_repeats", "covered_chars"))
 
 
 # ---------------------------------------------------------------- 7: toxicity

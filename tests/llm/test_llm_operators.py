@@ -371,7 +371,14 @@ def test_repetition_against_brute_force():
         held = {j for i in range(len(words) - least + 1) if windows[tuple(words[i:i + least])] > 1 for j in range(i, i + least)}
         longest = max((n for n in range(1, len(words)) if max(collections.Counter(tuple(words[i:i + n]) for i in range(len(words) - n + 1)).values()) > 1), default=0)
         got = repetition.measure(" ".join(words), least)
-        assert got[4] == len(held) and got[5] == (longest if longest >= least else 0)
+        assert got[4] == len(held) and got[5] == (longest if longest >= least else 0) and got[7] == len(held)
+        spots = collections.defaultdict(list)
+        for i in range(len(words)):
+            for n in range(least, len(words) - i + 1):
+                spots[tuple(words[i:i + n])].append(i)
+        # a maximal repeat: neither all occurrences follow the same word, nor does the same word follow them all
+        around = lambda at, i: {words[a + i] if 0 <= a + i < len(words) else None for a in at} | {i for a in at if not 0 <= a + i < len(words)}
+        assert got[6] == sum(len(at) > 1 and len(around(at, -1)) > 1 and len(around(at, len(w))) > 1 for w, at in spots.items())
 
 
 def test_repetition_query(corpus_spark):
@@ -389,12 +396,17 @@ def test_repetition_query(corpus_spark):
         assert r.base_failed == (len(w) < 20 or 100 * rep > 30 * len(w)) and not (r.base_failed and r.kept)
     passage = " ".join(f"p{i}" for i in range(60))
     filler = [" ".join(f"x{k}{i}" for i in range(400)) for k in range(2)]
-    rows = [(1, None, "a"), (2, "", "a"), (3, f"{passage} {filler[0]} {passage} {filler[1]}", "a"), (4, filler[0], "a"), (4, filler[0], "a"), (5, "a " * 30_000, "a")]
+    heavy = " ".join(f"{i}{'longword' * 3}" for i in range(8))          # 24 of 100 words, but most of the characters
+    light = [" ".join(f"{k}{i}" for i in range(38)) for k in "xy"]
+    rows = [(1, None, "a"), (2, "", "a"), (3, f"{passage} {filler[0]} {passage} {filler[1]}", "a"), (4, filler[0], "a"), (4, filler[0], "a"), (5, "a " * 30_000, "a"),
+            (6, f"{heavy} {light[0]} {heavy} {light[1]} {heavy}", "a")]
     out = collections.defaultdict(list)
     for r in repetition.judge(docs_frame(corpus_spark, rows, extra=True)).collect():
         out[r.doc_id].append(r)
     assert out[1][0].base_failed and out[2][0].n_words == 0 and len(out[4]) == 2 and out[4][0].kept
     assert not out[3][0].base_failed and not out[3][0].kept and out[3][0].longest_repeat == 60 and out[5][0].longest_repeat == 29_999
+    r = out[6][0]
+    assert (r.n_words, r.n_repeat_words, r.longest_repeat, r.covered_chars, r.base_failed, r.kept) == (100, 24, 8, 600, False, False)
 
 
 # ---------------------------------------------------------------- 7: toxicity
