@@ -71,18 +71,15 @@ def merge(df: DataFrame, key: str, column: str = "sketch") -> DataFrame:
 
 # ---------------------------------------------------------------- each document beside the next one
 
-def neighbours(docs: DataFrame, slots: int = 4096) -> DataFrame:
+def neighbours(docs: DataFrame) -> DataFrame:
     """(doc_id, prev_id, prev_half): for each distinct doc_id, the id that comes before it in
     descending order (the first: the last), and half that document's longest length.
 
-    Only ids and lengths are ordered: by equal slots of the id range, then over one row a slot."""
+    Only ids and lengths are ordered: within slots of about equally many ids (range partitions, so
+    far outliers don't crowd the others together), then over one row a slot."""
     ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n")).checkpoint()
-    lowest, highest = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if lowest is None:
-        return ids.select("doc_id", F.col("doc_id").alias("prev_id"), F.col("n").alias("prev_half")).limit(0)
-    # as decimals: the range of ids may be wider than a long
-    place = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(lowest)) * slots / F.lit(max(highest - lowest + 1, 1)).cast("decimal(20,0)"))
-    ids = ids.withColumn("slot", place.cast("int"))
+    # written down, so that a task that is run again finds the same slots
+    ids = ids.repartitionByRange("doc_id").withColumn("slot", F.spark_partition_id()).checkpoint()
     rising = Window.orderBy("slot")
     ends = (ids.groupBy("slot").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("low"))
             .withColumn("above", F.lead("low").over(rising))

@@ -73,6 +73,13 @@ def test_sketch_edge_cases(corpus_spark):
     assert sketch.beside_next(docs_frame(corpus_spark, [])).count() == 0
 
 
+def test_sketch_neighbours_with_outlying_ids(corpus_spark):
+    from skyledger.llm import sketch
+    ids = [-(2**63), *range(300), 2**63 - 1]
+    got = {r.doc_id: (r.prev_id, r.prev_half) for r in sketch.neighbours(corpus_spark.createDataFrame([(i, "x" * (k % 7)) for k, i in enumerate(ids)], "doc_id long, text string")).collect()}
+    assert got == {i: (ids[(k + 1) % len(ids)], (k + 1) % len(ids) % 7 // 2) for k, i in enumerate(ids)}
+
+
 def test_sketches_merge(corpus_spark):
     from skyledger.llm import sketch
     from pyspark.sql import functions as F
