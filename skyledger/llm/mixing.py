@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment (operator 9).
 
 1. Targets: the sources share ``share`` times all words by weight; a target stops at ``epochs``
-   times its source's size and the excess is reshared by weight (water filling, in closed form
-   from running sums over the sources in order of cap / weight).
+   times its source's size and the excess is reshared by weight (water filling: the level rises to
+   where the open sources take what the full ones leave).
 2. Blocks: ``target / block_words`` seats in all go to the sources by highest quotients
    target / (2 k + 1); each source's seats go to its shards the same way, by shard size.  These are
    the integer quotas.
@@ -10,8 +10,9 @@
    blocks.  A quota of q over n blocks takes every block ``q div n`` times and ``q mod n`` of them
    once more: those that a seeded permutation puts first.  A document takes what its blocks take.
 
-A shard is a hash bucket of a source, so a hot source is many shards; only per-source and per-shard
-sums are collected into groups.  The rows are read twice and shuffled once.
+A shard is a hash bucket of a source, so a hot source is many shards; only the
+sums of one source's shards (at most ``BUCKETS`` rows) meet in one task, and no task holds all
+sources.  The rows are read twice and shuffled once.
 
 Defined results: null text has size 0 and takes 0; a null source is a source, last in order; a
 source of size 0 has target 0; an empty table gives an empty result.  Rows are told apart by a hash
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ids import assign_sequential_ids, first_rows
 from .common import WORD_PATTERN, n_words, text_of
 
 WEIGHTS = (3, 1, 2)
@@ -39,6 +41,8 @@ BLOCK_WORDS = 32
 SHARD_WORDS = 1 << 20
 #: Hash buckets that shards are made of: a source has this many shards at most.
 BUCKETS = 1 << 16
+#: Quotients of a party that are listed at once.
+QUOTIENTS = 1 << 12
 
 
 def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
@@ -66,21 +70,64 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """(source, source_size) with weight and target; a row a source."""
-    in_order = Window.orderBy(F.col("source").asc_nulls_last())
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
-                        ((F.row_number().over(in_order) - 1) % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("weight", pick).withColumn("cap", F.col("source_size").cast("double") * epochs)
-    every = Window.partitionBy()
-    rising = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    earlier = rising.rowsBetween(Window.unboundedPreceding, -1)
-    s = (s.withColumn("__all", F.sum("source_size").over(every) * F.lit(share))
-         .withColumn("__capped", F.coalesce(F.sum("cap").over(earlier), F.lit(0.0)))
-         .withColumn("__open", F.sum("weight").over(rising.rowsBetween(0, Window.unboundedFollowing))))
-    level = (F.col("__all") - F.col("__capped")) / F.col("__open")
-    # the level at the first source that it doesn't fill
-    s = s.withColumn("__level", F.min(F.when(level * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), level.alias("level")))).over(every))
-    return s.select("source", "source_size", F.coalesce(F.least("cap", F.col("__level.level") * F.col("weight")), "cap").alias("target"))
+    """(source, source_size), a row a source, with its number ``place`` in order of source and its target.
+
+    The level that the open sources fill to rises until no more of them reaches its cap; each step is
+    one aggregation over whole numbers, so reruns agree and no task holds all sources.
+    """
+    s = assign_sequential_ids(sizes.withColumn("__last", F.col("source").isNull()), ["__last", "source"], "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    s = s.select("source", "source_size", "place", weight.alias("weight"), (F.col("source_size") * epochs).alias("cap"))
+    budget = share * (s.agg(F.sum("source_size")).first()[0] or 0)
+    level = 0.0
+    while True:
+        full = F.col("cap") <= F.col("weight") * level
+        held, open_ = s.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not open_:
+            target = F.col("cap").cast("double")
+            break
+        higher = (budget - (held or 0)) / open_
+        if higher <= level:
+            target = F.least(F.col("cap").cast("double"), F.col("weight") * level)
+            break
+        level = higher
+    return s.select("source", "source_size", "place", target.alias("target"))
+
+
+def apportion(parties: DataFrame, seats: int) -> DataFrame:
+    """``parties`` (unique ``place``, ``votes``, ``most``) with ``seats`` by highest quotients
+    votes / (2 k + 1), at most ``most`` each (ties: the least place).
+
+    As ``sainte_lague``, for any number of parties: a divisor a little too large gives most seats in
+    one aggregation, one a little too small bounds what a party can still get, and the few quotients
+    between them are cut at the last seat without passing a task or the driver.
+    """
+    can = (F.col("votes") > 0) & (F.col("most") > 0)
+    n, total, room = parties.where(can).agg(F.count(F.lit(1)), F.sum("votes"), F.sum("most")).first()
+    none = F.lit(0).cast("long")
+    if not n or seats <= 0:
+        return parties.withColumn("seats", none)
+    if seats >= room:
+        return parties.withColumn("seats", F.when(can, F.col("most")).otherwise(none))
+
+    def with_divisor(divisor: float) -> Column:
+        return F.when(can, F.least("most", F.floor(F.col("votes") / F.lit(divisor) + 0.5))).otherwise(none)
+
+    spare = n / 2 + 1
+    sure = with_divisor(total / (seats - spare)) if seats > spare else none
+    extra = spare
+    while parties.agg(F.sum(with_divisor(total / (seats + extra)))).first()[0] < seats:
+        extra *= 2                                   # the caps of others leave more to give
+    # a hair lower: no quotient is lost to rounding
+    parties = parties.withColumn("__sure", sure).withColumn("__reach", with_divisor(total / (seats + extra) * (1 - 1e-9)))
+    left = seats - parties.agg(F.sum("__sure")).first()[0]
+    quotients = (parties.where(F.col("__reach") > F.col("__sure"))
+                 .withColumn("__from", F.explode(F.sequence("__sure", F.col("__reach") - 1, F.lit(QUOTIENTS))))
+                 .withColumn("__k", F.explode(F.sequence("__from", F.least(F.col("__from") + (QUOTIENTS - 1), F.col("__reach") - 1))))
+                 .select("place", "__k", (-F.col("votes") / (2 * F.col("__k") + 1)).alias("__falling")))
+    won = first_rows(quotients, left, ["__falling", "place", "__k"]).groupBy("place").agg(F.count(F.lit(1)).alias("__won"))
+    return (parties.join(won, "place", "left").withColumn("seats", F.col("__sure") + F.coalesce("__won", none))
+            .drop("__sure", "__reach", "__won"))
 
 
 def _shards(source_size: Column, shard_words: int) -> Column:
@@ -104,20 +151,18 @@ def mix(df: DataFrame, seed: int = 7, weights=WEIGHTS, share: float = SHARE, epo
     sums = rows.groupBy("source", "__bucket").agg(F.sum("size").alias("words")).checkpoint()
     per_source = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
 
-    def seats(pdf: pd.DataFrame) -> pd.DataFrame:
-        size, target = pdf["source_size"].to_numpy(), pdf["target"].to_numpy()
-        total = int(math.floor(target.sum() / block_words + 0.5))
-        most = np.floor(epochs * np.maximum(1, np.floor(size / block_words + 0.5))).astype(np.int64) * (size > 0)
-        pdf["seats"] = sainte_lague(target, max(total, 1 if target.sum() > 0 else 0), most)
-        return pdf
-
-    fields = "source string, source_size long, target double, seats long"
-    per_source = (per_source.groupBy().applyInPandas(seats, fields)
+    # exact sums, whatever the order of the rows
+    given = per_source.agg(F.sum(F.col("target").cast("decimal(38,6)"))).first()[0] or 0
+    total = max(int(math.floor(float(given) / block_words + 0.5)), 1 if given > 0 else 0)
+    blocks = F.greatest(F.floor(F.col("source_size") / block_words + 0.5), F.lit(1))
+    most = F.when(F.col("source_size") > 0, blocks * epochs).otherwise(0).cast("long")
+    per_source = (apportion(per_source.withColumn("votes", F.col("target")).withColumn("most", most), total)
+                  .select("source", "source_size", "target", "seats")
                   .withColumn("shards", _shards(F.col("source_size"), shard_words)).checkpoint())
 
-    shards = (sums.join(per_source, sums["source"].eqNullSafe(per_source["source"]))
-              .select(per_source["source"], "source_size", "target", "seats", "shards", "words",
-                      F.pmod("__bucket", "shards").alias("shard"))
+    named = per_source.withColumnRenamed("source", "__named")
+    shards = (sums.join(named, sums["source"].eqNullSafe(named["__named"]))
+              .select("source", "source_size", "target", "seats", "shards", "words", F.pmod("__bucket", "shards").alias("shard"))
               .groupBy("source", "source_size", "target", "seats", "shards", "shard").agg(F.sum("words").alias("words")))
 
     def quotas(pdf: pd.DataFrame) -> pd.DataFrame:

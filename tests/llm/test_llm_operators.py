@@ -546,6 +546,32 @@ def test_mix_edge_cases(corpus_spark):
     assert words == collections.Counter({s: sum(r.taken for r in out if r.source == s) for s in words})
 
 
+def test_many_sources_are_apportioned_without_one_task(corpus_spark, monkeypatch):
+    from skyledger.llm import mixing
+    monkeypatch.setattr(mixing, "QUOTIENTS", 3)
+    rng = np.random.default_rng(5)
+    cases = [(rng.integers(0, 1000, 60).astype(float), int(rng.integers(1, 900)), rng.integers(0, 60, 60)) for _ in range(4)]
+    cases += [(np.full(50, 7.0), 33, np.full(50, 2)), (np.array([1e6] + [1.0] * 40), 500, np.array([5] + [100] * 40)),
+              (np.array([5.0, 3.0]), 0, np.array([9, 9])), (np.array([5.0, 0.0]), 99, np.array([9, 9])), (np.zeros(3), 4, np.full(3, 4))]
+    for votes, seats, most in cases:
+        parties = corpus_spark.createDataFrame([(i, float(v), int(m)) for i, (v, m) in enumerate(zip(votes, most))], "place long, votes double, most long")
+        got = {r.place: r.seats for r in mixing.apportion(parties, seats).collect()}
+        assert [got[i] for i in range(len(votes))] == mixing.sainte_lague(votes, seats, most).tolist()
+
+
+def test_targets_of_many_sources_fill_to_one_level(corpus_spark):
+    from skyledger.llm import mixing
+    rng = np.random.default_rng(6)
+    sizes = {f"s{i:03d}": int(n) for i, n in enumerate(np.floor(10 ** rng.uniform(0, 6, 120)))} | {"s005": 0, "zz": 0}
+    df = corpus_spark.createDataFrame(list(sizes.items()) + [(None, 40)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    names = [*sorted(sizes), None]
+    want = water_level(sizes | {None: 40}, {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}, 1.5 * (sum(sizes.values()) + 40))
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+    # more than all sources may give: every target stops at its cap
+    assert {r.source: r.target for r in mixing.targets(df, share=3.0).collect()} == {s: 2.0 * n for s, n in (sizes | {None: 40}).items()}
+
+
 def test_cut_keeps_the_words_of_spans():
     from skyledger.llm.mixing import cut
     assert cut(" a  b\nc d ", 4, [0, 2], [2, 4]) == " a  b\nc d " and cut("a b c d e", 5, [0, 3], [2, 5]) == "a b\nd e"
