@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -477,6 +478,30 @@ def test_url_rules_and_model(corpus_spark):
         url_filter.fit(corpus_spark.range(url_filter.MAX_LABELLED_URLS + 1).selectExpr("'http://a/' AS url", "1.0D AS label"))
 
 
+def test_url_model_on_held_out_addresses(corpus_spark):
+    from skyledger.llm import url_filter
+    labelled = url_filter.labelled_urls(corpus_spark)
+    assert labelled.count() == labelled.distinct().count() == 800
+    fitted_on, held_out = url_filter.split_held_out(labelled)
+    got = url_filter.accuracy(url_filter.fit(fitted_on), held_out).first()
+    print(got)
+    assert got.n_rows > 120 and fitted_on.count() + got.n_rows == 800 and got.right >= 0.95 * got.n_rows
+
+
+def test_url_grams_of_long_and_astral_text(corpus_spark):
+    from skyledger.llm import url_filter
+    texts = ["", "a", "abc", "abcabc", "a\U0001F600b\U0001F600b", "\n\nx/"]
+    df = corpus_spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", url_filter.char_ngrams(df["t"]).alias("g")).collect():
+        assert len(r.g) == len(set(r.g)) and set(r.g) == {r.t[i:i + k] for k in (3, 4, 5) for i in range(len(r.t) - k + 1)}
+    long = corpus_spark.createDataFrame([("http://x.example/" + "é" * 300_000,)], "url string").withColumn("page_id", url_filter.F.lit(1))
+    began = time.time()
+    assert url_filter.judge(long, url_filter.fit(url_filter.labelled_urls(corpus_spark))).count() == 1
+    assert time.time() - began < 60
+    empty = long.where("page_id = 2")
+    assert url_filter.judge(empty, url_filter.fit(url_filter.labelled_urls(corpus_spark))).count() == 0
+
+
 # ---------------------------------------------------------------- 9: mixing
 
 def test_sainte_lague_is_highest_quotients():
