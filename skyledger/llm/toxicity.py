@@ -48,6 +48,8 @@ MIN_TOXIC, MIN_LIFT = 4, 3.0
 WEIGHT_DECAY, SLOTS = 0.0005, 1 << 16
 #: Words whose readings a worker remembers (it starts anew then), and texts whose features it holds at once.
 MEMO_ENTRIES, HELD_TEXTS = 30_000, 50
+#: The same while scoring, where most words have no known stem and an entry is little more than the word.
+SCORED_ENTRIES = 200_000
 
 # fixed values: the letters of the model, and what other characters can stand for
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
@@ -289,7 +291,7 @@ class _Known(dict):
 
     def __missing__(self, word: str) -> tuple[str, ...]:
         found = tuple(f for r in readings(word, self.decoder) for f in stems_of_word(r) if f in self.stems)
-        if len(self) >= MEMO_ENTRIES:
+        if len(self) >= SCORED_ENTRIES:
             self.clear()
         if len(word) <= 64:
             self[word] = found
