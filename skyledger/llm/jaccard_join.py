@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ..operators.broadcast import broadcast_if_small
 from ..session import scratch_path
 from ..sources.storage import remove_folder
-from .common import mix64, shingle_set
+from .common import mix64, released, shingle_set
 from .graph import components
 
 WIDTH, PERCENT = 3, 90
@@ -129,7 +129,7 @@ def _first_pass(docs: DataFrame, width: int) -> DataFrame:
         yield pd.DataFrame({"kind": 1, "doc_id": pd.array(common, dtype="Int64"), "n": slots[common].astype(np.int64), **none})
         yield pd.DataFrame({"kind": 2, "doc_id": pd.array(list(sizes), dtype="Int64"), "n": list(sizes.values()), **none})
 
-    return docs.select("doc_id", "text").mapInPandas(part, "kind int, " + ", ".join(f"{c} long" for c in columns[1:-1]) + ", wide binary")
+    return docs.select("doc_id", "text").mapInPandas(released(part), "kind int, " + ", ".join(f"{c} long" for c in columns[1:-1]) + ", wide binary")
 
 
 def choose_boundary(sizes: dict[int, int], percent: int) -> int:
@@ -200,7 +200,7 @@ def _postings(docs: DataFrame, width: int, percent: int, boundary: int, common)
                 yield pd.DataFrame(np.concatenate(out), columns=["sig", "k1", "k2", "n", "at", "kind"])
 
     return (docs.where(F.col("doc_id").isNotNull()).select("text")
-            .mapInPandas(part, "sig long, k1 long, k2 long, n long, at long, kind long"))
+            .mapInPandas(released(part), "sig long, k1 long, k2 long, n long, at long, kind long"))
 
 
 # ---------------------------------------------------------------- checking pairs
@@ -238,7 +238,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, per
 
     pairs = _store(pairs, f"{path}-pairs")
     wide = sets.select(F.col("node").alias("doc_id"), "wide")
-    pairs = _store(_side_by_side(pairs, wide, "wide").mapInPandas(alike, "u long, v long").distinct(), f"{path}-alike")
+    pairs = _store(_side_by_side(pairs, wide, "wide").mapInPandas(released(alike), "u long, v long").distinct(), f"{path}-alike")
     both = _side_by_side(pairs, docs, "text")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,7 +259,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, per
                 good.append(common > 0 and 100 * common >= percent * (x.size + y.size - common))
             yield batch.loc[good, ["u", "v"]]
 
-    return _store(both.mapInPandas(part, "u long, v long").distinct(), f"{path}-links")
+    return _store(both.mapInPandas(released(part), "u long, v long").distinct(), f"{path}-links")
 
 
 def _least_common(percent: int):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shingle_set
+from .common import released, shingle_set
 
 #: At most about so many labelled documents are learned from, and so many features kept.
 TRAIN_ROWS = 16_000
@@ -97,7 +97,7 @@ def count_trigrams(df: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"code": at, "n": total[at]})
 
-    rows = (df.select(F.col(text).alias("t")).mapInPandas(part, "code long, n long")
+    rows = (df.select(F.col(text).alias("t")).mapInPandas(released(part), "code long, n long")
             .groupBy("code").agg(F.sum("n").alias("n")).collect())
     counts = np.zeros(_SIZE ** 3, dtype=np.int64)
     for r in rows:
@@ -242,7 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
                             [length_class(words), *(f"{k}:{f}" for f, n in found.items() for k in LEVELS if n >= k)]))
             yield pd.DataFrame(out, columns=["least", "toxic", "features"])
 
-    sample = (train_rows(docs, labels, rows).mapInPandas(gather, "least long, toxic int, features array<string>")
+    sample = (train_rows(docs, labels, rows).mapInPandas(released(gather), "least long, toxic int, features array<string>")
               .dropDuplicates(["least", "toxic"]).checkpoint())
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
@@ -262,7 +262,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
                 [f for f in features if f in sent.value or f.startswith("length:")] for features in batch["features"]]})
 
     hashed = HashingTF(inputCol="kept", outputCol="vector", numFeatures=SLOTS, binary=True)
-    rows = hashed.transform(sample.mapInPandas(known_only, "label double, kept array<string>").coalesce(2)).select("label", "vector").cache()
+    rows = hashed.transform(sample.mapInPandas(released(known_only), "label double, kept array<string>").coalesce(2)).select("label", "vector").cache()
     fitted = LogisticRegression(featuresCol="vector", labelCol="label", regParam=WEIGHT_DECAY, standardization=False, maxIter=60).fit(rows)
     rows.unpersist()
     weight = fitted.coefficients.toArray()
@@ -312,6 +312,7 @@ def score(df: DataFrame, model: dict, text: str = "text", out: str = "score") ->
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
+    @released
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
         if m["intercept"] is None:
