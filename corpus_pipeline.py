@@ -53,7 +53,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     prepare(spark)
     path, pattern = vocabulary()
     rows = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path, pattern).drop("text"), path)
-    return rows.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_sha256",
+    return rows.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "ids_sha256",
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

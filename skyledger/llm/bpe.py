@@ -10,11 +10,15 @@ merges give.
 
 Two tokens are compatible if no merge would have joined bytes across their border before the last
 merge inside either of them: the inner merges are undone from the highest rank down, and each pair
-of tokens then facing each other across the border is looked up.  The answer is memoised by pair.
+of tokens then facing each other across the border is looked up.  Memoised by pair is the answer that
+the encoder needs: which of a token and its shorter prefixes is the first that may follow another.
 
 Defined results: null and empty texts give no ids (decoded: empty).  Rows, repeats and other
 columns stay as they are.  Unpaired surrogates can't occur in Spark strings.  Texts are encoded
 whole; memory is a few times one Arrow batch (its size is a Spark setting).
+
+Both steps are plain pandas functions, which Spark runs one after the other in one Python worker if
+``decode`` alone reads the ids (it counts them and hands them on, so that nothing else needs to).
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ import base64
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -32,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries kept in a worker's table of pieces; beyond it that table and the memo of pairs are emptied.
+#: Entries kept in a worker: each of the two generations of its table of pieces; the memo of pairs, emptied beyond it.
 MEMO_ENTRIES, PAIR_ENTRIES = 100_000, 500_000
 
 
@@ -72,7 +75,7 @@ class ByteBPE:
                 if (r := ranks.get(tok[:k])) is not None and r in self.halves:
                     self.shorter[rank] = r
                     break
-        self.memo: dict[int, dict[int, bool]] = {r: {} for r in self.halves}
+        self.memo: dict[int, dict[int, int]] = {r: {} for r in self.halves}
         self.pairs = 0
         self.pieces = _Pieces(self)
 
@@ -90,15 +93,24 @@ class ByteBPE:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether ``left`` followed by ``right`` survives all merges as these two tokens."""
-        known = self.memo[left].get(right)
-        if known is None:
-            if self.pairs >= PAIR_ENTRIES:
-                self.forget_pairs()
-            self.pairs += 1
-            known = self.memo[left][right] = self._border_holds(left, right)
-        return known
+    def fitting(self, left: int, tok: int) -> int:
+        """The first of ``tok`` and its shorter prefixes that survives all merges beside ``left``; -1 if none does."""
+        beside, seen, found = self.memo[left], [], -1
+        while tok >= 0:
+            if (known := beside.get(tok)) is not None:
+                found = known
+                break
+            seen.append(tok)
+            if self._border_holds(left, tok):
+                found = tok
+                break
+            tok = self.shorter[tok]
+        if self.pairs + len(seen) > PAIR_ENTRIES:
+            self.forget_pairs()
+        self.pairs += len(seen)
+        for tok in seen:
+            beside[tok] = found
+        return found
 
     def forget_pairs(self) -> None:
         self.pairs = 0
@@ -131,23 +143,21 @@ class ByteBPE:
         out: list[int] = []
         pos, tok, beside = 0, -1, None
         while pos < n:
-            if tok < 0:                          # the longest token from here
+            if tok < 0:                          # the longest token from here that fits the one before
                 ahead = s[pos:pos + most]
                 tok = longest[ahead[:path(ahead)]]
-            while tok >= 0:
-                end = pos + length[tok]
-                if allowed[end]:
-                    if beside is None:
-                        break
-                    holds = beside.get(tok)
-                    if holds is None:
-                        holds = self.compatible(out[-1], tok)
-                    if holds:
-                        break
+                if beside is not None:
+                    fits = beside.get(tok)
+                    tok = fits if fits is not None else self.fitting(out[-1], tok)
+            while tok >= 0 and not allowed[pos + length[tok]]:
                 tok = shorter[tok]
+                if beside is not None and tok >= 0:
+                    fits = beside.get(tok)
+                    tok = fits if fits is not None else self.fitting(out[-1], tok)
             if tok >= 0:
                 out.append(tok)
-                pos, tok, beside = end, -1, memo[tok]
+                pos += length[tok]
+                beside, tok = memo[tok], -1
             else:
                 allowed[pos] = 0
                 tok = out.pop()
@@ -179,17 +189,21 @@ class _Longest(dict):
 
 
 class _Pieces(dict):
-    """Ids (packed) by piece: pieces repeat, so most look-ups never reach the encoder."""
+    """Ids (packed) by piece: pieces repeat, so most look-ups never reach the encoder.  A full table becomes the
+    older generation; a piece found there moves back, so frequent pieces are never encoded anew."""
 
     def __init__(self, bpe: ByteBPE):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("i", self.bpe.encode_piece(piece.encode("utf-8"))).tobytes()
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.bpe.encode_piece(piece.encode("utf-8"))).tobytes()
         if len(piece) <= 64:
+            if len(self) >= MEMO_ENTRIES:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -210,16 +224,15 @@ def _plain_pattern(pattern: str):
     return re.compile(out).findall
 
 
-_LOADED: dict[tuple, object] = {}
+_LOADED: dict = {}
 
 
 def _once(kind, data: bytes, *args):
-    """``kind(parse_ranks(data), *args)``, built once in each worker process."""
-    key = (kind, hashlib.sha256(data).hexdigest(), *args)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = kind(parse_ranks(data), *args)
-    return _LOADED[key]
+    """``kind(parse_ranks(data), *args)``, built once in each worker process; the last of each kind is kept."""
+    key = (hashlib.sha256(data).hexdigest(), *args)
+    if kind not in _LOADED or _LOADED[kind][0] != key:
+        _LOADED[kind] = key, kind(parse_ranks(data), *args)
+    return _LOADED[kind][1]
 
 
 def _token_bytes(ranks: dict[bytes, int]) -> dict[int, bytes]:
@@ -238,26 +251,29 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     ranks = _shared(df.sparkSession, path)
 
     @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: pd.Series) -> pd.Series:
         bpe = _once(ByteBPE, ranks.value, pattern)
-        for batch in batches:
-            yield pd.Series([bpe.encode(t or "") for t in batch], index=batch.index, dtype=object)
+        return pd.Series([bpe.encode(t or "") for t in texts], index=texts.index, dtype=object)
 
     return df.withColumn(ids, run(F.col(text)))
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded", digest: str = "ids_sha256") -> DataFrame:
-    """``df`` with columns ``decoded`` (binary), the bytes that the tokens stand for, and
-    ``digest``, of the ids as little-endian unsigned 32-bit integers."""
+def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded", digest: str = "ids_sha256", count: str = "n_tokens",
+           keep_ids: bool = True) -> DataFrame:
+    """``df`` with columns ``decoded`` (binary), the bytes that the tokens stand for, ``digest``, of the ids as
+    little-endian unsigned 32-bit integers, and ``count``, their number; without the ids unless ``keep_ids``."""
     ranks = _shared(df.sparkSession, path)
 
-    @F.pandas_udf("decoded binary, digest string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("decoded binary, digest string, count bigint" + ", ids array<int>" * keep_ids)
+    def run(rows: pd.Series) -> pd.DataFrame:
         token = _once(_token_bytes, ranks.value).__getitem__
-        for batch in batches:
-            arrays = [np.asarray(x if x is not None else [], dtype="<u4") for x in batch]
-            yield pd.DataFrame({"decoded": [b"".join(map(token, x.tolist())) for x in arrays],
-                                "digest": [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays]})
-
-    return (df.withColumn("__decoded", run(F.col(ids)))
-            .withColumn(decoded, F.col("__decoded.decoded")).withColumn(digest, F.col("__decoded.digest")).drop("__decoded"))
+        arrays = [np.asarray(x if x is not None else [], dtype="<u4") for x in rows]
+        out = {"decoded": [b"".join(map(token, x.tolist())) for x in arrays],
+               "digest": [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays], "count": [len(x) for x in arrays]}
+        if keep_ids:
+            out["ids"] = pd.Series([x.view(np.int32) if had is not None else None for x, had in zip(arrays, rows)], dtype=object)
+        return pd.DataFrame(out)
+
+    fields = {decoded: "decoded", digest: "digest", count: "count"} | ({ids: "ids"} if keep_ids else {})
+    rows = df.withColumn("__decoded", run(F.col(ids))).drop(ids)
+    return rows.withColumns({c: F.col(f"__decoded.{f}") for c, f in fields.items()}).drop("__decoded")

@@ -41,8 +41,7 @@ def q_byte_bpe(spark, sf_dir):
     prepare(spark)
     path, pattern = vocabulary()
     rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    return bpe.decode(rows, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256",
-                                         F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.decode(rows, path, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 # ---------------------------------------------------------------- 8: URL filter
