@@ -35,6 +35,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Entries kept in a worker: each of the two generations of its table of pieces; the memo of pairs, emptied beyond it.
 MEMO_ENTRIES, PAIR_ENTRIES = 100_000, 500_000
 
@@ -252,6 +254,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
+        give_back()                  # what the batch before took, in both steps
         bpe = _once(ByteBPE, ranks.value, pattern)
         return pd.Series([bpe.encode(t or "") for t in texts], index=texts.index, dtype=object)
 
