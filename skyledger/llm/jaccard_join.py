@@ -53,8 +53,15 @@ SCAN_COST = 4.0
 SKETCH = 4
 #: Sets that a task remembers to have published.
 SEEN = 100_000
-#: Rounds of hubs, while the pairs left are more than so many times the postings; tries a round.
-HUB_ROUNDS, ENOUGH, TRIES = 6, 2, 3
+#: Bits that a wide sketch may have beyond its set's size.
+SHARP = 1 << 12
+#: Bits of a wide sketch that go with a set to the lists it is compared in; stored bytes of such sketches that are broadcast.
+LIST_BITS, LIST_BROADCAST = 1 << 14, 4 << 20
+#: Earlier lists of a set that go with it to a list.
+EARLIER = 64
+#: Rounds of hubs, while the pairs left are more than so many times the postings and each round leaves at most so large a
+#: part of them; tries a round.
+HUB_ROUNDS, ENOUGH, LESS, TRIES = 6, 2, 0.97, 4
 
 
 def least_overlap(n: np.ndarray | int, percent: int):
@@ -77,10 +84,11 @@ def parity_sketch(s: np.ndarray) -> np.ndarray:
 
 
 def wide_sketch(s: np.ndarray) -> bytes:
-    """The set's size (8 bytes) and a parity sketch of at least as many bits as it has shingles (a power of two, 256 or more).
+    """The set's size (8 bytes) and a parity sketch of at least as many bits as it has shingles (a power of two, 256 or more),
+    and of four times as many up to ``SHARP`` bits: few differences of two sets then fall on one bit.
 
     A longer one folds to a shorter one's length by the exclusive or of its parts."""
-    bits = 1 << max(8, int(s.size - 1).bit_length())
+    bits = max(1 << max(8, int(s.size - 1).bit_length()), min(SHARP, 1 << int(4 * s.size - 1).bit_length()))
     at = ((s >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64)
     odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return int(s.size).to_bytes(8, "little") + np.packbits(odd, bitorder="little").tobytes()
@@ -315,33 +323,41 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     bits = F.struct(*[f"b{i}" for i in range(SKETCH)])
     sets = _store(first.where("kind = 0 AND n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
                   .agg(F.min("doc_id").alias("node"), F.min(bits).alias("bits"), F.min("wide").alias("wide")), f"{base}/sets")
-    classes, sketches = sets.select("k1", "k2", "node"), sets.select("node", "bits")
+    classes = sets.select("k1", "k2", "node")
     sent = spark.sparkContext.broadcast(common)
     posted = _postings(docs, width, percent, boundary, sent).repartition("sig").dropDuplicates(["sig", "k1", "k2"])
     by_sig = Window.partitionBy("sig")
     live = posted.withColumn("many", (F.min("k1").over(by_sig) != F.max("k1").over(by_sig)) | (F.min("k2").over(by_sig) != F.max("k2").over(by_sig))).where("many")
     lists = _store(live.join(broadcast_if_small(classes), ["k1", "k2"]).select("sig", "node", "n", "at", "kind"), f"{base}/lists")
 
+    comp = _components(lists, sets, docs, width, percent, base)
+    out = (rows.join(classes, ["k1", "k2"], "left")
+           .join(comp, "node", "left")
+           .select("doc_id", "n_shingles", "k1", "k2",
+                   F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node")).alias("component_id")))
+    return out
+
+
+def _components(lists: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int, base: str) -> DataFrame:
+    """(node, component) of the links between classes that meet in lists; classes without links may be missing."""
+    spark, sketches = lists.sparkSession, sets.select("node", "bits")
     comp, left, rest = None, None, None
     for round_ in range(HUB_ROUNDS):
         now = lists if comp is None else _store(_mixed(lists, comp), f"{base}/mixed-{round_}")
         if comp is not None:
             todo = now.agg(F.sum(F.when(~F.col("main"), F.col("length")).otherwise(0)), F.count("*")).first()
-            if not todo[1] or todo[0] <= ENOUGH * todo[1] or (left is not None and todo[0] > 0.95 * left):
+            if not todo[1] or todo[0] <= ENOUGH * todo[1] or (left is not None and todo[0] > LESS * left):
                 rest = now
                 break
             left = todo[0]
         good = _checked(_hub_pairs(now, sketches, round_, percent), docs, sets, width, percent, f"{base}/hubs-{round_}")
         comp = _store(components(_joined(good, comp)), f"{base}/components-{round_}")
         remove_folder(spark, f"{base}/mixed-{round_}")                 # its links are written
-    more = _checked(_rest_pairs(_mixed(lists, comp) if rest is None else rest, sketches, percent), docs, sets, width, percent, f"{base}/rest")
+    rest = _store(_mixed(lists, comp), f"{base}/mixed") if rest is None else rest
+    more = _checked(_rest_pairs(rest, sets, percent, f"{base}/rest"), docs, sets, width, percent, f"{base}/rest")
     if not more.isEmpty():
         comp = components(_joined(more, comp))
-    out = (rows.join(classes, ["k1", "k2"], "left")
-           .join(comp, "node", "left")
-           .select("doc_id", "n_shingles", "k1", "k2",
-                   F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node")).alias("component_id")))
-    return out
+    return comp
 
 
 def _joined(links: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -359,23 +375,26 @@ def _alike(shared: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 def _hub_pairs(lists: DataFrame, sketches: DataFrame, round_: int, percent: int) -> DataFrame:
     """A few pairs a class: with hubs that most of its lists have.  A list's hub is the class of like
     size that a hash of the round puts first; odd rounds shift the classes of size.  Once lists have
-    a main component, its classes are the hubs and only the others look for one."""
+    a main component, only the classes outside it look for hubs: in half of the tries one of its classes, in the others one of
+    those outside, so that classes of one group find each other though none of them is linked with the main component's."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 0.5 * (round_ % 2)).cast("int")
-    rows = lists.withColumn("band", band)
     late = "main" in lists.columns
-    out = None
-    for k in range(TRIES if late else 1):
-        rank = F.struct(F.xxhash64(F.lit(round_ // 2), F.lit(k), "node").alias("h"), "node", "n", "at")
-        hub = (rows.where("main") if late else rows).groupBy("sig", "band").agg(F.min(rank).alias("hub")).select("sig", "band", "hub")
-        near = ((rows.where("NOT main") if late else rows).select("sig", "node", "n", "at", "kind", "band")
-                .join(hub, ["sig", "band"]).where("node <> hub.node")
-                .withColumn("n2", F.col("hub.n")).withColumn("at2", F.col("hub.at"))
-                .where(_may_reach(percent)))
-        shared = (near.groupBy(F.col("node").alias("u"), "n", "kind", F.col("hub.node").alias("v"), "n2")
-                  .agg(F.count("*").alias("shared")).where(_enough_shared(percent)))
-        shared = shared.withColumn("try", F.lit(k))
-        out = shared if out is None else out.unionByName(shared)
-    best = _alike(out, sketches, percent).groupBy("u", "try").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+    rows = (lists if late else lists.withColumn("c", F.col("node"))).withColumn("band", band)
+
+    def first(k: int):
+        """The hub of try ``k``."""
+        rank = F.struct(F.xxhash64(F.lit(round_ if k % 2 else round_ // 2), F.lit(k), "node").alias("h"), "node", "n", "at", "c")
+        return F.min(rank if not late else F.when(~F.col("main") if k % 2 else F.col("main"), rank)).alias(f"h{k}")
+
+    tries = range(TRIES if late else 1)
+    hubs = rows.groupBy("sig", "band").agg(*[first(k) for k in tries])
+    near = ((rows.where("NOT main") if late else rows).select("sig", "node", "n", "at", "kind", "c", "band").join(hubs, ["sig", "band"])
+            .select("node", "n", "at", "kind", "c", F.posexplode(F.array(*[f"h{k}" for k in tries])).alias("try", "hub"))
+            .where("c <> hub.c").withColumn("n2", F.col("hub.n")).withColumn("at2", F.col("hub.at"))
+            .where(_may_reach(percent)))
+    shared = (near.groupBy(F.col("node").alias("u"), "n", "kind", F.col("hub.node").alias("v"), "n2", "try")
+              .agg(F.count("*").alias("shared")).where(_enough_shared(percent)))
+    best = _alike(shared, sketches, percent).groupBy("u", "try").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
     return best.select("u", "v").distinct()
 
 
@@ -390,15 +409,60 @@ def _mixed(lists: DataFrame, comp: DataFrame) -> DataFrame:
     return c.join(whole, "sig").withColumn("main", F.col("c") == F.col("most")).drop("most")
 
 
-def _rest_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _same_members(mixed: DataFrame) -> DataFrame:
+    """(g1, g2, node, n, at, c, main, earlier): one list for all lists of the same members, told by 128 bits of them, and for
+    each member its first lists before this one.
+
+    Such lists give the same pairs, and have the same main component.  The order of shingles is global, so the first places
+    of two members are those of one shingle, the first that the merged lists have: a pair that one of them allows is allowed."""
+    members = mixed.groupBy("sig").agg(*[F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"g{i}") for i in (1, 2)])
+    lists = (mixed.join(members, "sig").groupBy("g1", "g2", "node")
+             .agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("c").alias("c"), F.first("main").alias("main")))
+    by_place = Window.partitionBy("node").orderBy("at", "g1", "g2")
+    return (lists.withColumn("place", F.row_number().over(by_place))
+            .withColumn("some", F.collect_list(F.when(F.col("place") <= EARLIER, F.struct("g1", "at"))).over(by_place.rowsBetween(Window.unboundedPreceding, -1)))
+            # a list of the same place is no earlier one
+            .withColumn("earlier", F.transform(F.filter("some", lambda x: x["at"] < F.col("at")), lambda x: x["g1"])).drop("place", "some"))
+
+
+def _words(wide: DataFrame) -> DataFrame:
+    """(node, words, half) of (node, wide): the wide sketch as 64-bit words, folded to ``LIST_BITS`` at most, and folded to
+    half as many."""
+    fold = lambda x, parts: np.bitwise_xor.reduce(x.reshape(parts, -1), axis=0)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = [np.frombuffer(w, dtype=np.int64, offset=8) for w in batch["wide"]]
+            x = [fold(w, max(1, 64 * w.size // LIST_BITS)) for w in x]
+            yield pd.DataFrame({"node": batch["node"], "words": x, "half": [fold(w, 2) for w in x]})
+
+    return wide.mapInPandas(released(part), "node long, words array<long>, half array<long>")
+
+
+def _words_may_differ(percent: int):
+    """Whether the sketches (words, half and words2, half2) of a pair differ no more than sets at the threshold may.
+
+    Sets of like size have sketches of one length, or one of twice the other's, whose half is taken; what has neither
+    isn't told apart here."""
+    x = F.when(F.size("words") > F.size("words2"), F.col("half")).otherwise(F.col("words"))
+    y = F.when(F.size("words2") > F.size("words"), F.col("half2")).otherwise(F.col("words2"))
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+    return F.coalesce(differ <= F.col("n") + F.col("n2") - 2 * _least_common(percent), F.lit(True))
+
+
+def _rest_pairs(mixed: DataFrame, sets: DataFrame, percent: int, path: str) -> DataFrame:
     """Pairs in different components that may be linked: in each list, those outside its main component with those
-    others beside which the list's shingle can be their first common one."""
-    rows = mixed.join(broadcast_if_small(sketches), "node")          # the lists that are left are few beside all postings
-    a = rows.where(~F.col("main")).select("sig", "node", "n", "at", "c", "bits")
-    b = rows.select("sig", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("c").alias("c2"),
-                    F.col("bits").alias("bits2"), F.col("main").alias("main2"))
-    near = a.join(b, "sig").where((F.col("c") != F.col("c2")) & (F.col("main2") | (F.col("node") < F.col("node2")))
-                                  & _may_be_first(percent) & _may_differ(percent))
+    others beside which the list's shingle can be their first common one.
+
+    Lists of the same members are compared once, a pair only where it meets first, and by sketches that grow with the sets:
+    sets that only have passages in common are refused where they meet, and don't become rows."""
+    lists = _store(_same_members(mixed), f"{path}-lists")
+    words = _store(_words(sets.join(lists.select("node").distinct(), "node", "left_semi").select("node", "wide")), f"{path}-words")
+    rows = lists.join(broadcast_if_small(words, LIST_BROADCAST), "node")
+    a = rows.where(~F.col("main")).drop("main")
+    b = rows.select("g1", "g2", *[F.col(x).alias(f"{x}2") for x in ("node", "n", "at", "c", "main", "earlier", "words", "half")])
+    near = a.join(b, ["g1", "g2"]).where((F.col("c") != F.col("c2")) & (F.col("main2") | (F.col("node") < F.col("node2")))
+                                         & _may_be_first(percent) & ~F.arrays_overlap("earlier", "earlier2") & _words_may_differ(percent))
     # the outer one of a pair may be outside the main component in one list and inside it in another
     return near.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
 
