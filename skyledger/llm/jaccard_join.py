@@ -19,7 +19,8 @@ rounds; linked classes merge, and then only pairs of a list that are still in di
 these only the pairs are left that share as many signatures as the threshold asks of any pair, and
 whose parity sketches differ in no more bits than the two sets may differ in shingles (each shingle
 flips one bit, so sets always differ in at least as many); the same test on sketches as long as the
-sets leaves those that are checked on the two whole texts.  Nothing is dropped: a link between two classes is either found
+sets leaves those that are checked on the two whole texts.  After the rounds, lists of the same members are compared
+once, a pair where it meets first, and by the long sketches at once.  Nothing is dropped: a link between two classes is either found
 or lies inside a component.
 
 Defined results: null and empty texts and texts without words have empty sets, linked with nothing;
