@@ -19,3 +19,12 @@ def test_a_heap_within_its_share_is_left_alone(spark, monkeypatch):
     monkeypatch.setattr(session, "HEAP_USED", 1.0)
     monkeypatch.setattr(session, "HEAP_TAKEN", 1.0)
     assert not session.give_back_heap(spark)
+
+
+def test_a_collection_returns_free_heap(spark):
+    from skyledger import session
+    assert session.keep_heap_tight(spark)
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    spark._jvm.java.lang.System.gc()
+    used = runtime.totalMemory() - runtime.freeMemory()
+    assert runtime.totalMemory() < max(2 * used, 256 << 20)
